@@ -243,13 +243,14 @@ def tokenize(text: Column) -> Column:
 
 def ngrams(tokens: Column, lengths: Sequence[int]) -> Column:
     """Distinct contiguous runs of the given lengths, each joined by one space."""
-    parts = []
-    for n in sorted(set(lengths)):
-        runs = F.transform(
-            F.sequence(F.lit(0), F.size(tokens) - n),
-            lambda i, n=n: F.array_join(F.slice(tokens, i + 1, n), " "),
-        )
-        parts.append(F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
+        cut = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        return F.when(F.size(tokens) >= n, cut).otherwise(none)
+
+    parts = [runs(n) for n in sorted(set(lengths))]
     return F.array_distinct(F.concat(*parts) if len(parts) > 1 else parts[0])
 
 

@@ -35,10 +35,14 @@ def _needs_python(char: str) -> bool:
 
 
 @functools.lru_cache(maxsize=1)
-def slow_path_class() -> str:
-    """Java character class of every code point that must be folded in Python."""
+def slow_path_pattern() -> str:
+    """Java pattern that finds a code point that must be folded in Python.
+
+    Latin-1 is passed over first (its few special letters are handled natively), so the
+    long class is tried only on the rare characters beyond it.
+    """
     spans: list[list[int]] = []
-    for point in range(0x80, sys.maxunicode + 1):
+    for point in range(0x100, sys.maxunicode + 1):
         if 0xD800 <= point <= 0xDFFF or not _needs_python(chr(point)):
             continue
         if spans and spans[-1][1] == point - 1:
@@ -47,7 +51,8 @@ def slow_path_class() -> str:
             spans.append([point, point])
     # Capital sigma lowers differently at the end of a word; fold it in Python too.
     spans.append([0x3A3, 0x3A3])
-    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in spans) + "]"
+    members = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in spans)
+    return f"[^\\x00-\\x{{ff}}{APOSTROPHES}](?<=[{members}])"
 
 
 @F.pandas_udf(T.StringType())
@@ -65,7 +70,7 @@ def _fold_in_python(texts: pd.Series) -> pd.Series:
 
 def normalise(text: Column) -> Column:
     """NFC, typographic apostrophes to ``'``, full case folding; null becomes ''."""
-    rare = text.rlike(slow_path_class())
+    rare = text.rlike(slow_path_pattern())
     folded = _fold_in_python(F.when(rare, text))
-    plain = F.replace(F.lower(F.translate(text, APOSTROPHES, "''")), F.lit("ß"), F.lit("ss"))
+    plain = F.replace(F.lower(F.translate(text, APOSTROPHES + "µ", "''μ")), F.lit("ß"), F.lit("ss"))
     return F.coalesce(folded, plain, F.lit(""))
