@@ -241,6 +241,15 @@ def tokenize(text: Column) -> Column:
     return tokens_of(normalise(text))
 
 
+def once(value: Column) -> Column:
+    """Compute a value one time per row when used as the only generator of a select.
+
+    Adjacent projections are merged, which would copy a costly expression into every
+    lambda that mentions the column; a one-element explode keeps it a column.
+    """
+    return F.explode(F.array(value))
+
+
 def ngrams(tokens: Column, lengths: Sequence[int]) -> Column:
     """Distinct contiguous runs of the given lengths, each joined by one space."""
     none = F.array().cast("array<string>")

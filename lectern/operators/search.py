@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import LANGS, is_filled, tokenize
+from lectern.functions.text import LANGS, is_filled, once, tokenize
 from lectern.operators.ordered import number_rows
 from lectern.operators.sizing import small_side
 
@@ -35,7 +35,7 @@ def search_tokens(text: Column, lang: str | None = None) -> Column:
 def build_index(records: DataFrame, text: str, keys: list[str], lang: str | None = None) -> DataFrame:
     """(token, keys, tf): counted inside the row, so building the index needs no shuffle."""
     tokens = search_tokens(F.col(text), lang)
-    rows = records.select(*keys, tokens.alias("_tokens")).select(
+    rows = records.select(*keys, once(tokens).alias("_tokens")).select(
         *keys, "_tokens", F.explode(F.array_distinct("_tokens")).alias("token")
     )
     tf = F.size(F.filter("_tokens", lambda t: t == F.col("token")))

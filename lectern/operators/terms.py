@@ -19,6 +19,7 @@ from lectern.functions.text import (
     LANGS,
     is_filled,
     ngrams,
+    once,
     phrase_forms,
     quote_pattern,
     tokenize,
@@ -50,7 +51,7 @@ def token_edges(
     if lengths is None:
         lengths = [r.n for r in forms.select("n").distinct().collect()] or [1]
     grams = records.select(
-        *keys, *carried, tokenize(F.col(text)).alias("_tokens")
+        *keys, *carried, once(tokenize(F.col(text))).alias("_tokens")
     ).select(*keys, *carried, F.explode(ngrams(F.col("_tokens"), lengths)).alias("_gram"))
     side = small_side(forms.select("slug", F.col("form").alias("_gram")).distinct())
     return grams.join(side, "_gram").drop("_gram").dropDuplicates([*keys, "slug"])

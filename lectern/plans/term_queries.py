@@ -37,18 +37,13 @@ EDGE_ORDER = """
     linked AS (SELECT e.*, bp, row_number() OVER (PARTITION BY e.slug ORDER BY bp, chapter, ord) AS link_no
                FROM edges e JOIN pos USING (book))"""
 
-# \b of the regular expression made explicit: RE2 knows ASCII word characters only.
-W = r"[\pL\pN\pM_]"
-NW = r"[^\pL\pN\pM_]"
-
-
-def word_hit(text: str, term: str) -> str:
-    return f"regexp_matches({text}, '(?i)(^|{NW})' || {term} || '({NW}|$)')"
-
-
+# Every word is put in angle brackets, on both sides; containment then means \b term \b.
+MARK = r"regexp_replace(lower({}), '([\pL\pN\pM_]+)', '<\1>', 'g')"
 WEDGES = f"""
+    wv AS MATERIALIZED (SELECT *, {MARK.format('en')} AS marked FROM verses),
+    wt AS MATERIALIZED (SELECT *, {MARK.format('term')} AS marked FROM terms),
     wedges AS (SELECT v.book, v.chapter, v.chapter_id, v.ord, v.verse_id, v.tag, t.slug, t.position, t.term
-               FROM verses v JOIN terms t ON {word_hit('v.en', 't.term')})"""
+               FROM wv v JOIN wt t ON contains(v.marked, t.marked))"""
 
 
 @query("J4_term_match", S.query("edges", "SELECT * FROM edges"))
@@ -292,10 +287,10 @@ def _(s, d):
 
 
 @query("T8_snippet", S.query("verses terms", """
-    SELECT v.chapter_id, v.ord, CASE WHEN at > 0 THEN CASE WHEN st > 1 THEN '…' ELSE '' END || en[st:at - 1] || '<mark>' || en[at:at + n - 1] || '</mark>'
-           || en[at + n:at + n + 59] || CASE WHEN at + n + 60 <= len(en) THEN '…' ELSE '' END ELSE '' END AS excerpt
-    FROM (SELECT v.*, len(w) AS n, instr(lower(en), w) AS at, greatest(instr(lower(en), w) - 30, 1) AS st
-          FROM (SELECT v.*, string_split(t.term, ' ')[2] AS w FROM verses v JOIN terms t ON t.slug = v.tag) v) v"""))
+    SELECT chapter_id, ord, CASE WHEN p > 0 THEN CASE WHEN st > 1 THEN '…' ELSE '' END || substr(en, st, p - st) || '<mark>' || substr(en, p, n) || '</mark>'
+           || substr(en, p + n, 60) || CASE WHEN p + n + 60 <= len(en) THEN '…' ELSE '' END ELSE '' END AS excerpt
+    FROM (SELECT *, len(w) AS n, instr(lower(en), w) AS p, greatest(instr(lower(en), w) - 30, 1) AS st
+          FROM (SELECT v.*, string_split(t.term, ' ')[2] AS w FROM verses v JOIN terms t ON t.slug = v.tag))"""))
 def _(s, d):
     words = B.terms(s, d).select("slug", F.element_at(F.split("term", " "), 2).alias("w"))
     rows = verses(s, d).select("chapter_id", "ord", "en", F.explode("glossary_terms").alias("slug")).join(words, "slug")

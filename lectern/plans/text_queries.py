@@ -173,7 +173,7 @@ def _(s, d):
         SELECT d, o, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS gram
         FROM (SELECT d, o, {S.tokens('en')} AS t FROM v0) WHERE len(t) >= 2)) GROUP BY 1"""))
 def _(s, d):
-    tok = lines(s, d).select(X.tokenize(F.col("en")).alias("t"))
+    tok = lines(s, d).select(X.once(X.tokenize(F.col("en"))).alias("t"))
     grams = tok.select(F.explode(X.ngrams(F.col("t"), [2])).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_lines"))
 
