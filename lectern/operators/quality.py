@@ -73,6 +73,18 @@ def _text(raw: Column, path: str) -> Column:
     return F.get_json_object(raw, path)
 
 
+def is_json_object(raw: Column) -> Column:
+    """The whole text is one JSON object.
+
+    The JSON reader stops after the first value, so the text is tried inside an array and
+    inside an object: left-over text breaks at least one of the two.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), raw, F.lit("}")))
+    kind = F.schema_of_variant(F.try_variant_get(in_array, "$[0]", "variant"))
+    return F.coalesce(in_object.isNotNull() & kind.startswith("OBJECT"), F.lit(False))
+
+
 def check_books(raws: DataFrame) -> DataFrame:
     """(path, raw): required keys; chapter_count must be an integer."""
     raw, path = F.col("raw"), F.col("path")
@@ -137,8 +149,7 @@ def check_chapters(raws: DataFrame) -> DataFrame:
     """(path, raw): parseable, required keys, id form, verses array, preamble, provenance."""
     raw, path = F.col("raw"), F.col("path")
     ident = _text(raw, "$.id")
-    parsed = F.try_parse_json(raw)
-    ok = parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
+    ok = is_json_object(raw)
     verses, preamble = _kind(raw, "$.verses"), _kind(raw, "$.preamble")
     source = _text(raw, "$.preamble_source")
     has_source = F.array_contains(

@@ -120,14 +120,14 @@ def _(s, d):
 @query("X1_missing_fields", S.query("heads", """
     SELECT chapter_id AS path, CASE d % 12 WHEN 1 THEN 'title' WHEN 6 THEN 'preamble_source' ELSE '' END AS missing FROM heads WHERE d % 12 <> 0"""))
 def _(s, d):
-    rows = chapter_raw(s, d).where(F.try_parse_json("raw").isNotNull())
+    rows = chapter_raw(s, d).where(K.is_json_object(F.col("raw")))
     absent = K.missing_fields(F.col("raw"), [*K.CHAPTER_FIELDS, "preamble_source"])
     return rows.select("path", F.array_join(absent, ",").alias("missing"))
 
 
 @query("X7_subset", S.query("heads", "SELECT chapter_id AS path, d % 12 NOT IN (4, 5, 8) AS complete FROM heads WHERE d % 12 <> 0"))
 def _(s, d):
-    rows = chapter_raw(s, d).where(F.try_parse_json("raw").isNotNull())
+    rows = chapter_raw(s, d).where(K.is_json_object(F.col("raw")))
     absent = K.missing_fields(F.get_json_object("raw", "$.preamble"), K.I18N_FIELDS)
     return rows.select("path", (F.size(absent) == 0).alias("complete"))
 
@@ -208,9 +208,9 @@ def _(s, d):
 
 
 @query("Q13_lock_check", S.query("edges terms", """
-    SELECT 'result.lock' AS rule, e.chapter_id AS path, 'verse ' || e.ord AS id, lang || ' missing ' || t.term || '→' || want AS detail
+    SELECT 'result.lock' AS rule, e.chapter_id AS path, 'verse ' || e.ord AS id, x.lang || ' missing ' || t.term || '→' || want AS detail
     FROM edges e JOIN verses v ON v.chapter_id = e.chapter_id AND v.ord = e.ord JOIN terms t ON t.slug = e.slug,
-    LATERAL (SELECT unnest(['zh_hant', 'zh_hans', 'ja']) AS lang, unnest([t.zh_hant, t.zh_hans, t.ja]) AS want, unnest([v.zh_hant, v.zh_hans, v.ja]) AS got)
+    LATERAL (SELECT unnest(['zh_hant', 'zh_hans', 'ja']) AS lang, unnest([t.zh_hant, t.zh_hans, t.ja]) AS want, unnest([v.zh_hant, v.zh_hans, v.ja]) AS got) x
     WHERE want <> '' AND NOT contains(coalesce(got, ''), want)"""))
 def _(s, d):
     rows = verses(s, d).withColumn("label", F.concat(F.lit("verse "), F.col("ord").cast("string")))
@@ -219,11 +219,11 @@ def _(s, d):
 
 
 @query("Q14_tagged_locks", S.query("verses terms", r"""
-    SELECT 'result.tagged_lock' AS rule, chapter_id AS path, verse_id AS id, lang || ' missing ' || term || '→' || want AS detail FROM (
+    SELECT 'result.tagged_lock' AS rule, chapter_id AS path, verse_id AS id, x.lang || ' missing ' || term || '→' || want AS detail FROM (
       SELECT v.*, t.term, t.zh_hant AS w1, t.zh_hans AS w2, t.ja AS w3, regexp_replace(lower(v.en), '([\pL\pN\pM_]+)', '<\1>', 'g') AS m1,
              regexp_replace(lower(t.term), '([\pL\pN\pM_]+)', '<\1>', 'g') AS m2
-      FROM verses v JOIN (SELECT * FROM terms x WHERE position = (SELECT max(position) FROM terms y WHERE y.term = x.term)) t ON t.slug = v.tag),
-    LATERAL (SELECT unnest(['zh_hant', 'zh_hans', 'ja']) AS lang, unnest([w1, w2, w3]) AS want, unnest([zh_hant, zh_hans, ja]) AS got)
+      FROM verses v JOIN (SELECT * FROM terms x WHERE position = (SELECT max(position) FROM terms y WHERE y.term = x.term)) t ON t.slug = v.tag) y,
+    LATERAL (SELECT unnest(['zh_hant', 'zh_hans', 'ja']) AS lang, unnest([w1, w2, w3]) AS want, unnest([y.zh_hant, y.zh_hans, y.ja]) AS got) x
     WHERE contains(m1, m2) AND want <> '' AND NOT contains(coalesce(got, ''), want)"""))
 def _(s, d):
     t = B.terms(s, d)

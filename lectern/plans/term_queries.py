@@ -175,8 +175,12 @@ def _(s, d):
     SELECT v.chapter_id, v.ord, CASE WHEN r.renderings IS NULL THEN coalesce(v.zh_hans, '') ELSE
       coalesce(regexp_replace(v.zh_hans, r.renderings, '\\1（' || r.term || '）', 'g'), '') END AS annotated
     FROM verses v LEFT JOIN (
-      SELECT chapter_id, ord, '(' || min(t.zh_hans) || ')' AS renderings, min(t.term) AS term
-      FROM edges JOIN terms t USING (slug) GROUP BY 1, 2 HAVING count(*) = 1) r USING (chapter_id, ord)
+      SELECT e.chapter_id, e.ord, '(' || min(t.zh_hans) || ')' AS renderings, min(t.term) AS term
+      FROM edges e JOIN terms t USING (slug) JOIN verses v ON v.chapter_id = e.chapter_id AND v.ord = e.ord
+      WHERE regexp_matches(v.en, '(?i)(^|[^A-Za-z])' || t.term || '([^A-Za-z]|$)')
+         OR (len(regexp_replace(t.term, '[^A-Za-z]', '', 'g')) >= 4
+             AND regexp_matches(v.en, '(?i)(^|[^A-Za-z])' || regexp_replace(t.term, '[^A-Za-z]', '', 'g')[1:4]))
+      GROUP BY 1, 2 HAVING count(*) = 1) r USING (chapter_id, ord)
     ANTI JOIN (SELECT chapter_id, ord FROM edges GROUP BY 1, 2 HAVING count(*) > 1) m USING (chapter_id, ord)"""))
 def _(s, d):
     # Verses with one term are checked in SQL by a plain replacement; verses with several

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -33,7 +33,7 @@ def debounce(events: DataFrame, keys: Sequence[str], gap_ms: int = 300, block_ms
 
     Time is cut into blocks, so a key with a third of all events stays spread out.
     """
-    micros = F.unix_micros("ts")
+    micros = _micros(events)
     cut = events.withColumn("_us", micros).withColumn("_block", F.floor(micros / (block_ms * 1000)))
     ahead = neighbours(
         cut, keys, "_block", [F.col("_us"), F.col("event_id")], F.col("_us"), None, "_next"
@@ -42,6 +42,15 @@ def debounce(events: DataFrame, keys: Sequence[str], gap_ms: int = 300, block_ms
     return ahead.where(quiet).drop("_us", "_block", "_next")
 
 
+def _micros(events: DataFrame) -> Column:
+    """Microseconds of ``ts``; a time without zone is read off its own calendar fields."""
+    if not isinstance(events.schema["ts"].dataType, T.TimestampNTZType):
+        return F.unix_micros("ts")
+    seconds = F.date_diff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
+    seconds = seconds + F.hour("ts") * 3600 + F.minute("ts") * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), "ts") * 1_000_000).cast("bigint")
+
+
 def debounce_stream(events: DataFrame, keys: Sequence[str], gap_ms: int = 300, late: str = "10 seconds") -> DataFrame:
     """The same emissions as a stream: the last event of every session of the gap."""
     session = F.session_window("ts", f"{gap_ms} milliseconds")
