@@ -36,8 +36,8 @@ def read_chapters(spark: SparkSession, root: str) -> DataFrame:
 
 def read_chapter_texts(spark: SparkSession, root: str) -> DataFrame:
     """(path, raw) of the same files, for checks that need to see malformed ones."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    return files.option("pathGlobFilter", "chapter-*.json").text(root).select(
+    files = spark.read.option("recursiveFileLookup", "true")
+    return files.option("pathGlobFilter", "chapter-*.json").text(root, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")
     )
 
@@ -47,7 +47,7 @@ def read_dimension(spark: SparkSession, path: str, schema: T.StructType) -> Data
     out = T.StructType([*schema.fields, T.StructField("position", T.IntegerType())])
     if not _exists(spark, path):
         return spark.createDataFrame([], out)
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     rows = whole.select(F.posexplode(F.from_json("value", T.ArrayType(schema))).alias("position", "r"))
     return rows.select("r.*", "position")
 

@@ -52,8 +52,12 @@ def _micros(events: DataFrame) -> Column:
 
 
 def debounce_stream(events: DataFrame, keys: Sequence[str], gap_ms: int = 300, late: str = "10 seconds") -> DataFrame:
-    """The same emissions as a stream: the last event of every session of the gap."""
-    session = F.session_window("ts", f"{gap_ms} milliseconds")
+    """The same emissions as a stream: the last event of every session of the gap.
+
+    Sessions also merge at exactly the gap, where the batch rule emits, hence one
+    microsecond less.
+    """
+    session = F.session_window("ts", f"{gap_ms * 1000 - 1} microseconds")
     rank = F.struct("ts", "event_id")
     return (
         events.withWatermark("ts", late).groupBy(*keys, session.alias("_s")).agg(
