@@ -1,8 +1,9 @@
 """From an ordered element stream to books, chapters, verses and placed images.
 
 The walk over a page (which chapter am I in, have I seen a verse yet, which verse does
-this picture belong to) becomes carry-forward and carry-backward columns per page.  Pages
-are cut into blocks of positions, so even a very long page is not one task.
+this picture belong to) becomes windows over the page.  A page is one input row, so its
+elements always fit the task that parsed it; every window here is partitioned by the page
+(and something inside it), so the whole walk costs a single shuffle by page.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import (
@@ -29,12 +31,27 @@ from lectern.functions.text import (
     squeeze_ends,
     starts_chapter,
 )
-from lectern.operators.ordered import carry, number_rows
 from lectern.operators.sizing import small_side
 
-BLOCK = 4096
 CONTEXT = "struct<seg:bigint,slug:string,chapter:bigint,mode:string,g_slug:string,g_chapter:bigint>"
-VERSE_REF = "struct<pos:bigint,seg:bigint,slug:string,chapter:bigint>"
+VERSE_REF = "struct<pos:bigint,seg:bigint>"
+
+
+def _before(value: Column) -> Column:
+    """Last non-null value at or before each element of the page."""
+    w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    return F.last(value, ignorenulls=True).over(w)
+
+
+def _after(value: Column) -> Column:
+    """First non-null value at or after each element of the page."""
+    w = W.partitionBy("page_id").orderBy("pos").rowsBetween(0, W.unboundedFollowing)
+    return F.first(value, ignorenulls=True).over(w)
+
+
+def _verse_ref(seg: Column) -> Column:
+    ref = F.struct(F.col("pos").cast("bigint").alias("pos"), seg.cast("bigint").alias("seg"))
+    return F.when(F.col("is_verse"), ref.cast(VERSE_REF))
 
 
 def with_context(elements: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -89,10 +106,10 @@ def with_context(elements: DataFrame, anchors: DataFrame) -> DataFrame:
             context(F.col("_by_prefix"), F.col("_number"), F.lit("text"), null_text, null_long),
         )
     )
-    marked = rows.withColumn("_ctx", ctx).withColumn("_block", F.floor(F.col("pos") / BLOCK)).drop(
+    marked = rows.withColumn("_ctx", ctx).drop(
         "_name", "_prefix", "_number", "_by_name", "_by_prefix"
     )
-    return carry(marked, ["page_id"], "_block", [F.col("pos")], {"ctx": F.col("_ctx")}).withColumn(
+    return marked.withColumn("ctx", _before(F.col("_ctx"))).withColumn(
         "is_context_anchor", F.col("_ctx").isNotNull()
     ).drop("_ctx")
 
@@ -104,19 +121,8 @@ def with_verses(placed: DataFrame) -> DataFrame:
     marked = placed.withColumn("verse", verse).withColumn(
         "is_verse", F.coalesce(F.col("verse.is_verse"), F.lit(False))
     )
-
-    def ref() -> Column:
-        return F.when(
-            F.col("is_verse"),
-            F.struct(
-                F.col("pos").cast("bigint").alias("pos"), F.col("ctx.seg").alias("seg"),
-                F.col("ctx.slug").alias("slug"), F.col("ctx.chapter").alias("chapter"),
-            ).cast(VERSE_REF),
-        )
-
-    order = [F.col("pos")]
-    back = carry(marked, ["page_id"], "_block", order, {"last_verse": ref()})
-    return carry(back, ["page_id"], "_block", order, {"next_verse": ref()}, backward=True)
+    ref = _verse_ref(F.col("ctx.seg"))
+    return marked.withColumn("last_verse", _before(ref)).withColumn("next_verse", _after(ref))
 
 
 def standard_rows(elements: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -145,30 +151,33 @@ def standard_rows(elements: DataFrame, anchors: DataFrame) -> DataFrame:
         )
     )
     rows = rows.withColumn("role", role).where(F.col("role").isNotNull()).withColumn("_seen", seen)
-    # Last verse of every (book, chapter): the segment that finally counts.
-    ends = (
-        rows.where(F.col("role") == "verse")
-        .groupBy("page_id", F.col("ctx.slug").alias("_es"), F.col("ctx.chapter").alias("_ec"))
-        .agg(F.max("ctx.seg").alias("_eseg"), F.max("pos").alias("_epos"))
-    )
+    # Last verse of every (book, chapter) of the page: the segment that finally counts.
+    # Gallery pictures look it up under the chapter they are sent to.
     to_last = (F.col("role") == "image") & (F.col("ctx.mode") == "gallery_last_verse")
-    joined = rows.withColumn("_gs", F.when(to_last, F.col("ctx.g_slug"))).withColumn(
-        "_gc", F.when(to_last, F.col("ctx.g_chapter"))
+    key = F.when(to_last, F.struct(F.col("ctx.g_slug").alias("s"), F.col("ctx.g_chapter").alias("c"))).when(
+        F.col("role") == "verse", F.struct(F.col("ctx.slug").alias("s"), F.col("ctx.chapter").alias("c"))
+    )
+    same = W.partitionBy("page_id", "_key")
+    is_verse = F.col("role") == "verse"
+    end = F.struct(
+        F.max(F.when(is_verse, F.col("ctx.seg"))).over(same).alias("seg"),
+        F.max(F.when(is_verse, F.col("pos").cast("bigint"))).over(same).alias("pos"),
     )
-    redirected = joined.where(to_last).join(
-        ends,
-        (joined["page_id"] == ends["page_id"]) & (F.col("_gs") == F.col("_es"))
-        & (F.col("_gc") == F.col("_ec")) & (F.col("_eseg") < F.col("ctx.seg")),
-    ).drop(ends["page_id"]).withColumn("target_seg", F.col("_eseg")).withColumn(
-        "target_pos", F.col("_epos")
-    ).drop("_es", "_ec", "_eseg", "_epos")
-    target = F.when(F.col("_seen"), F.col("last_verse")).otherwise(F.col("next_verse"))
-    direct = joined.where(~to_last).withColumn(
-        "target_seg", F.when(F.col("role") == "image", target["seg"]).otherwise(F.col("ctx.seg"))
-    ).withColumn(
-        "target_pos", F.when(F.col("role") == "image", target["pos"]).otherwise(F.col("pos"))
+    rows = rows.withColumn("_key", key).withColumn("_end", end)
+    here = F.struct(F.col("pos").cast("bigint").alias("pos"), F.col("ctx.seg").alias("seg"))
+    target = (
+        F.when(F.col("role") != "image", here)
+        .when(
+            to_last,
+            F.when(
+                F.col("_end.seg") < F.col("ctx.seg"),
+                F.struct(F.col("_end.pos").alias("pos"), F.col("_end.seg").alias("seg")),
+            ),
+        )
+        .when(F.col("_seen"), F.col("last_verse"))
+        .otherwise(F.col("next_verse"))
     )
-    every = direct.unionByName(redirected)
+    every = rows.withColumn("target_seg", target["seg"]).withColumn("target_pos", target["pos"])
     return every.where(F.col("target_seg").isNotNull()).select(
         "page_id", "pos", "role", F.col("ctx.slug").alias("slug"),
         F.col("ctx.chapter").alias("chapter"), F.col("ctx.seg").alias("seg"),
@@ -195,31 +204,22 @@ def section_rows(
         skipped = skipped | name.startswith(other)
     starts = F.coalesce(is_anchor & name.startswith(prefix) & ~skipped, F.lit(False))
     stops = F.coalesce(is_anchor & ~name.startswith(prefix) & ~skipped, F.lit(False))
-    marked = elements.withColumn("_block", F.floor(F.col("pos") / BLOCK)).withColumn(
-        "_start", F.when(starts, F.col("pos").cast("bigint"))
-    ).withColumn("_stop", F.when(stops, F.col("pos").cast("bigint")))
-    order = [F.col("pos")]
-    placed = carry(
-        marked, ["page_id"], "_block", order, {"seg": F.col("_start"), "_last_stop": F.col("_stop")}
+    at = F.col("pos").cast("bigint")
+    placed = (
+        elements.withColumn("_start", F.when(starts, at)).withColumn("_stop", F.when(stops, at))
+        .withColumn("seg", _before(F.col("_start"))).withColumn("_last_stop", _before(F.col("_stop")))
+        .withColumn("_next_start", _after(F.col("_start")))
     )
-    placed = carry(placed, ["page_id"], "_block", order, {"_next_start": F.col("_start")}, backward=True)
     # Only the last section of a page is ended by a foreign anchor.
     inside = F.col("seg").isNotNull() & ~(
         F.col("_next_start").isNull() & F.coalesce(F.col("_last_stop") > F.col("seg"), F.lit(False))
     )
-    placed = placed.where(inside)
     verse = F.when(F.col("tag") == "p", parse_verse(F.col("text")))
-    placed = placed.withColumn("verse", verse).withColumn(
+    placed = placed.where(inside).withColumn("verse", verse).withColumn(
         "is_verse", F.coalesce(F.col("verse.is_verse"), F.lit(False))
     )
-
-    def ref() -> Column:
-        return F.when(
-            F.col("is_verse"), F.struct(F.col("pos").cast("bigint").alias("pos"), "seg")
-        )
-
-    placed = carry(placed, ["page_id"], "_block", order, {"last_verse": ref()})
-    placed = carry(placed, ["page_id"], "_block", order, {"next_verse": ref()}, backward=True)
+    ref = _verse_ref(F.col("seg"))
+    placed = placed.withColumn("last_verse", _before(ref)).withColumn("next_verse", _after(ref))
     seen = F.coalesce(F.col("last_verse.seg") == F.col("seg"), F.lit(False))
     ahead = F.coalesce(F.col("next_verse.seg") == F.col("seg"), F.lit(False))
     flat = collapse(F.col("text"))
@@ -239,13 +239,12 @@ def section_rows(
         F.when(F.col("role") == "image", target["seg"]).otherwise(F.col("seg")).alias("target_seg"),
         F.when(F.col("role") == "image", target["pos"]).otherwise(F.col("pos").cast("bigint")).alias("target_pos"),
     ).where(F.col("target_seg").isNotNull())
-    full = rows.where(F.col("role") == "verse").select(
-        F.col("page_id").alias("_page"), F.col("seg").alias("_seg")
-    ).distinct().withColumn("_sb", F.floor(F.col("_seg") / BLOCK))
-    numbered = number_rows(full, ["_page"], ["_sb"], [F.col("_seg")], "chapter").drop("_sb")
-    return rows.join(
-        numbered, (F.col("page_id") == F.col("_page")) & (F.col("target_seg") == F.col("_seg"))
-    ).drop("_page", "_seg").withColumn("slug", F.lit(slug))
+    # Dense numbers for the sections that have verses; the others receive nothing.
+    full = F.max(F.col("role") == "verse").over(W.partitionBy("page_id", "target_seg"))
+    counted = W.partitionBy("page_id").orderBy("target_seg")
+    return rows.withColumn("_full", full).where("_full").withColumn(
+        "chapter", F.dense_rank().over(counted).cast("bigint")
+    ).drop("_full").withColumn("slug", F.lit(slug))
 
 
 def last_segments(rows: DataFrame) -> DataFrame:
@@ -272,16 +271,16 @@ def assemble_chapters(rows: DataFrame, captions: DataFrame | None = None, editio
         )
     else:
         rows = rows.withColumn("_cap", F.lit(None).cast("string"))
-    winners = last_segments(rows).select(
-        F.col("page_id").alias("_p"), "slug", "chapter", F.col("seg").alias("_s")
-    )
     item = F.struct("pos", "target_pos", "role", "number", "text", "src", "_cap")
+    is_verse = F.col("role") == "verse"
     grouped = rows.groupBy("page_id", "target_seg").agg(
-        F.array_sort(F.collect_list(item)).alias("_items")
-    )
-    joined = grouped.join(
-        winners, (F.col("page_id") == F.col("_p")) & (F.col("target_seg") == F.col("_s"))
-    )
+        F.array_sort(F.collect_list(item)).alias("_items"),
+        F.max(F.when(is_verse, F.col("slug"))).alias("slug"),
+        F.max(F.when(is_verse, F.col("chapter"))).alias("chapter"),
+    ).where(F.col("slug").isNotNull())
+    # A repeated chapter anchor with verses replaces the earlier segment.
+    latest = F.max("target_seg").over(W.partitionBy("page_id", "slug", "chapter"))
+    joined = grouped.withColumn("_latest", latest).where(F.col("target_seg") == F.col("_latest"))
     items = F.col("_items")
     verses = F.filter(items, lambda x: x["role"] == "verse")
 
@@ -341,13 +340,9 @@ def page_paragraphs(paragraphs: DataFrame) -> DataFrame:
     the title are dropped.  Result: role, number, text.
     """
     parsed = parse_numbered(F.col("text"))
-    rows = paragraphs.where(is_filled(F.col("text"))).withColumn("_v", parsed).withColumn(
-        "_block", F.floor(F.col("pos") / BLOCK)
-    )
-    first = rows.groupBy("page_id").agg(
-        F.min(F.when(F.col("_v.is_verse"), F.col("pos"))).alias("_first")
-    )
-    rows = rows.join(first, "page_id")
+    rows = paragraphs.where(is_filled(F.col("text"))).withColumn("_v", parsed)
+    first = F.min(F.when(F.col("_v.is_verse"), F.col("pos"))).over(W.partitionBy("page_id"))
+    rows = rows.withColumn("_first", first)
     noise = is_page_mark(F.col("text")) | is_chapter_heading(F.col("text"))
     is_title = F.lower(squeeze_ends(F.col("text"))) == F.lower("title")
     numbered_page = F.col("_first").isNotNull()
@@ -357,7 +352,8 @@ def page_paragraphs(paragraphs: DataFrame) -> DataFrame:
         .when(~numbered_page & ~noise & ~same_heading(F.col("text"), F.col("title")), "implicit")
     )
     kept = rows.withColumn("role", role).where(F.col("role").isNotNull())
-    counted = number_rows(kept, ["page_id", "role"], ["_block"], [F.col("pos")], "_all")
+    place = F.row_number().over(W.partitionBy("page_id", "role").orderBy("pos"))
+    counted = kept.withColumn("_all", place)
     return counted.select(
         "page_id", "pos", F.when(F.col("role") == "implicit", "verse").otherwise(F.col("role")).alias("role"),
         F.when(F.col("role") == "verse", F.col("_v.number"))
@@ -373,8 +369,8 @@ def epigraphs(paragraphs: DataFrame, footer: str) -> DataFrame:
     """
     rows = paragraphs.withColumn("_t", squeeze(F.col("text"))).where(F.col("_t") != "")
     stop = F.col("_t").rlike(r"(?U)^\d+\.\s")
-    first = rows.groupBy("page_id").agg(F.min(F.when(stop, F.col("pos"))).alias("_first"))
-    kept = rows.join(first, "page_id").where(
+    first = F.min(F.when(stop, F.col("pos"))).over(W.partitionBy("page_id"))
+    kept = rows.withColumn("_first", first).where(
         (F.col("_first").isNull() | (F.col("pos") < F.col("_first")))
         & ~is_any_page_mark(F.col("_t")) & ~F.col("_t").rlike(f"(?i){footer}")
         & ~starts_chapter(F.col("_t"))

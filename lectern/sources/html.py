@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern import schemas
@@ -24,7 +25,6 @@ from lectern.functions.text import (
     slugify,
 )
 from lectern.operators.corpus import first_of_each
-from lectern.operators.ordered import carry
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -161,14 +161,11 @@ def headwords(elements: DataFrame) -> DataFrame:
     Same headword slug: bold paragraphs come before definition lists, then page order.
     """
     tag, text = F.col("tag"), content_text(F.col("text"))
-    rows = elements.where(F.col("tag").isin("p", "dt", "dd", "b")).withColumn(
-        "_block", F.floor(F.col("pos") / 4096)
-    )
     near = F.struct("pos", "text")
-    paired = carry(
-        rows, ["page_id"], "_block", [F.col("pos")],
-        {"_bold": F.when(tag == "b", near), "_dd": F.when(tag == "dd", near)}, backward=True,
-    )
+    ahead = W.partitionBy("page_id").orderBy("pos").rowsBetween(0, W.unboundedFollowing)
+    paired = elements.where(F.col("tag").isin("p", "dt", "dd", "b")).withColumn(
+        "_bold", F.first(F.when(F.col("tag") == "b", near), ignorenulls=True).over(ahead)
+    ).withColumn("_dd", F.first(F.when(F.col("tag") == "dd", near), ignorenulls=True).over(ahead))
     # The nearest bold element ahead counts only when it lies inside this one.
     inside = F.coalesce(F.col("_bold.pos") <= F.col("last"), F.lit(False))
     term = clean_headword(content_text(F.col("_bold.text")))
