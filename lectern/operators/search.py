@@ -35,11 +35,15 @@ def search_tokens(text: Column, lang: str | None = None) -> Column:
 def build_index(records: DataFrame, text: str, keys: list[str], lang: str | None = None) -> DataFrame:
     """(token, keys, tf): counted inside the row, so building the index needs no shuffle."""
     tokens = search_tokens(F.col(text), lang)
+    # Every token stands between its own two spaces, so occurrences can be cut out and
+    # counted by length.
+    hay = F.concat(F.lit(" "), F.array_join("_tokens", "  "), F.lit(" "))
     rows = records.select(*keys, once(tokens).alias("_tokens")).select(
-        *keys, "_tokens", F.explode(F.array_distinct("_tokens")).alias("token")
+        *keys, hay.alias("_hay"), F.explode(F.array_distinct("_tokens")).alias("token")
     )
-    tf = F.size(F.filter("_tokens", lambda t: t == F.col("token")))
-    return rows.select("token", *keys, tf.cast("bigint").alias("tf"))
+    word = F.concat(F.lit(" "), "token", F.lit(" "))
+    cut = F.length("_hay") - F.length(F.replace("_hay", word, F.lit("")))
+    return rows.select("token", *keys, (cut / F.length(word)).cast("bigint").alias("tf"))
 
 
 def index_by_language(verses: DataFrame, keys: list[str]) -> DataFrame:

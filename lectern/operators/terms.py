@@ -100,26 +100,27 @@ def rendering_edges(
 ) -> DataFrame:
     """Distinct (keys, slug) where any rendering of the term is a substring of the text.
 
-    Joined on the first two characters of the rendering (one for one-character
-    renderings), then checked in full.
+    Every position of the text gives a window as long as the longest rendering; windows
+    and renderings meet on their first three characters (fewer for shorter renderings) and
+    the window must start with the rendering.  Only windows travel, never the whole text.
     """
     renderings = terms.select(
         "slug", F.explode(F.array(*[F.col(f"translit.{lang}") for lang in LANGS])).alias("_r")
     ).where(is_filled(F.col("_r"))).distinct()
-    side = small_side(renderings.withColumn("_key", F.substring("_r", 1, 2)))
-    t = F.col(text)
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.length(t)),
-                lambda i: F.array(F.substring(t, i, F.lit(1)), F.substring(t, i, F.lit(2))),
-            )
-        )
+    width = F.length("_r")
+    shape = renderings.agg(
+        F.max(width).alias("longest"), F.collect_set(F.least(width, F.lit(3))).alias("keys")
+    ).head()
+    side = small_side(renderings.withColumn("_key", F.substring("_r", 1, 3)))
+    longest, sizes = shape["longest"] or 1, sorted(shape["keys"]) or [3]
+    windows = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1))
+    placed = records.where(is_filled(F.col(text))).select(
+        *keys, F.explode(F.array_distinct(windows)).alias("_w")
     )
-    exploded = records.where(is_filled(t)).select(
-        *keys, t.alias("_text"), F.explode(grams).alias("_key")
+    keyed = placed.select(
+        *keys, "_w", F.explode(F.array(*[F.substring("_w", 1, n) for n in sizes])).alias("_key")
     )
-    hits = exploded.join(side, "_key").where(F.contains(F.col("_text"), F.col("_r")))
+    hits = keyed.join(side, "_key").where(F.startswith(F.col("_w"), F.col("_r")))
     return hits.select(*keys, "slug").dropDuplicates([*keys, "slug"])
 
 

@@ -19,8 +19,22 @@ def none() -> Column:
     return F.lit(None).cast("string")
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when a table comes in fewer splits than there are cores.
+
+    That is only the case for tables far smaller than the cluster; a large table has more
+    splits than cores and is read as it lies, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _case(*pairs, otherwise=None) -> Column:

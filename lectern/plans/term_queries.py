@@ -11,6 +11,7 @@ from lectern.operators import terms as T
 from lectern.plans import binding as B
 from lectern.plans import sql as S
 from lectern.plans.registry import query
+from lectern.session import cut_lineage
 
 KEYS = ["book", "chapter", "chapter_id", "ord", "verse_id"]
 LENGTHS = [2, 3]
@@ -24,11 +25,16 @@ def edges(s, d):
     return T.token_edges(verses(s, d), "en", KEYS, T.term_forms(B.terms(s, d)), LENGTHS)
 
 
+def kept_edges(s, d):
+    """Edges for plans that read them several times: small beside the text they come from."""
+    return cut_lineage(edges(s, d))
+
+
 def placed_edges(s, d):
     """Edges with the position of their book."""
     ch = B.chapters(s, d)
     order = C.number_books(ch, B.books(s, d)).select("book", F.col("position").alias("book_position"))
-    return edges(s, d).join(order, "book")
+    return kept_edges(s, d).join(order, "book")
 
 
 EDGE_ORDER = """
@@ -186,7 +192,7 @@ def _(s, d):
     # Verses with one term are checked in SQL by a plain replacement; verses with several
     # (longest first, leftmost) are covered by brute force in the tests.
     terms = B.terms(s, d)
-    found = edges(s, d).join(terms.select("slug", "term", "position"), "slug")
+    found = kept_edges(s, d).join(terms.select("slug", "term", "position"), "slug")
     several = found.groupBy("chapter_id", "ord").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     tags = found.select("chapter_id", "ord", F.col("term").alias("tag"), F.col("position").alias("tag_no"))
     rows = verses(s, d).join(several, ["chapter_id", "ord"], "left_anti")
@@ -196,7 +202,7 @@ def _(s, d):
 @query("T4_annotate_all")
 def _(s, d):
     terms = B.terms(s, d)
-    tags = edges(s, d).join(terms.select("slug", "term", "position"), "slug").select(
+    tags = kept_edges(s, d).join(terms.select("slug", "term", "position"), "slug").select(
         "chapter_id", "ord", F.col("term").alias("tag"), F.col("position").alias("tag_no")
     )
     out = T.annotate(verses(s, d), tags, terms, "zh_hans", ["chapter_id", "ord"])
@@ -315,7 +321,7 @@ def _(s, d):
     SELECT query_id, chapter_id, ord, rank, (rank - 1) // 10 AS page FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chapter, ord) AS rank FROM found)"""))
 def _(s, d):
-    return Q.number_hits(hits(s, d)).select("query_id", "chapter_id", "ord", "rank", Q.page_of(F.col("rank")).alias("page"))
+    return Q.number_hits(cut_lineage(hits(s, d))).select("query_id", "chapter_id", "ord", "rank", Q.page_of(F.col("rank")).alias("page"))
 
 
 TOP = "SELECT chapter_id, chapter, ord, max(score) AS score FROM found GROUP BY 1, 2, 3 ORDER BY score DESC, chapter, ord"
