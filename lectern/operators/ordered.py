@@ -6,7 +6,8 @@ meet only inside their block; each block then contributes one summary row, the f
 summary rows of a group are linked by a window, and the result is joined back on
 (group, block).  No task ever holds more rows than one block, whatever the group size.
 
-``block`` must never decrease along ``order``.
+``block`` must never decrease along ``order``; ``carry`` and ``neighbours`` take ascending
+order columns.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ def number_rows(
     name: str = "row_no",
     block_order: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Exact 1-based row number per group: local number plus the rows of earlier blocks."""
+    """Exact 1-based row number per group: local number plus the rows of earlier blocks.
+
+    The window over a whole group (or, without a group, over everything) sees one row per
+    block only.
+    """
     keys = [*group, *block]
     local = df.withColumn("_local", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -75,7 +80,7 @@ def carry(
             f"_l_{name}", pick(f"_v_{name}", ignorenulls=True).over(local_frame)
         )
     # The value a block hands on is its last (first) non-null one.
-    rank = F.struct(*[o for o in _plain(order)])
+    rank = F.struct(*order)
     edges = marked.groupBy(*keys).agg(
         *[
             (F.min_by if backward else F.max_by)(
@@ -123,7 +128,7 @@ def neighbours(
         local = local.withColumn("_prev", F.lag("_v").over(local_frame))
     if following:
         local = local.withColumn("_next", F.lead("_v").over(local_frame))
-    rank = F.struct(*_plain(order))
+    rank = F.struct(*order)
     edges = marked.groupBy(*keys).agg(
         F.min_by("_v", rank).alias("_first"), F.max_by("_v", rank).alias("_last")
     )
@@ -144,8 +149,3 @@ def neighbours(
     return out.drop(
         "_v", "_prev", "_next", "_from_before", "_from_after", *[f"_k_{k}" for k in keys]
     )
-
-
-def _plain(order: Sequence[Column]) -> list[Column]:
-    """Order columns for min_by / max_by; callers pass ascending columns only."""
-    return list(order)

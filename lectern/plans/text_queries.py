@@ -51,9 +51,6 @@ def _(s, d):
     return lines(s, d).select("d", "o", X.parse_verse(raw).alias("v")).select("d", "o", "v.*")
 
 
-ANCHOR_SQL = "CASE WHEN d % 5 = 0 THEN source ELSE source || 'Bk' || o END"
-
-
 @query("P3_split_anchor", S.query("v0", """
     SELECT d, o, nullif(regexp_extract(name, '^(.+?)(\\d+)$', 1), '') AS prefix,
            TRY_CAST(nullif(regexp_extract(name, '^(.+?)(\\d+)$', 2), '') AS BIGINT) AS number,
