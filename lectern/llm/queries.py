@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, language_id, sharding, url_rules
+from lectern.llm import bpe, language_id, quality_mil, sharding, simhash, url_rules
 from lectern.llm.store import cut, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+@query("op4_simhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited version, and their likeness."""
+    return simhash.edited(read(spark, sf_dir, "documents"))
+
+
 @query("op5_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of every document's ids and of the text decoded from them."""
@@ -58,6 +64,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+@query("op8_quality_mil")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside the held-out fifth."""
+    return quality_mil.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
