@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, language_id, minhash, quality_mil, sharding, simhash, url_rules
+from lectern.llm import bpe, language_id, minhash, quality_mil, secret_scan, sharding, simhash, url_rules
 from lectern.llm.store import cut, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the known forms, and all spans."""
+    return secret_scan.find(read(spark, sf_dir, "documents"))
+
+
 @query("op3_minhash")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document, on shingles of two words."""
