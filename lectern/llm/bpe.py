@@ -256,8 +256,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode, decode again, and keep counts and digests of both, in one pass over the texts."""
+def _digested(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(_content(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,11 +267,23 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 pieces = vocab.pieces(text or "")
                 ids = joined(pieces)
                 decimal = " ".join([d for _, d in pieces])
-                rows.append((doc_id, len(ids), hashlib.sha256(decimal.encode()).hexdigest(),
-                             hashlib.sha256(vocab.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                row = (doc_id, len(ids), hashlib.sha256(decimal.encode()).hexdigest(),
+                       hashlib.sha256(vocab.decode(ids).encode()).hexdigest())
+                rows.append((*row, ids.astype(np.int32)) if with_ids else row)
+            out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+            yield out.astype({"doc_id": "Int64"})
+
+    return _narrow(docs).mapInPandas(run, DIGEST + ", ids array<int>" * with_ids)
+
+
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """Encode, decode again, and keep counts and digests of both, in one pass over the texts."""
+    return _digested(docs, path, False)
+
 
-    return _narrow(docs).mapInPandas(run, DIGEST)
+def encoded_with_digests(docs: DataFrame, path: str) -> DataFrame:
+    """As ``digests``, with the ids."""
+    return _digested(docs, path, True)
 
 
 def _narrow(docs: DataFrame) -> DataFrame:

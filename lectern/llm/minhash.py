@@ -180,3 +180,16 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group, columns unchanged; of rows with one id only one stays."""
+    from lectern.llm.decontaminate import without_ids
+
+    judged = cut(groups(docs, width, percent).select("doc_id", "kept"), "judged")
+    left = without_ids(docs, judged.where("not kept"))
+    repeated = cut(judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return without_ids(left, repeated).unionByName(once)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, language_id, minhash, quality_mil, secret_scan, sharding, simhash, url_rules
+from lectern.llm import bpe, decontaminate, language_id, minhash, quality_mil, secret_scan, sharding, simhash, url_rules
 from lectern.llm.store import cut, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     urls = url_rules.parsed(read(spark, sf_dir, "pages"))
     return url_rules.judge(urls, rules).drop("n_tried")
+
+
+@query("op10_decontaminate")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, copied or with other values filled in."""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
