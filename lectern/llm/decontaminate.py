@@ -1,15 +1,17 @@
 """Benchmark decontamination by templates (native).
 
 Words become a template: numbers, names (capitalised inside a sentence) and units after a
-number are replaced by typed placeholders, other words are lower-cased and stripped of
-punctuation.  Windows of ``WINDOW`` template words are hashed and joined with those of the
-benchmark.  Windows that lie alike in document and item form an alignment.  In it the filled
-placeholders are compared: a question with other numbers or names in it is still the same
-question if every value of the item is replaced by one value throughout.
-
-A document leaks an item if one alignment has ``ENOUGH`` windows (13 words in a row), or all
-windows of a shorter item, either with equal values, or with consistently replaced ones and
-then at least half of the item's windows.
+number are replaced by typed placeholders, other words are lower-cased (Latin letters) and
+lose their punctuation.  Windows of ``WINDOW`` template words are hashed and joined with those of the
+benchmark: every window of an item, and of a document those that start at every ``STRIDE``-th
+word, so that any ``WINDOW + STRIDE - 1`` words in a row that an item holds are met.  Windows
+that lie alike in document and item form an alignment.  In it the filled placeholders are
+compared: a question with other numbers or names in it is still the same question if every
+value of the item is replaced by one value throughout.
+
+A document leaks an item if one alignment has ``ENOUGH`` windows (12 words in a row), or one
+window of an item too short for more, either with equal values, or with consistently
+replaced ones and then at least half of the item's windows.
 
 Defined results: null and empty texts have no windows; an item shorter than the window is
 one window of its own length; windows with fewer than ``LITERAL`` plain words are common to
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 8
 LITERAL = 4
-ENOUGH = 6
+STRIDE = 4
+ENOUGH = 2
 #: The benchmark's windows are broadcast up to this many bytes, beyond it they are joined by shuffle.
 BROADCAST_BYTES = 16_000_000
 #: Ids up to this many rows (8 bytes each) are broadcast.
@@ -35,70 +38,76 @@ UNITS = (
     "mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec secs second seconds min mins minute minutes h hr hrs hour "
     "hours day days week weeks month months year years mph kmh km/h percent dollar dollars euro euros cent cents usd eur gbp"
 ).split()
-EDGES = ".,;:!?\"'()[]{}«»“”…"
-NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
+# Single characters only: the expression then costs one table look-up per character.
+BREAKS = "[\\t\\n\\x0B\\f\\r !\"'(),.:;?\\[\\]{}«»]+"
 GAP = "\u0001"
+# A mark in front of a word says what it stands for.
+NAME, NUMBER, UNIT = "\u0002", "\u0003", "\u0004"
+
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often and wherever it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def _canon(raw: Column) -> Column:
-    """word and slot of every raw word: the template word, and the value if it is a placeholder."""
-    first = lambda w: F.substring(w, 1, 1)
-    digit = lambda w: (first(w) >= "0") & (first(w) <= "9")
-    big = lambda w: ((first(w) >= "A") & (first(w) <= "Z")) | ((first(w) >= "À") & (first(w) <= "Þ"))
-    units = F.array(*[F.lit(u) for u in UNITS])
 
-    def one(w: Column, i: Column) -> Column:
-        # The word before, as it stands: after a full stop a capital says nothing.
-        before = F.when(i > 0, F.element_at(raw, F.greatest(i, F.lit(1)))).otherwise(F.lit("."))
-        plain = F.call_function("btrim", F.lower(w), F.lit(EDGES))
-        kind = (
-            F.when(digit(w), F.lit(NUMBER))
-            .when(big(w) & ~before.rlike(r"[.!?:|\n]$"), F.lit(NAME))
-            .when(digit(before) & F.array_contains(units, plain), F.lit(UNIT))
-        )
-        return F.struct(F.coalesce(kind, plain).alias("word"), F.when(kind.isNotNull(), plain).alias("slot"))
+def _marked(text: Column) -> Column:
+    """The text with a mark before every name, number and unit.
 
-    return F.transform(raw, one)
+    Each costly replacement only runs on texts that hold what it replaces.
+    """
+    text = F.when(text.rlike("[\u0001-\u0004]"), F.translate(text, NAME + NUMBER + UNIT + GAP, "")).otherwise(text)
+    # After a full stop, a colon or a line break a capital says nothing.
+    named = F.regexp_replace(text, r"(?<=[^\s.!?:|][ \t])(?=\p{Lu})", NAME)
+    text = F.when(text.rlike(r"[^\s.!?:|][ \t]\p{Lu}"), named).otherwise(text)
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    numbered = F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", ""), r"(?<!\S)(?=[0-9])", NUMBER),
+        rf"({NUMBER}\S{{1,40}}\s)(?=(?i:{units})[.,;:!?)]*(?:\s|$))", f"$1{UNIT}")
+    return F.when(text.rlike("[0-9]"), numbered).otherwise(text)
 
 
-def _windows(widths: list[int]) -> Column:
-    """position, hash, slots, literal of every window of each width, over column ``canon``."""
-    lists = [_of_width(n) for n in widths]
+def templates(df: DataFrame, key: str) -> DataFrame:
+    """key and ``t``: hashes of the template words, values of the placeholders, if there are any."""
+    def of(words: Column) -> Column:
+        marked = lambda w: w < "\u0005"  # noqa: E731  no other word starts so low
+        any_slot = F.exists(words, marked)
+        small = lambda w: (w >= "a") & (w < "{")  # noqa: E731  no need to lower-case a word that starts small
+        hashes = F.transform(words, lambda w: F.when(small(w), F.xxhash64(w)).when(marked(w), F.xxhash64(F.substring(w, 1, 1))).otherwise(F.xxhash64(F.lower(w))))
+        values = F.transform(words, lambda w: F.when(marked(w), F.lower(F.substring(w, 2, 2**31 - 1))))
+        return F.struct(hashes.alias("hashes"), F.when(any_slot, values).alias("slots"))
+
+    words = F.array_remove(F.split(_marked(F.coalesce(F.col("text"), F.lit(""))), BREAKS), "")
+    return df.select(F.col(key).cast("long").alias(key), let(words, of).alias("t"))
+
+
+def _windows(t: Column, widths: list[int], stride: int) -> Column:
+    """position, hash, slots of the windows of each width; full windows start every ``stride`` words."""
+    lists = [_of_width(t["hashes"], t["slots"], n, stride if n == WINDOW else 1) for n in widths]
     return lists[0] if len(lists) == 1 else F.concat(*lists)
 
 
-def _of_width(n: int) -> Column:
-    hashes, slots = F.col("hashes"), F.col("slots")
-    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1)).otherwise(F.array().cast("array<int>"))
+def _of_width(hashes: Column, slots: Column, n: int, stride: int) -> Column:
+    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1, F.lit(stride))).otherwise(
+        F.array().cast("array<int>"))
 
     def window(i: Column) -> Column:
-        filled = F.when(F.col("any_slot"), F.array_join(F.slice(slots, i, n), GAP)).otherwise(F.lit(""))
+        filled = F.when(slots.isNotNull(), F.array_join(F.slice(slots, i, n), GAP)).otherwise(F.lit(""))
         return F.struct(i.alias("position"), F.xxhash64(F.lit(n), F.slice(hashes, i, n)).alias("hash"), filled.alias("slots"))
 
     return F.transform(starts, window)
 
 
-def templates(df: DataFrame, key: str) -> DataFrame:
-    """key, hashes and slots of the words, any_slot."""
-    words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+"), lambda w: w != "")
-    # Separate projections, so that the words are cut once and canonised once.
-    raw = df.select(F.col(key).cast("long").alias(key), words.alias("raw"))
-    canon = raw.select(key, _canon(F.col("raw")).alias("canon"))
-    return canon.select(
-        key, F.transform("canon", lambda c: F.xxhash64(c["word"])).alias("hashes"),
-        F.transform("canon", lambda c: c["slot"]).alias("slots"),
-        F.exists("canon", lambda c: c["slot"].isNotNull()).alias("any_slot"))
-
-
 def index(items: DataFrame) -> DataFrame:
     """item_id, item_at, hash, item_slots, n_windows of the benchmark's telling windows."""
-    ready = templates(items.where("text is not null"), "item_id").where(F.size("hashes") >= LITERAL)
+    from lectern.llm.store import cut
+
+    ready = cut(templates(items.where("text is not null"), "item_id").where(F.size("t.hashes") >= LITERAL).coalesce(1), "items")
     out = None
     for n in range(LITERAL, WINDOW + 1):
-        own = ready.where(F.size("hashes") == n if n < WINDOW else F.size("hashes") >= WINDOW)
-        rows = own.select("item_id", "slots", F.explode(_windows([n])).alias("w")).select(
+        own = ready.where(F.size("t.hashes") == n if n < WINDOW else F.size("t.hashes") >= WINDOW)
+        rows = own.select("item_id", F.explode(_windows(F.col("t"), [n], 1)).alias("w")).select(
             "item_id", F.col("w.position").alias("item_at"), "w.hash", F.col("w.slots").alias("item_slots"),
-            F.size(F.filter(F.slice("slots", F.col("w.position"), n), lambda s: s.isNull())).alias("literal"), F.lit(n).alias("width"))
+            (n - F.when(F.col("w.slots") == "", 0).otherwise(F.size(F.split("w.slots", GAP)))).alias("literal"), F.lit(n).alias("width"))
         out = rows if out is None else out.unionByName(rows)
     telling = out.where(F.col("literal") >= LITERAL).drop("literal").distinct()
     counts = telling.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
@@ -115,7 +124,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     widths = sorted(facts["widths"]) or [WINDOW]  # at most five numbers
     side = filed.drop("width")
     side = F.broadcast(side) if facts["bytes"] <= BROADCAST_BYTES else side
-    windows = templates(docs.where("doc_id is not null"), "doc_id").select("doc_id", F.explode(_windows(widths)).alias("w"))
+    windows = templates(docs.where("doc_id is not null"), "doc_id").select(
+        "doc_id", F.explode(let(F.col("t"), lambda t: _windows(t, widths, STRIDE))).alias("w"))
     met = windows.select("doc_id", F.col("w.position").alias("at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots")).join(side, "hash")
     equal = F.col("slots") == F.col("item_slots")
     pairs = F.when(equal, F.array().cast("array<struct<theirs:string,ours:string>>")).otherwise(F.zip_with(
@@ -128,12 +138,13 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.countDistinct(F.when(equal, F.col("item_at"))).alias("same"),
         F.array_distinct(F.flatten(F.collect_set(F.when(equal, kept).otherwise(pairs)))).alias("values"))
     consistent = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["theirs"])))
-    enough = F.least(F.lit(ENOUGH), F.col("n_windows"))
+    possible = F.greatest(F.lit(1), F.floor((F.col("n_windows") - 1) / STRIDE))  # the first word may differ by its place in a sentence
+    enough = F.least(F.lit(ENOUGH), possible)
     kind = F.when(F.col("same") >= enough, F.lit("copied")).when(
-        consistent & (F.col("found") >= enough) & (2 * F.col("found") >= F.col("n_windows")), F.lit("reparameterised"))
+        consistent & (F.col("found") >= enough) & (2 * F.col("found") >= possible), F.lit("reparameterised"))
     judged = aligned.withColumn("kind", kind).where("kind is not null")
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct(
-        "found", (F.col("found") / F.col("n_windows")).alias("share"), (F.col("kind") == "copied").alias("copied"))).alias("best"))
+        "found", F.least(F.lit(1.0), F.col("found") / possible).alias("share"), (F.col("kind") == "copied").alias("copied"))).alias("best"))
     return best.select(
         "doc_id", "item_id", F.col("best.found").cast("long").alias("n_windows"), F.col("best.share").alias("share"),
         F.when(F.col("best.copied"), F.lit("copied")).otherwise(F.lit("reparameterised")).alias("kind"))

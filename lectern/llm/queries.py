@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language_id, minhash, quality_mil, secret_scan, sharding, simhash, url_rules
+from lectern.llm import bpe, decontaminate, language_id, minhash, quality_mil, secret_scan, sharding, simhash, suffix_dedup, url_rules
 from lectern.llm.store import cut, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that occur elsewhere."""
+    return suffix_dedup.remove(read(spark, sf_dir, "documents"))
+
+
 SHARDS = 8
 
 
