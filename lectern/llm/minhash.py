@@ -5,13 +5,15 @@ A table is a pair of bands, one of each collection, so ``SIDE`` squared tables w
 ``2 * WIDTH`` minima cost only ``2 * SIDE * WIDTH`` minima.  At a similarity of 0.8 a pair
 shares no table with probability 7e-5.
 
-Documents with equal shingle sets are one class.  In every table each class meets the
-smallest class of its bucket; what is linked after confirmation forms components.  Then, in
-buckets that still hold several components, classes of different components meet, so no
-pair that shares a bucket is left unseen, while a group of near copies never expands into
-all its pairs.  Before the texts are fetched, a pair is dropped if its sizes alone, or fewer
-than ``AGREE`` of its ``2 * SIDE * WIDTH`` minima, rule the threshold out (at 0.8 that loses
-2 in 100,000).  Links are confirmed on the full sets of shingles.
+Documents with equal shingle sets are one class.  Each class meets the smallest leader of
+its buckets, a leader being a bucket's smallest class; what is linked after confirmation
+forms components.  Then it meets one leader of each other component in its buckets.  At
+last, in buckets that still hold several components, classes of different components meet,
+so no pair that shares a bucket is left unseen, while a group of near copies never expands
+into all its pairs.  Before the texts are fetched, a pair is dropped if its sizes or the parity
+bitmaps of its sets prove it below the threshold, or if fewer than ``AGREE`` of its
+``2 * SIDE * WIDTH`` minima agree (at 0.8 that loses 2 in 100,000).  Links are confirmed on
+the full sets of shingles.
 
 Defined results: null texts and texts without a word have no shingles and link with nothing;
 fewer words than the shingle's width are one shingle; an id that occurs with several texts
@@ -37,6 +39,8 @@ from lectern.llm.store import cut
 SIDE, WIDTH = 10, 2
 MINIMA = 2 * SIDE * WIDTH
 AGREE = 21
+#: Longs of a class's parity bitmap: each shingle flips one bit.
+PARITY = 32
 #: Tables of ids up to this many rows (8 bytes each) are broadcast, larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -54,8 +58,14 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bitmap in which every shingle flips one bit."""
+    flips = np.bincount((shingles & np.uint64(PARITY * 64 - 1)).astype(np.int64), minlength=PARITY * 64) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, a, b, sketch of every document."""
+    """doc_id, n_shingles, set_key, a, b, sketch, parity of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = words.WordHash()
@@ -64,18 +74,18 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 own = np.unique(words.shingles(words.hashes(words.words_of(text), known), width))
                 if not len(own):
-                    rows.append((doc_id, 0, None, None, None, None))
+                    rows.append((doc_id, 0, None, None, None, None, None))
                     continue
                 low = minima(own)
                 bands = words.mix(words.mix(low[0::WIDTH]) + low[1::WIDTH] * np.uint64(3)).view(np.int64)
                 rows.append((doc_id, len(own), xxhash.xxh3_128_hexdigest(own.tobytes()), bands[:SIDE], bands[SIDE:],
-                             low.astype(np.uint16).tobytes()))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "a", "b", "sketch"])
+                             low.astype(np.uint16).tobytes(), parity(own)))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "a", "b", "sketch", "parity"])
             yield out.astype({"doc_id": "Int64"})
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInPandas(
-        run, "doc_id long, n_shingles long, set_key string, a array<long>, b array<long>, sketch binary")
+        run, "doc_id long, n_shingles long, set_key string, a array<long>, b array<long>, sketch binary, parity array<long>")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -93,16 +103,26 @@ def _agree(a: str, b: str):
     return sum((F.when(part(a, k) == part(b, k), 1).otherwise(0) for k in range(MINIMA)), F.lit(0))
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+def _room(size_u: str, size_v: str, parity_u: str, parity_v: str, percent: int):
+    """Do sizes and parities leave room for the threshold?  Never false for a link.
+
+    Every bit in which two parities differ needs a shingle that only one side has, so the
+    differing bits bound the intersection from above.
+    """
+    differ = sum((F.bit_count(F.get(parity_u, F.lit(k)).bitwiseXOR(F.get(parity_v, F.lit(k)))) for k in range(PARITY)), F.lit(0))
+    both = F.col(size_u) + F.col(size_v)
+    # 100 * common >= percent * (both - common), with common at most half of what does not differ
+    return (100 * F.least(size_u, size_v) >= percent * F.greatest(size_u, size_v)) & (
+        (100 + percent) * F.shiftright(both - differ, 1) >= percent * both)
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of classes whose sizes and minima leave room for the threshold."""
     side = lambda n: classes.select(
-        F.col("node").alias(n), F.col("n_shingles").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}"))
+        F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("n_shingles", "sketch", "parity")])
     both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return both.where(_sizes_fit("size_u", "size_v", percent) & (_agree("sketch_u", "sketch_v") >= AGREE)).select("u", "v")
+    room = _room("n_shingles_u", "n_shingles_v", "parity_u", "parity_v", percent)
+    return both.where(room & (_agree("sketch_u", "sketch_v") >= AGREE)).select("u", "v")
 
 
 def shingle_set(text: str | None, width: int) -> frozenset:
@@ -141,18 +161,48 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return both.select("u", "v", "text_u", "text_v").mapInPandas(run, "u long, v long")
 
 
+def _component(df: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
+    """``df`` with the component of column ``node``; a node without links is its own."""
+    side = comps.select(F.col("node").alias(node), F.col("component").alias(name))
+    return df.join(side, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def across(met: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (u, v): each class with one leader per foreign component among its buckets."""
+    pairs = met.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    placed = _component(_component(pairs, comps, "u", "cu"), comps, "v", "cv").where("cu <> cv")
+    return placed.groupBy("v", "cu").agg(F.min("u").alias("u")).select("u", "v")
+
+
 def crossing(met: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one bucket whose classes are still in different components."""
-    placed = met.select("key", "node").join(comps, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component"))
+    """Pairs (u, v) of one bucket whose classes are still in different components.
+
+    Such pairs meet under a band of the first collection.  Each is taken under the first band
+    that it shares, and only if it shares one of the second collection too, so it comes once.
+    """
+    placed = _component(met.select("key", "node"), comps, "node", "component")
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    rows = placed.join(mixed, "key").join(classes.select("node", "n_shingles", "sketch"), "node")
-    left = rows.select("key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("n_shingles").alias("size_u"), F.col("sketch").alias("sketch_u"))
-    right = rows.select("key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("n_shingles").alias("size_v"), F.col("sketch").alias("sketch_v"))
-    on = ["key"]
-    pairs = left.join(right, on).where(
-        (F.col("cu") < F.col("cv")) & _sizes_fit("size_u", "size_v", percent) & (_agree("sketch_u", "sketch_v") >= AGREE))
-    return pairs.select("u", "v").distinct()
+    nodes = placed.join(mixed, "key").select("node", "component").distinct().join(classes, "node")
+    rows = nodes.select("*", F.posexplode("a").alias("band", "value"))
+    side = lambda n: rows.select(
+        "band", "value", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "component", "n_shingles", "parity", "a", "b")])
+    shared = lambda c, upto: sum((F.when(F.get(f"{c}_u", F.lit(k)) == F.get(f"{c}_v", F.lit(k)), 1).otherwise(0)
+                                  * (1 if upto is None else (F.lit(k) < upto).cast("int")) for k in range(SIDE)), F.lit(0))
+    met_once = (shared("a", F.col("band")) == 0) & (shared("b", None) > 0)
+    pairs = side("u").join(side("v"), ["band", "value"]).where(
+        (F.col("component_u") < F.col("component_v"))
+        & _room("n_shingles_u", "n_shingles_v", "parity_u", "parity_v", percent) & met_once)
+    return pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+
+
+def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: those that a link joins become one."""
+    both = _component(_component(links, comps, "u", "cu"), comps, "v", "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    again = cut(components(both), "merged")
+    moved = comps.join(again.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left").select(
+        "node", F.coalesce("last", "component").alias("component"))
+    fresh = again.join(comps, "node", "left_anti")
+    return cut(moved.unionByName(fresh), "components")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -161,21 +211,24 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     known = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(known.groupBy("set_key").agg(
         F.min("doc_id").alias("node"),
-        F.min_by(F.struct("n_shingles", "a", "b", "sketch"), "doc_id").alias("own"),
+        F.min_by(F.struct("n_shingles", "a", "b", "sketch", "parity"), "doc_id").alias("own"),
     ).select("set_key", "node", "own.*"), "classes")
     met = cut(buckets(classes), "buckets")
-    first = met.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    tried = cut(plausible(first, classes, percent), "pairs")
-    links = cut(confirm(tried, docs, width, percent), "confirmed")
-    comps = cut(components(links), "components")
-    rest = cut(crossing(met, classes, comps, percent).join(tried, ["u", "v"], "left_anti"), "crossing")
-    more = confirm(rest, docs, width, percent)
-    # Components shrink to their smallest node before the second round.
-    merged = more.join(comps.withColumnRenamed("node", "u"), "u", "left").withColumn("cu", F.coalesce("component", "u")).drop("component").join(
-        comps.withColumnRenamed("node", "v"), "v", "left").withColumn("cv", F.coalesce("component", "v")).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    again = components(merged).select(F.col("node").alias("component"), F.col("component").alias("last"))
-    of_class = classes.select("set_key", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")).join(
-        again, "component", "left").select("set_key", F.coalesce("last", "component").alias("component_id"))
+    tried = None
+    comps = cut(classes.select("node", F.col("node").alias("component")).limit(0), "components")
+    # First the smallest leader of each class, then one leader of each foreign component it
+    # meets, at last whatever still meets across components.
+    for pairs_of in (
+        lambda: met.where("node <> leader").groupBy(F.col("node").alias("v")).agg(F.min("leader").alias("u")),
+        lambda: across(met, comps),
+        lambda: crossing(met, classes, comps, percent),
+    ):
+        pairs = pairs_of().select("u", "v")
+        fresh = pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
+        fresh = cut(plausible(fresh, classes, percent), "pairs")
+        comps = _merge(comps, cut(confirm(fresh, docs, width, percent), "confirmed"))
+        tried = fresh if tried is None else tried.unionByName(fresh)
+    of_class = _component(classes.select("set_key", "node"), comps, "node", "component_id").select("set_key", "component_id")
     joined = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
