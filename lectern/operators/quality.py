@@ -328,7 +328,7 @@ def check_unknown_terms(results: DataFrame) -> DataFrame:
 
 
 def check_locks(
-    records: DataFrame, terms: DataFrame, forms: DataFrame, lengths: Sequence[int] | None = None
+    records: DataFrame, terms: DataFrame, forms: DataFrame
 ) -> DataFrame:
     """Every term standing in the English must be rendered as locked, per language.
 
@@ -336,7 +336,7 @@ def check_locks(
     along with the token runs, so nothing large is joined back.
     """
     edges = token_edges(
-        records, "en", ["chapter_id", "label"], forms, lengths, carried=list(LANGS)
+        records, "en", ["chapter_id", "label"], forms, carried=list(LANGS)
     )
     locked = terms.select("slug", F.col("term").alias("_term"), F.col("translit").alias("_tl"))
     checks = edges.join(locked, "slug").select(

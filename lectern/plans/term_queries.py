@@ -14,7 +14,6 @@ from lectern.plans.registry import query
 from lectern.session import cut_lineage
 
 KEYS = ["book", "chapter", "chapter_id", "ord", "verse_id"]
-LENGTHS = [2, 3]
 
 
 def verses(s, d):
@@ -22,7 +21,7 @@ def verses(s, d):
 
 
 def edges(s, d):
-    return T.token_edges(verses(s, d), "en", KEYS, T.term_forms(B.terms(s, d)), LENGTHS)
+    return T.token_edges(verses(s, d), "en", KEYS, T.term_forms(B.terms(s, d)))
 
 
 def kept_edges(s, d):
