@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered per Python worker before the table is emptied.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 END = "\n"  # stands for the end-of-word mark; no byte maps to it
 
 # The characters that byte-level vocabularies use for the 256 bytes.
