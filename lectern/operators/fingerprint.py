@@ -1,10 +1,10 @@
 """Source fingerprints: verse, chapter, book; drift and stale bindings.
 
 Verse and chapter fingerprints are computed inside the chapter row.  A book fingerprint
-hashes its chapter fingerprints in chapter order.  Up to ``FAN`` consecutive chapter
-numbers that is one string, hashed once.  A larger book is hashed as a tree: each run of
-``FAN`` numbers gives one digest and the digests are hashed again, so no task ever holds
-the digests of a whole huge book.
+hashes its chapter fingerprints in chapter order, as a tree over their places: each
+``FAN`` neighbours give one digest, and the digests are hashed again until one is left.  A
+book of up to ``FAN`` chapters, whatever their numbers, is one string hashed once, and no
+task ever holds the digests of a whole huge book.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import caption_key, is_filled, sha16
+from lectern.operators.ordered import number_by
 
 FAN = 4096
 LEVELS = 4
@@ -56,12 +57,15 @@ def verse_fingerprints(chapters: DataFrame) -> DataFrame:
     )
 
 
-def book_fingerprints(fingerprints: DataFrame) -> DataFrame:
-    """(book, book_en_sha) from (book, chapter, src_sha)."""
-    level = fingerprints.select("book", F.col("chapter").cast("bigint").alias("_n"),
-                                F.col("src_sha").alias("_d"))
+def book_fingerprints(fingerprints: DataFrame, fan: int = FAN) -> DataFrame:
+    """(book, book_en_sha) from (book, chapter, src_sha): one row per book."""
+    rows = fingerprints.select("book", F.col("chapter").cast("bigint").alias("_c"),
+                               F.col("src_sha").alias("_d"))
+    level = number_by(rows, ["book"], "_c", "_n", [F.col("_d")]).select(
+        "book", (F.col("_n") - 1).alias("_n"), "_d"
+    )
     for depth in range(LEVELS):
-        grouped = level.groupBy("book", F.floor(F.col("_n") / FAN).alias("_b"))
+        grouped = level.groupBy("book", F.floor(F.col("_n") / fan).alias("_b"))
         joined = F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("_n", "_d"))), lambda p: p["_d"]), ""
         )

@@ -51,6 +51,44 @@ def number_rows(
     )
 
 
+def number_by(
+    df: DataFrame, group: Sequence[str], number: str, name: str, order: Sequence[Column] = (), bits: int = 21
+) -> DataFrame:
+    """Exact 1-based row number per group along a 64-bit integer column, whatever its gaps.
+
+    Rows meet in runs of ``2**bits`` numbers, run sizes in runs of ``2**(2 * bits)`` and
+    those per group, so each window is bounded by the width of a run, not by the group.
+    Rows with equal numbers follow ``order``; null numbers come first.
+    """
+    rows = df.withColumn("_run", F.shiftright(F.col(number), bits))
+    sizes = rows.groupBy(*group, "_run").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
+        "_outer", F.shiftright("_run", bits)
+    )
+    outer = sizes.groupBy(*group, "_outer").agg(F.sum("_rows").alias("_rows"))
+
+    def earlier(keys: Sequence[str], along: str) -> Column:
+        before = W.partitionBy(*keys).orderBy(F.col(along).asc_nulls_first())
+        return F.coalesce(F.sum("_rows").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    def meet(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+        named = right.select([F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])
+        cond = F.lit(True)
+        for key in keys:
+            cond = cond & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
+        return left.join(named, cond).drop(*[f"_k_{key}" for key in keys])
+
+    outer = outer.select(*group, "_outer", earlier(group, "_outer").alias("_before"))
+    inner = sizes.withColumn("_inside", earlier([*group, "_outer"], "_run"))
+    starts = meet(inner, outer, [*group, "_outer"]).select(
+        *group, "_run", (F.col("_before") + F.col("_inside")).alias("_start")
+    )
+    along = W.partitionBy(*group, "_run").orderBy(F.col(number).asc_nulls_first(), *order)
+    local = rows.withColumn("_local", F.row_number().over(along))
+    return meet(local, starts, [*group, "_run"]).withColumn(
+        name, F.col("_start") + F.col("_local")
+    ).drop("_run", "_start", "_local")
+
+
 def carry(
     df: DataFrame,
     group: Sequence[str],

@@ -382,9 +382,10 @@ def _(s, d):
     return FP.chapter_fingerprints(B.chapters(s, d))
 
 
-# Four levels of the digest tree; a single child passes through.
+# Four levels of the digest tree over the places of the chapters; a single child passes through.
 BOOK_FP = f"""
-    b0 AS (SELECT book, chapter // 4096 AS n, {S.sha16("string_agg(src_sha, '' ORDER BY chapter)")} AS x FROM cfp GROUP BY 1, 2),
+    ranked AS (SELECT book, src_sha, row_number() OVER (PARTITION BY book ORDER BY chapter, src_sha) - 1 AS place FROM cfp),
+    b0 AS (SELECT book, place // 4096 AS n, {S.sha16("string_agg(src_sha, '' ORDER BY place)")} AS x FROM ranked GROUP BY 1, 2),
     b1 AS (SELECT book, n // 4096 AS n, CASE WHEN count(*) = 1 THEN any_value(x) ELSE {S.sha16("string_agg(x, '' ORDER BY b0.n)")} END AS x FROM b0 GROUP BY 1, 2),
     b2 AS (SELECT book, n // 4096 AS n, CASE WHEN count(*) = 1 THEN any_value(x) ELSE {S.sha16("string_agg(x, '' ORDER BY b1.n)")} END AS x FROM b1 GROUP BY 1, 2),
     b3 AS (SELECT book, CASE WHEN count(*) = 1 THEN any_value(x) ELSE {S.sha16("string_agg(x, '' ORDER BY b2.n)")} END AS book_en_sha FROM b2 GROUP BY 1)"""
@@ -434,13 +435,17 @@ def _(s, d):
     return FP.drifted(FP.chapter_fingerprints(edited), FP.chapter_fingerprints(ch)).select("chapter_id")
 
 
-@query("FP7_stale_binding", S.query("heads", """
-    SELECT chapter_id, book, d % 23 = 1 AS version_mismatch, book IN ('src3', 'src13') AS snapshot_stale,
-           d % 31 = 2 AS binding_changed FROM heads WHERE d % 2 = 1"""))
-def _(s, d):
+def bindings(s, d):
+    """(snapshots, manifests) of all books; two snapshots are older than their source."""
     known = B.chapters(s, d).select("book").distinct()
     v = F.concat(F.lit("v-"), "book").alias("version")
     sha = F.concat(F.lit("sha-"), "book")
     snapshots = known.select("book", v, F.when(F.col("book").isin("src3", "src13"), "older").otherwise(sha).alias("book_en_sha"))
-    manifests = known.select("book", sha.alias("book_en_sha"))
-    return FP.stale_bindings(B.results(s, d), snapshots, manifests)
+    return snapshots, known.select("book", sha.alias("book_en_sha"))
+
+
+@query("FP7_stale_binding", S.query("heads", """
+    SELECT chapter_id, book, d % 23 = 1 AS version_mismatch, book IN ('src3', 'src13') AS snapshot_stale,
+           d % 31 = 2 AS binding_changed FROM heads WHERE d % 2 = 1"""))
+def _(s, d):
+    return FP.stale_bindings(B.results(s, d), *bindings(s, d))

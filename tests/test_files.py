@@ -122,7 +122,7 @@ def test_fingerprints(spark, corpus):
     books = {r.book: r.book_en_sha for r in FP.book_fingerprints(FP.chapter_fingerprints(ch)).collect()}
     assert books["b"] == sha(got["b.1"] + got["b.10"]) and books["a"] == sha(got["a.2"])
     far = spark.createDataFrame([("w", 1, "x"), ("w", 5000, "y"), ("w", 5001, "z")], "book string, chapter bigint, src_sha string")
-    assert FP.book_fingerprints(far).head().book_en_sha == sha(sha("x") + sha("yz"))
+    assert FP.book_fingerprints(far).head().book_en_sha == sha("xyz")
     kinds = {r.kind: r["count"] for r in FP.build_manifest(ch).groupBy("kind").count().collect()}
     assert kinds == {"verse": 5, "preamble": 3, "caption": 1}
 
@@ -154,3 +154,18 @@ def test_pages(spark, corpus):
     assert P.placeholder(numbered).count() == 0 and P.placeholder(numbered.limit(0)).count() == 1
     P.write_pages(P.render_chapters(ch, numbered), str(corpus / "pages"))
     assert spark.read.parquet(str(corpus / "pages")).count() == 3
+
+
+def test_book_digest_follows_places_not_numbers(spark):
+    from lectern.functions.text import sha16
+    from pyspark.sql import functions as F
+
+    def sha(text):
+        return spark.range(1).select(sha16(F.lit(text)).alias("x")).head().x
+
+    rows = [("b", 2**50, "r"), ("b", 4096, "q"), ("b", 4095, "p"), ("c", 1, "p"), ("c", 2, "q"), (None, 5, "z")]
+    books = spark.createDataFrame(rows, "book string, chapter bigint, src_sha string")
+    got = {r.book: r.book_en_sha for r in FP.book_fingerprints(books).collect()}
+    assert got == {"b": sha("pqr"), "c": sha("pq"), None: sha("z")}
+    tree = {r.book: r.book_en_sha for r in FP.book_fingerprints(books, fan=2).collect()}
+    assert tree["b"] == sha(sha("pq") + sha("r")) and tree["c"] == got["c"]
