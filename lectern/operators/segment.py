@@ -189,13 +189,13 @@ def standard_rows(elements: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def section_rows(
-    elements: DataFrame, prefix: str, slug: str, skip: Sequence[str] = ()
+    elements: DataFrame, prefix: str | Column, slug: str | Column, skip: Sequence[str] = ()
 ) -> DataFrame:
     """Books whose chapters are named sections (anchors ``<prefix>...``).
 
     Here a picture waits for the next verse of its section, trailing pictures go to the
     section's last verse, and a section without verses passes its pictures on.  ``chapter``
-    numbers the sections that have verses 1..n.
+    numbers the sections that have verses 1..n.  Prefix and slug may be columns of the page.
     """
     name = F.col("name")
     is_anchor = (F.col("tag") == "a") & is_filled(name)
@@ -206,7 +206,8 @@ def section_rows(
     stops = F.coalesce(is_anchor & ~name.startswith(prefix) & ~skipped, F.lit(False))
     at = F.col("pos").cast("bigint")
     placed = (
-        elements.withColumn("_start", F.when(starts, at)).withColumn("_stop", F.when(stops, at))
+        elements.withColumn("slug", F.lit(slug))
+        .withColumn("_start", F.when(starts, at)).withColumn("_stop", F.when(stops, at))
         .withColumn("seg", _before(F.col("_start"))).withColumn("_last_stop", _before(F.col("_stop")))
         .withColumn("_next_start", _after(F.col("_start")))
     )
@@ -235,7 +236,7 @@ def section_rows(
         "page_id", "pos", "role", "seg", F.col("verse.number").alias("number"),
         F.when(F.col("role") == "verse", F.col("verse.rest"))
         .when(F.col("role") == "preamble", flat).alias("text"),
-        "src",
+        "src", "slug",
         F.when(F.col("role") == "image", target["seg"]).otherwise(F.col("seg")).alias("target_seg"),
         F.when(F.col("role") == "image", target["pos"]).otherwise(F.col("pos").cast("bigint")).alias("target_pos"),
     ).where(F.col("target_seg").isNotNull())
@@ -244,7 +245,7 @@ def section_rows(
     counted = W.partitionBy("page_id").orderBy("target_seg")
     return rows.withColumn("_full", full).where("_full").withColumn(
         "chapter", F.dense_rank().over(counted).cast("bigint")
-    ).drop("_full").withColumn("slug", F.lit(slug))
+    ).drop("_full")
 
 
 def last_segments(rows: DataFrame) -> DataFrame:

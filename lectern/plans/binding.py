@@ -276,12 +276,12 @@ def term_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def elements(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
     """Element stream of one page per document.
 
     Line 1 is the book title anchor; every 12th line from 2 on a chapter anchor; lines 7
     and 11 of each dozen pictures; line 4 an epigraph paragraph; line 3 a chapter heading;
-    line 13, 37, ... a gallery anchor; the rest numbered verses.
+    line 13, 37, ... a gallery anchor; the rest numbered verses.  ``kept`` columns stay.
     """
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("page_id"), "source", F.posexplode(F.split("text", "\n")).alias("_i", "line")
@@ -301,7 +301,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         (m == 4, F.col("line")), otherwise=_add(o, ". ", F.col("line")),
     )
     return docs.select(
-        "page_id", o.alias("pos"), tag.alias("tag"), name.alias("name"),
+        "page_id", *kept, o.alias("pos"), tag.alias("tag"), name.alias("name"),
         F.when(m.isin(7, 11) & (o != 1) & (o % 24 != 13), _add("x_files/image", o % 40, ".jpg")).alias("src"),
         text.alias("text"),
     )

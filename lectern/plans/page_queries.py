@@ -192,11 +192,12 @@ def _(s, d):
 
 
 @query("A10_join_preamble", S.query("roles", f"""
-    SELECT page_id, count(*) AS n_parts, {S.sha16(FLAT.format("string_agg(line, ' ' ORDER BY pos)"))} AS sha FROM roles WHERE role = 'preamble' AND m = 4 GROUP BY 1"""))
+    SELECT page_id, seg, count(*) AS n_parts, {S.sha16(FLAT.format("string_agg(CASE WHEN m = 4 THEN line ELSE pos || '. ' || line END, ' ' ORDER BY pos)"))} AS sha
+    FROM roles WHERE role = 'preamble' GROUP BY 1, 2"""))
 def _(s, d):
-    pre = rows(s, d).where("role = 'preamble' and pos % 12 = 4")
+    pre = rows(s, d).where("role = 'preamble'")
     joined = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"])
-    return pre.groupBy("page_id").agg(
+    return pre.groupBy("page_id", "seg").agg(
         F.count(F.lit(1)).alias("n_parts"), X.sha16(X.collapse(F.array_join(joined, " "))).alias("sha")
     )
 
@@ -209,7 +210,7 @@ def _(s, d):
 
 # Sections: anchors <source>_<k>; the gallery anchor ends only the last section.
 SECTIONS = r"""
-    s0 AS (SELECT *, CASE WHEN anchor = 'chapter' THEN pos END AS st, CASE WHEN anchor IN ('title', 'gallery') THEN pos END AS sp FROM elements WHERE source = 'src1'),
+    s0 AS (SELECT *, CASE WHEN anchor = 'chapter' THEN pos END AS st, CASE WHEN anchor IN ('title', 'gallery') THEN pos END AS sp FROM elements),
     s1 AS (SELECT *, last_value(st IGNORE NULLS) OVER b AS seg2, last_value(sp IGNORE NULLS) OVER b AS stop, first_value(st IGNORE NULLS) OVER a AS nxt FROM s0
            WINDOW b AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                   a AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
@@ -229,11 +230,8 @@ SECTIONS = r"""
                        CASE WHEN ns = seg2 OR last_v IS NULL THEN nv ELSE last_v END FROM s3 WHERE tag = 'img') x
     JOIN s5 ON s5.page_id = x.page_id AND s5.seg2 = x.tseg"""))
 def _(s, d):
-    # Section books name their prefix; one source is read as such a book here.
-    one = B.elements(s, d).join(
-        B.table(s, d, "documents").where("source = 'src1'").select(F.col("doc_id").alias("page_id")), "page_id"
-    )
-    out = G.section_rows(one, "src1_", "src1")
+    # Section books name their prefix; every source is read as such a book here.
+    out = G.section_rows(B.elements(s, d, "source"), F.concat("source", F.lit("_")), F.col("source"))
     return out.where("role <> 'preamble'").select("page_id", "pos", "role", "target_pos", "chapter")
 
 
