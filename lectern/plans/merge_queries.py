@@ -10,9 +10,10 @@ from lectern.operators import fingerprint as FP
 from lectern.operators import joins as J
 from lectern.operators import merge as M
 from lectern.operators import quality as K
+from lectern.operators import validate as V
 from lectern.plans import binding as B
 from lectern.plans import sql as S
-from lectern.plans.corpus_queries import CHAPTER_FP
+from lectern.plans.corpus_queries import CHAPTER_FP, bindings
 from lectern.plans.registry import query
 
 
@@ -75,19 +76,29 @@ def _(s, d):
 
 
 def failures(s, d):
-    """Chapters whose result fails coverage or language checks."""
-    want = C.verses_of(B.chapters(s, d)).where("chapter % 2 = 1")
-    got = M.results_by_position(B.results(s, d))
-    return K.check_result_coverage(want, got).select(F.col("path").alias("chapter_id")).distinct()
+    """Chapters whose result breaks any rule."""
+    broken = V.validate_results(B.chapters(s, d), B.results(s, d), B.terms(s, d), *bindings(s, d))
+    return broken.select(F.col("path").alias("chapter_id")).distinct()
 
 
-# A chapter is refused when a verse is missing, foreign, out of place or blank, or when
-# its source changed since the manifest (every 7th document here).
+# A chapter is refused for every planted defect: verses missing, foreign, out of place or
+# blank; kana; preamble; captions; tags; unknown terms; locks; bindings; or when its source
+# changed since the manifest (every 7th document here).  Even documents have no result.
 REFUSED = """
     refused AS (SELECT DISTINCT d FROM (
         SELECT w.d FROM (SELECT d, ord, verse_id FROM verses WHERE d % 2 = 1) w
         LEFT JOIN rverses r ON w.d = r.d AND w.ord = r.ord WHERE w.verse_id IS DISTINCT FROM r.r_id
         UNION ALL SELECT d FROM rverses WHERE trim(r_hant) = '' OR trim(r_hans) = '' OR trim(r_ja) = ''
+        UNION ALL SELECT d FROM rverses WHERE regexp_matches(r_hant, '[぀-ヿ]') OR regexp_matches(r_hans, '[぀-ヿ]')
+        UNION ALL SELECT d FROM heads WHERE d % 4 = 1 AND pre_en <> ''
+        UNION ALL SELECT v.d FROM verses v LEFT JOIN rcaps c ON c.cap_idx = v.verse_id || '#0' WHERE v.cap_en IS NOT NULL AND c.cap_idx IS NULL
+        UNION ALL SELECT c.d FROM rcaps c LEFT JOIN verses v ON v.cap_en IS NOT NULL AND c.cap_idx = v.verse_id || '#0' WHERE v.d IS NULL
+        UNION ALL SELECT d FROM rcaps WHERE c_ja IS NULL
+        UNION ALL SELECT d FROM rverses WHERE r_tag IS NOT NULL AND r_tag NOT IN (SELECT slug FROM terms) AND r_tag NOT IN (SELECT lower(term) FROM terms)
+        UNION ALL SELECT e.chapter FROM edges e JOIN rverses r ON r.d = e.chapter AND r.ord = e.ord JOIN terms t ON t.slug = e.slug
+          WHERE (t.zh_hant <> '' AND NOT contains(r.r_hant, t.zh_hant)) OR (t.zh_hans <> '' AND NOT contains(r.r_hans, t.zh_hans))
+             OR (t.ja <> '' AND NOT contains(r.r_ja, t.ja))
+        UNION ALL SELECT d FROM heads WHERE d % 29 = 1 OR d % 23 = 1 OR d % 31 = 2 OR book IN ('src3', 'src13')
         UNION ALL SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR doc_id % 2 = 0))"""
 
 
@@ -100,7 +111,7 @@ def merged(s, d):
     return M.merge_chapters(ch, B.results(s, d), recorded, failures(s, d), live)
 
 
-@query("U5_merge_chapter", S.query("verses rverses", f""", {REFUSED}
+@query("U5_merge_chapter", S.query("edges rverses rcaps heads terms", f""", {REFUSED}
     SELECT v.chapter_id, v.ord, f.d IS NULL AS merged,
       CASE WHEN f.d IS NULL THEN coalesce(nullif(v.zh_hant, ''), nullif(r.r_hant, ''), v.zh_hant) ELSE v.zh_hant END AS zh_hant,
       CASE WHEN f.d IS NULL THEN coalesce(nullif(v.ja, ''), nullif(r.r_ja, ''), v.ja) ELSE v.ja END AS ja,
@@ -115,7 +126,7 @@ def _(s, d):
     )
 
 
-@query("U5_merge_report", S.query("verses rverses rcaps", f""", {REFUSED},
+@query("U5_merge_report", S.query("edges rverses rcaps heads terms", f""", {REFUSED},
     n AS (SELECT v.d, count(*) AS verses_merged,
                sum((v.zh_hant <> '')::INT + 0)::BIGINT AS a, sum((v.zh_hans <> '' AND r.r_hans <> '')::INT)::BIGINT AS b,
                sum((v.ja <> '')::INT)::BIGINT AS c
