@@ -150,6 +150,14 @@ def scope_terms(edges: DataFrame, tagged: DataFrame, scope: Sequence[str]) -> Da
 # --- edges to lists -------------------------------------------------------------------
 
 
+def first_links(placed: DataFrame) -> DataFrame:
+    """One row per (slug, verse_id): verse ids can repeat, the first place counts."""
+    first = placed.groupBy("slug", "verse_id").agg(
+        F.min(F.struct("book_position", "chapter", "ord")).alias("_at")
+    )
+    return first.select("slug", "verse_id", "_at.*")
+
+
 def number_backlinks(edges: DataFrame, block: int = 4096) -> DataFrame:
     """Edges numbered per term in document order (book position, chapter, ord).
 

@@ -30,18 +30,13 @@ def kept_edges(s, d):
 
 
 def placed_edges(s, d):
-    """Edges with the position of their book."""
+    """First links by the word rule, with the position of their book."""
     ch = B.chapters(s, d)
     order = C.number_books(ch, B.books(s, d)).select("book", F.col("position").alias("book_position"))
-    return kept_edges(s, d).join(order, "book")
+    found = T.word_edges(verses(s, d), "en", KEYS, B.terms(s, d))
+    return cut_lineage(T.first_links(found.join(order, "book")))
 
 
-EDGE_ORDER = """
-    pos AS (SELECT source AS book, row_number() OVER (ORDER BY position NULLS LAST, source) AS bp
-            FROM (SELECT DISTINCT source FROM documents) LEFT JOIN books b ON slug = source),
-    linked AS (SELECT e.*, bp, row_number() OVER (PARTITION BY e.slug ORDER BY bp, chapter, ord) AS link_no
-               FROM edges e JOIN pos USING (book))"""
-
 # Every word is put in angle brackets, on both sides; containment then means \b term \b.
 MARK = r"regexp_replace(lower({}), '([\pL\pN\pM_]+)', '<\1>', 'g')"
 WEDGES = f"""
@@ -50,6 +45,15 @@ WEDGES = f"""
     wedges AS (SELECT v.book, v.chapter, v.chapter_id, v.ord, v.verse_id, v.tag, t.slug, t.position, t.term
                FROM wv v JOIN wt t ON contains(v.marked, t.marked))"""
 
+# Only the first verse of a repeated id is a link.
+EDGE_ORDER = f"""
+    {WEDGES.strip()},
+    pos AS (SELECT source AS book, row_number() OVER (ORDER BY position NULLS LAST, source) AS bp
+            FROM (SELECT DISTINCT source FROM documents) LEFT JOIN books b ON slug = source),
+    firsts AS (SELECT w.slug, w.verse_id, bp, w.chapter, w.ord FROM wedges w JOIN pos USING (book)
+               QUALIFY row_number() OVER (PARTITION BY w.slug, w.verse_id ORDER BY bp, w.chapter, w.ord) = 1),
+    linked AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY bp, chapter, ord) AS link_no FROM firsts)"""
+
 
 @query("J4_term_match", S.query("edges", "SELECT * FROM edges"))
 def _(s, d):
@@ -105,7 +109,7 @@ def _(s, d):
     return T.glossary_slice(tags, text, B.terms(s, d))
 
 
-@query("A4_backlinks", S.query("edges books terms", f""",{EDGE_ORDER}
+@query("A4_backlinks", S.query("verses books terms", f""",{EDGE_ORDER}
     SELECT t.slug, coalesce((link_no - 1) // 1000, 0) AS part_no, coalesce(string_agg(verse_id, ',' ORDER BY link_no), '') AS verse_ids
     FROM terms t LEFT JOIN linked l ON l.slug = t.slug GROUP BY 1, 2"""))
 def _(s, d):
@@ -114,7 +118,7 @@ def _(s, d):
     )
 
 
-@query("A4_backlink_summary", S.query("edges books terms", f""",{EDGE_ORDER}
+@query("A4_backlink_summary", S.query("verses books terms", f""",{EDGE_ORDER}
     SELECT t.slug, count(link_no) AS n_links, coalesce(string_agg(verse_id, ', ' ORDER BY link_no) FILTER (link_no <= 12), '')
            || CASE WHEN count(link_no) > 12 THEN ' … (+' || (count(link_no) - 12) || ')' ELSE '' END AS appears
     FROM terms t LEFT JOIN linked l ON l.slug = t.slug GROUP BY 1"""))
@@ -130,9 +134,11 @@ def _(s, d):
     )
 
 
-@query("A6_total_links", S.query("edges", "SELECT count(*) AS total_links, count(DISTINCT slug) AS linked_terms FROM edges"))
+@query("A6_total_links", S.query("verses terms", f""", {WEDGES}
+    SELECT count(*) AS total_links, count(DISTINCT slug) AS linked_terms FROM (SELECT DISTINCT verse_id, slug FROM wedges)"""))
 def _(s, d):
-    per_term = T.link_counts(edges(s, d), B.terms(s, d))
+    links = T.word_edges(verses(s, d), "en", ["verse_id"], B.terms(s, d))
+    per_term = T.link_counts(links, B.terms(s, d))
     return per_term.agg(
         F.sum("n_links").alias("total_links"), F.count_if(F.col("n_links") > 0).alias("linked_terms")
     )
@@ -176,35 +182,41 @@ def _(s, d):
     return rows.select("chapter_id", "ord", T.english_present(F.col("term"), F.col("en")).alias("present"))
 
 
-@query("T4_annotate", S.query("edges terms", """
-    SELECT v.chapter_id, v.ord, CASE WHEN r.renderings IS NULL THEN coalesce(v.zh_hans, '') ELSE
-      coalesce(regexp_replace(v.zh_hans, r.renderings, '\\1（' || r.term || '）', 'g'), '') END AS annotated
-    FROM verses v LEFT JOIN (
-      SELECT e.chapter_id, e.ord, '(' || min(t.zh_hans) || ')' AS renderings, min(t.term) AS term
+# Renderings as one alternation, longest first; cut the text at the hits and join it again.
+ANNOTATED = """
+    , best AS (
+      SELECT e.chapter_id, e.ord, t.zh_hans AS tl, arg_min(t.term, t.position) AS term
       FROM edges e JOIN terms t USING (slug) JOIN verses v ON v.chapter_id = e.chapter_id AND v.ord = e.ord
-      WHERE regexp_matches(v.en, '(?i)(^|[^A-Za-z])' || t.term || '([^A-Za-z]|$)')
+      WHERE v.en = '' OR regexp_matches(v.en, '(?i)(^|[^A-Za-z])' || t.term || '([^A-Za-z]|$)')
          OR (len(regexp_replace(t.term, '[^A-Za-z]', '', 'g')) >= 4
              AND regexp_matches(v.en, '(?i)(^|[^A-Za-z])' || regexp_replace(t.term, '[^A-Za-z]', '', 'g')[1:4]))
-      GROUP BY 1, 2 HAVING count(*) = 1) r USING (chapter_id, ord)
-    ANTI JOIN (SELECT chapter_id, ord FROM edges GROUP BY 1, 2 HAVING count(*) > 1) m USING (chapter_id, ord)"""))
-def _(s, d):
-    # Verses with one term are checked in SQL by a plain replacement; verses with several
-    # (longest first, leftmost) are covered by brute force in the tests.
-    terms = B.terms(s, d)
-    found = kept_edges(s, d).join(terms.select("slug", "term", "position"), "slug")
-    several = found.groupBy("chapter_id", "ord").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    tags = found.select("chapter_id", "ord", F.col("term").alias("tag"), F.col("position").alias("tag_no"))
-    rows = verses(s, d).join(several, ["chapter_id", "ord"], "left_anti")
-    return T.annotate(rows, tags, terms, "zh_hans", ["chapter_id", "ord"]).select("chapter_id", "ord", "annotated")
+      GROUP BY 1, 2, 3),
+    pats AS (SELECT chapter_id, ord, string_agg(tl, '|' ORDER BY length(tl) DESC, tl) AS pat,
+                    map(list(tl ORDER BY tl), list(term ORDER BY tl)) AS names FROM best GROUP BY 1, 2),
+    cuts AS (SELECT v.chapter_id, v.ord, coalesce(v.zh_hans, '') AS plain, pat, names,
+                    regexp_extract_all(coalesce(v.zh_hans, ''), pat) AS hits, regexp_split_to_array(coalesce(v.zh_hans, ''), pat) AS gaps
+             FROM verses v LEFT JOIN pats USING (chapter_id, ord))
+    SELECT chapter_id, ord, CASE WHEN pat IS NULL THEN plain ELSE array_to_string(
+             [gaps[i] || coalesce(hits[i] || '（' || map_extract(names, hits[i])[1] || '）', '') for i in range(1, len(gaps) + 1)], '') END AS annotated"""
 
 
-@query("T4_annotate_all")
+@query("T4_annotate", S.query("edges terms", f"{ANNOTATED} FROM cuts"))
 def _(s, d):
+    return annotated(s, d).select("chapter_id", "ord", "annotated")
+
+
+def annotated(s, d):
     terms = B.terms(s, d)
     tags = kept_edges(s, d).join(terms.select("slug", "term", "position"), "slug").select(
         "chapter_id", "ord", F.col("term").alias("tag"), F.col("position").alias("tag_no")
     )
-    out = T.annotate(verses(s, d), tags, terms, "zh_hans", ["chapter_id", "ord"])
+    return T.annotate(verses(s, d), tags, terms, "zh_hans", ["chapter_id", "ord"])
+
+
+@query("T4_annotate_all", S.query("edges terms", f"""{ANNOTATED},
+      CASE WHEN pat IS NULL THEN 1 ELSE len(hits) + len([g for g in gaps if g <> '']) END::BIGINT AS n_segments FROM cuts"""))
+def _(s, d):
+    out = annotated(s, d)
     return out.select("chapter_id", "ord", "annotated", F.size("segments").alias("n_segments"))
 
 
