@@ -311,6 +311,8 @@ def coin_or_fill(terms: DataFrame, delta: DataFrame, scope: str = "chapter_id")
     column naming the chapter.  For a new slug the first coin makes the term (fills before
     it are ignored as unknown) and later rows only fill its nulls.  Rows of one slug are
     folded per leaf with first-non-null aggregates, so many copies of a slug merge early.
+    Only a fill that filled something sets ``first_seen`` and may lock a known term; a coin
+    of a known slug fills nulls and changes neither.
     """
     order = F.struct("_wave", "pos")
     coin = F.col("kind") == "coin"
@@ -327,13 +329,20 @@ def coin_or_fill(terms: DataFrame, delta: DataFrame, scope: str = "chapter_id")
             F.min_by(F.col(f"{g}.{s}"), F.when(F.col(f"{g}.{s}").isNotNull(), order)).alias(f"_{g}_{s}")
             for g, s in _leaves()
         ],
+        *[
+            F.min(
+                F.when(
+                    ~coin & F.col(f"{g}.{s}").isNotNull(),
+                    F.struct("pos", F.col(scope).alias("scope"), F.col(f"{g}.{s}").alias("value")),
+                )
+            ).alias(f"_fill_{g}_{s}")
+            for g, s in _leaves()
+        ],
         *[
             F.min_by(F.col(c), F.when(coin, order)).alias(f"_coin_{c}")
             for c in ("term", "category", "source_def", "source_forms", "first_seen")
         ],
-        F.min_by(F.col(scope), order).alias("_scope"),
         F.min_by(F.col(scope), F.when(coin, order)).alias("_coin_scope"),
-        F.bool_or(~coin).alias("_any_fill"),
     )
     old = terms.withColumn("_old", F.lit(True))
     joined = old.join(folded, "slug", "full_outer")
@@ -353,18 +362,33 @@ def coin_or_fill(terms: DataFrame, delta: DataFrame, scope: str = "chapter_id")
         g: F.struct(*[fill_nulls(leaf_old[g, s], F.col(f"_{g}_{s}")).alias(s) for s in subs])
         for g, subs in TERM_GROUPS.items()
     }
+    # The first fill that met a null leaf, and the renderings as the fills leave them.
+    first_fill = F.array_min(
+        F.array_compact(
+            F.array(
+                *[
+                    F.when(
+                        leaf_old[g, s].isNull() & F.col(f"_fill_{g}_{s}").isNotNull(),
+                        F.struct(F.col(f"_fill_{g}_{s}.pos").alias("pos"),
+                                 F.col(f"_fill_{g}_{s}.scope").alias("scope")),
+                    )
+                    for g, s in _leaves()
+                ]
+            )
+        )
+    )
     complete = F.forall(
-        F.array(*[fill_nulls(leaf_old["translit", s], F.col(f"_translit_{s}")) for s in LANGS]),
+        F.array(*[fill_nulls(leaf_old["translit", s], F.col(f"_fill_translit_{s}.value")) for s in LANGS]),
         is_filled,
     )
     first_seen = (
         F.when(is_new, F.coalesce("_coin_first_seen", "_coin_scope"))
-        .when((outcome == "filled") & F.col("_any_fill"), F.coalesce("first_seen", "_scope"))
+        .when(first_fill.isNotNull(), F.coalesce(F.col("first_seen"), first_fill["scope"]))
         .otherwise(F.col("first_seen"))
     )
     locked = (
         F.when(is_new, True)
-        .when((outcome == "filled") & F.col("_any_fill") & complete, True)
+        .when(first_fill.isNotNull() & complete, True)
         .otherwise(F.col("locked"))
     )
     return joined.select(
