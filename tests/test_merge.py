@@ -47,6 +47,22 @@ def test_coin_then_fill(spark):
     }
 
 
+def test_only_a_fill_with_effect_marks_a_term(spark):
+    out = M.coin_or_fill(
+        terms(spark, [("a", ("甲", "乙", None)), ("b", ("甲", "乙", None))]),
+        delta(spark, [
+            ("fill", "a", "?", ("別", "別", None), None), ("coin", "a", "A", (None, None, "ア"), None),
+            ("coin", "b", "B", (None, None, "イ"), None), ("fill", "b", "?", (None, None, "ア"), None),
+        ]),
+    )
+    got = {r.slug: (tuple(r.translit), r.outcome, bool(r.locked), r.first_seen) for r in out.collect()}
+    # The fill of "a" met no null, so its coin fills without marking; the fill of "b" comes first.
+    assert got == {
+        "a": (("甲", "乙", "ア"), "filled", False, None),
+        "b": (("甲", "乙", "ア"), "filled", True, "x.1"),
+    }
+
+
 def test_commit_keeps_or_refuses(spark):
     base = terms(spark, [("a", ("甲", "", None)), ("b", ("乙", "乙", "ビ"))])
     lex = lexicon(spark, [("walk", "走", "走", "歩")])
