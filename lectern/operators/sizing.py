@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a dictionary-like side for broadcast when it really has few rows.
+def small_side(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Mark a dictionary-like side for broadcast when it really is small, in rows and in bytes.
 
-    The count stops after ``max_rows + 1`` rows.  A larger side keeps no hint and joins
-    by shuffle, where adaptive execution splits skewed partitions.
+    One bounded pass: it ends after ``max_rows + 1`` rows and adds up the length of each row
+    as JSON, so a few rows with long texts count for what they hold.  A larger side keeps no
+    hint and joins by shuffle, where adaptive execution splits skewed partitions.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    measured = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
+    ).first()
+    if measured["rows"] <= max_rows and measured["bytes"] <= max_bytes:
         return F.broadcast(df)
     return df

@@ -33,7 +33,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if shared is None and not context.master.startswith("local"):
+        if shared is None and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
     return df.checkpoint(eager=True)
