@@ -3,15 +3,18 @@
 Words become a template: numbers, names (capitalised inside a sentence) and units after a
 number are replaced by typed placeholders, other words are lower-cased (Latin letters) and
 lose their punctuation.  Windows of ``WINDOW`` template words are hashed and joined with those of the
-benchmark: every window of an item, and of a document those that start at every ``STRIDE``-th
-word, so that any ``WINDOW + STRIDE - 1`` words in a row that an item holds are met.  Windows
+benchmark: every window of an item with every window of a document, wherever it starts.  Windows
 that lie alike in document and item form an alignment.  In it the filled placeholders are
 compared: a question with other numbers or names in it is still the same question if every
 value of the item is replaced by one value throughout.
 
-A document leaks an item if one alignment has ``ENOUGH`` windows (12 words in a row), or one
-window of an item too short for more, either with equal values, or with consistently
-replaced ones and then at least half of the item's windows.
+A document leaks an item if the windows of one alignment cover ``ENOUGH`` words, or one window
+of an item of less than two windows' words, either with equal values, or with consistently
+replaced ones and then at least half of the item's words (less ``LOOSE``).
+
+Only windows that can match are built: every window of a document holds exactly one stretch of
+``PIECE`` words that starts at a ``STEP``-th word within its first ``STEP`` words, and a stretch
+that no item's window holds there rules out its ``STEP`` windows.  This leaves out no match.
 
 Defined results: null and empty texts have no windows; an item shorter than the window is
 one window of its own length; windows with fewer than ``LITERAL`` plain words are common to
@@ -27,8 +30,12 @@ from pyspark.sql import functions as F
 
 WINDOW = 8
 LITERAL = 4
-STRIDE = 4
-ENOUGH = 2
+#: Words, not windows.
+ENOUGH = 12
+#: Words at the ends of an item that need not count when half of it is asked for.
+LOOSE = 3
+STEP = 4
+PIECE = WINDOW - STEP + 1
 #: The benchmark's windows are broadcast up to this many bytes, beyond it they are joined by shuffle.
 BROADCAST_BYTES = 16_000_000
 #: Ids up to this many rows (8 bytes each) are broadcast.
@@ -80,37 +87,61 @@ def templates(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), let(words, of).alias("t"))
 
 
-def _windows(t: Column, widths: list[int], stride: int) -> Column:
-    """position, hash, slots of the windows of each width; full windows start every ``stride`` words."""
-    lists = [_of_width(t["hashes"], t["slots"], n, stride if n == WINDOW else 1) for n in widths]
-    return lists[0] if len(lists) == 1 else F.concat(*lists)
-
-
-def _of_width(hashes: Column, slots: Column, n: int, stride: int) -> Column:
-    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1, F.lit(stride))).otherwise(
-        F.array().cast("array<int>"))
+def _windows(hashes: Column, slots: Column, n: int, first: Column) -> Column:
+    """position, hash, slots of all windows of ``n`` words; the first word stands at ``first``."""
+    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1)).otherwise(F.array().cast("array<int>"))
 
     def window(i: Column) -> Column:
         filled = F.when(slots.isNotNull(), F.array_join(F.slice(slots, i, n), GAP)).otherwise(F.lit(""))
-        return F.struct(i.alias("position"), F.xxhash64(F.lit(n), F.slice(hashes, i, n)).alias("hash"), filled.alias("slots"))
+        return F.struct(
+            (first + i - 1).alias("position"), F.xxhash64(F.lit(n), F.slice(hashes, i, n)).alias("hash"), filled.alias("slots"))
 
     return F.transform(starts, window)
 
 
+def _stretches(t: Column) -> Column:
+    """piece, first, hashes, slots: of every ``STEP``-th word, its piece and the words of its ``STEP`` windows."""
+    hashes, slots = t["hashes"], t["slots"]
+    starts = F.when(F.size(hashes) >= WINDOW, F.sequence(F.lit(1), F.size(hashes) - PIECE + 1, F.lit(STEP))).otherwise(
+        F.array().cast("array<int>"))
+
+    def stretch(i: Column) -> Column:
+        first = F.greatest(i - STEP + 1, F.lit(1))
+        n = i + WINDOW - first
+        return F.struct(
+            F.xxhash64(F.slice(hashes, i, PIECE)).alias("piece"), first.alias("first"),
+            F.slice(hashes, first, n).alias("hashes"), F.when(slots.isNotNull(), F.slice(slots, first, n)).alias("slots"))
+
+    return F.transform(starts, stretch)
+
+
+def _covered(positions: Column, width: Column | int) -> Column:
+    """How many words the windows at these positions cover."""
+    start = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("n"))
+
+    def step(acc: Column, i: Column) -> Column:
+        return F.struct(i.cast("int").alias("at"), (acc["n"] + F.least(F.lit(width), F.coalesce(i - acc["at"], F.lit(width)))).cast("int").alias("n"))
+
+    return F.aggregate(F.array_sort(positions), start, step, lambda acc: acc["n"])
+
+
 def index(items: DataFrame) -> DataFrame:
-    """item_id, item_at, hash, item_slots, n_windows of the benchmark's telling windows."""
+    """item_id, item_at, hash, item_slots, width, pieces, n_windows, n_words of the benchmark's telling windows."""
     from lectern.llm.store import cut
 
     ready = cut(templates(items.where("text is not null"), "item_id").where(F.size("t.hashes") >= LITERAL).coalesce(1), "items")
     out = None
     for n in range(LITERAL, WINDOW + 1):
         own = ready.where(F.size("t.hashes") == n if n < WINDOW else F.size("t.hashes") >= WINDOW)
-        rows = own.select("item_id", F.explode(_windows(F.col("t"), [n], 1)).alias("w")).select(
+        rows = own.select("item_id", "t", F.explode(_windows(F.col("t.hashes"), F.col("t.slots"), n, F.lit(1))).alias("w")).select(
             "item_id", F.col("w.position").alias("item_at"), "w.hash", F.col("w.slots").alias("item_slots"),
-            (n - F.when(F.col("w.slots") == "", 0).otherwise(F.size(F.split("w.slots", GAP)))).alias("literal"), F.lit(n).alias("width"))
+            (n - F.when(F.col("w.slots") == "", 0).otherwise(F.size(F.split("w.slots", GAP)))).alias("literal"), F.lit(n).alias("width"),
+            (F.array(*[F.xxhash64(F.slice("t.hashes", F.col("w.position") + k, PIECE)) for k in range(STEP)]) if n == WINDOW else
+             F.array().cast("array<bigint>")).alias("pieces"))
         out = rows if out is None else out.unionByName(rows)
     telling = out.where(F.col("literal") >= LITERAL).drop("literal").distinct()
-    counts = telling.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
+    counts = telling.groupBy("item_id").agg(F.collect_set("item_at").alias("at"), F.max("width").alias("_width")).select(
+        "item_id", F.size("at").cast("long").alias("n_windows"), _covered(F.col("at"), F.col("_width")).alias("n_words"))
     return telling.join(counts, "item_id")
 
 
@@ -121,11 +152,16 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     filed = cut(index(items).coalesce(1), "benchmark")
     facts = filed.agg(
         F.coalesce(F.sum(F.octet_length("item_slots") + 48), F.lit(0)).alias("bytes"), F.collect_set("width").alias("widths")).first()
-    widths = sorted(facts["widths"]) or [WINDOW]  # at most five numbers
-    side = filed.drop("width")
-    side = F.broadcast(side) if facts["bytes"] <= BROADCAST_BYTES else side
-    windows = templates(docs.where("doc_id is not null"), "doc_id").select(
-        "doc_id", F.explode(let(F.col("t"), lambda t: _windows(t, widths, STRIDE))).alias("w"))
+    short = sorted(set(facts["widths"]) - {WINDOW})  # at most four numbers
+    small = facts["bytes"] <= BROADCAST_BYTES
+    side, pieces = filed.drop("pieces"), filed.select(F.explode("pieces").alias("piece")).distinct()
+    side, pieces = (F.broadcast(side), F.broadcast(pieces)) if small else (side, pieces)
+    texts = templates(docs.where("doc_id is not null"), "doc_id")
+    windows = texts.select("doc_id", F.explode(let(F.col("t"), _stretches)).alias("s")).select("doc_id", "s.*").join(
+        pieces, "piece", "left_semi").select("doc_id", F.explode(_windows(F.col("hashes"), F.col("slots"), WINDOW, F.col("first"))).alias("w"))
+    if short:
+        windows = windows.unionByName(texts.select("doc_id", F.explode(let(F.col("t"), lambda t: F.concat(
+            *[_windows(t["hashes"], t["slots"], n, F.lit(1)) for n in short]))).alias("w")))
     met = windows.select("doc_id", F.col("w.position").alias("at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots")).join(side, "hash")
     equal = F.col("slots") == F.col("item_slots")
     pairs = F.when(equal, F.array().cast("array<struct<theirs:string,ours:string>>")).otherwise(F.zip_with(
@@ -133,18 +169,22 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     # Values that stay the same in one window and change in another also count.
     kept = F.when(F.col("item_slots") == "", F.array().cast("array<struct<theirs:string,ours:string>>")).otherwise(
         F.transform(F.split("item_slots", GAP), lambda a: F.struct(a.alias("theirs"), a.alias("ours"))))
-    aligned = met.groupBy("doc_id", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.countDistinct("item_at").alias("found"),
-        F.countDistinct(F.when(equal, F.col("item_at"))).alias("same"),
+    aligned = met.groupBy("doc_id", "item_id", "n_windows", "n_words", "width", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.collect_set("item_at").alias("found"),
+        F.collect_set(F.when(equal, F.col("item_at"))).alias("same"),
         F.array_distinct(F.flatten(F.collect_set(F.when(equal, kept).otherwise(pairs)))).alias("values"))
     consistent = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["theirs"])))
-    possible = F.greatest(F.lit(1), F.floor((F.col("n_windows") - 1) / STRIDE))  # the first word may differ by its place in a sentence
-    enough = F.least(F.lit(ENOUGH), possible)
-    kind = F.when(F.col("same") >= enough, F.lit("copied")).when(
-        consistent & (F.col("found") >= enough) & (2 * F.col("found") >= possible), F.lit("reparameterised"))
+    # The first word may differ by its place in a sentence.
+    possible = F.greatest(F.lit(1), F.col("n_windows") - 1)
+    enough = F.when(F.col("n_words") < 2 * WINDOW, F.least(F.lit(WINDOW), "n_words")).otherwise(F.lit(ENOUGH))
+    aligned = aligned.select(
+        "doc_id", "item_id", "n_words", "values", F.size("found").alias("found"), possible.alias("possible"), enough.alias("enough"),
+        _covered(F.col("found"), F.col("width")).alias("words"), _covered(F.col("same"), F.col("width")).alias("same"))
+    kind = F.when(F.col("same") >= F.col("enough"), F.lit("copied")).when(
+        consistent & (F.col("words") >= F.col("enough")) & (2 * F.col("words") >= F.col("n_words") - LOOSE), F.lit("reparameterised"))
     judged = aligned.withColumn("kind", kind).where("kind is not null")
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct(
-        "found", F.least(F.lit(1.0), F.col("found") / possible).alias("share"), (F.col("kind") == "copied").alias("copied"))).alias("best"))
+        "found", F.least(F.lit(1.0), F.col("found") / F.col("possible")).alias("share"), (F.col("kind") == "copied").alias("copied"))).alias("best"))
     return best.select(
         "doc_id", "item_id", F.col("best.found").cast("long").alias("n_windows"), F.col("best.share").alias("share"),
         F.when(F.col("best.copied"), F.lit("copied")).otherwise(F.lit("reparameterised")).alias("kind"))

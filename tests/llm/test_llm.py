@@ -270,6 +270,17 @@ def test_decontamination(spark, odd, none):
     assert {(r.doc_id, r.item_id) for r in queries.op10(spark, SF).collect()} >= want
 
 
+def test_passages_at_every_offset(spark):
+    """Whole short items and 12 to 14 words of a long one leak wherever they start; 11 words do not."""
+    words = [a + b for a in "ba de fi go lu ma ne pi ro su".split() for b in "bat den fig".split()]
+    items = spark.createDataFrame(
+        [(n, " ".join(f"{w}{'abc'[n - 8]}" for w in words[:n])) for n in (8, 9, 10)] + [(30, " ".join(words))], "item_id long, text string")
+    held = {r.item_id: r.text for r in items.collect() if r.item_id < 30} | {n: " ".join(words[9:9 + n]) for n in (11, 12, 13, 14)}
+    docs = docs_of(spark, [(100 * n + k, " ".join(["filler"] * k + [text, "and", "so", "on"])) for n, text in held.items() for k in range(4)])
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(100 * n + k, n if n < 11 else 30, "copied") for n in held if n != 11 for k in range(4)}
+
+
 def test_url_query_equals_sql(spark):
     same, note = compare(queries.op9(spark, SF), connect(SF), queries.SQL["op9_url_rules"])
     assert same, note
