@@ -2,7 +2,9 @@
 
 Words become a template: numbers, names (capitalised inside a sentence) and units after a
 number are replaced by typed placeholders, other words are lower-cased (Latin letters) and
-lose their punctuation.  Windows of ``WINDOW`` template words are hashed and joined with those of the
+lose their punctuation, currency and equals signs.  A capital at the start of a sentence may be a name or not, so each
+text has two templates: one with these words as they are, and one where they are names too and names in a row are one
+placeholder.  Each is matched and judged by itself.  Windows of ``WINDOW`` template words are hashed and joined with those of the
 benchmark: every window of an item with every window of a document, wherever it starts.  Windows
 that lie alike in document and item form an alignment.  In it the filled placeholders are
 compared: a question with other numbers or names in it is still the same question if every
@@ -46,10 +48,15 @@ UNITS = (
     "hours day days week weeks month months year years mph kmh km/h percent dollar dollars euro euros cent cents usd eur gbp"
 ).split()
 # Single characters only: the expression then costs one table look-up per character.
-BREAKS = "[\\t\\n\\x0B\\f\\r !\"'(),.:;?\\[\\]{}«»]+"
+BREAK = "\\t\\n\\x0B\\f\\r !\"'(),.:;?\\[\\]{}«»=$£¥"
+BREAKS = f"[{BREAK}]+"
+#: Further signs that part words, and what stands for them before the text is cut.
+OTHER, OTHERS_AS = "“”„…€₹₩", "\"\"\".$$$"
 GAP = "\u0001"
 # A mark in front of a word says what it stands for.
 NAME, NUMBER, UNIT = "\u0002", "\u0003", "\u0004"
+# Stands between names in a row.
+JOIN = "\u0005"
 
 
 def let(value: Column, body) -> Column:
@@ -62,19 +69,26 @@ def _marked(text: Column) -> Column:
 
     Each costly replacement only runs on texts that hold what it replaces.
     """
-    text = F.when(text.rlike("[\u0001-\u0004]"), F.translate(text, NAME + NUMBER + UNIT + GAP, "")).otherwise(text)
+    text = F.when(text.rlike(f"[\u0001-\u0005{OTHER}]"), F.translate(text, OTHER + NAME + NUMBER + UNIT + GAP + JOIN, OTHERS_AS)).otherwise(text)
     # After a full stop, a colon or a line break a capital says nothing.
     named = F.regexp_replace(text, r"(?<=[^\s.!?:|][ \t])(?=\p{Lu})", NAME)
     text = F.when(text.rlike(r"[^\s.!?:|][ \t]\p{Lu}"), named).otherwise(text)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     numbered = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", ""), r"(?<!\S)(?=[0-9])", NUMBER),
+        F.regexp_replace(F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", ""),
+                         rf"(?<![^{BREAK}])(?=[^{BREAK}\s\p{{L}}\p{{N}}\u0001-\u0005]{{0,3}}[0-9])", NUMBER),
         rf"({NUMBER}\S{{1,40}}\s)(?=(?i:{units})[.,;:!?)]*(?:\s|$))", f"$1{UNIT}")
     return F.when(text.rlike("[0-9]"), numbered).otherwise(text)
 
 
+def _all_names(marked: Column) -> Column:
+    """A marked text where every capitalised word is a name and names in a row are joined."""
+    named = F.regexp_replace(marked, rf"(?<![^{BREAK}])(?=\p{{Lu}})", NAME)
+    return F.regexp_replace(named, rf"((?:\G(?!\A)|{NAME})[^{BREAK}]+)[ \t]{NAME}", f"$1{JOIN}")
+
+
 def templates(df: DataFrame, key: str) -> DataFrame:
-    """key and ``t``: hashes of the template words, values of the placeholders, if there are any."""
+    """key, version and ``t``: hashes of the template words, values of the placeholders, if there are any."""
     def of(words: Column) -> Column:
         marked = lambda w: w < "\u0005"  # noqa: E731  no other word starts so low
         any_slot = F.exists(words, marked)
@@ -83,18 +97,20 @@ def templates(df: DataFrame, key: str) -> DataFrame:
         values = F.transform(words, lambda w: F.when(marked(w), F.lower(F.substring(w, 2, 2**31 - 1))))
         return F.struct(hashes.alias("hashes"), F.when(any_slot, values).alias("slots"))
 
-    words = F.array_remove(F.split(_marked(F.coalesce(F.col("text"), F.lit(""))), BREAKS), "")
-    return df.select(F.col(key).cast("long").alias(key), let(words, of).alias("t"))
+    both = let(_marked(F.coalesce(F.col("text"), F.lit(""))), lambda m: F.array(m, _all_names(m)))
+    words = F.array_remove(F.split("marked", BREAKS), "")
+    return df.select(F.col(key).cast("long").alias(key), F.posexplode(both).alias("version", "marked")).select(
+        key, "version", let(words, of).alias("t"))
 
 
 def _windows(hashes: Column, slots: Column, n: int, first: Column) -> Column:
-    """position, hash, slots of all windows of ``n`` words; the first word stands at ``first``."""
+    """position, hash, slots of all windows of ``n`` words; the first word stands at ``first``; over a column ``version``."""
     starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1)).otherwise(F.array().cast("array<int>"))
 
     def window(i: Column) -> Column:
         filled = F.when(slots.isNotNull(), F.array_join(F.slice(slots, i, n), GAP)).otherwise(F.lit(""))
         return F.struct(
-            (first + i - 1).alias("position"), F.xxhash64(F.lit(n), F.slice(hashes, i, n)).alias("hash"), filled.alias("slots"))
+            (first + i - 1).alias("position"), F.xxhash64("version", F.lit(n), F.slice(hashes, i, n)).alias("hash"), filled.alias("slots"))
 
     return F.transform(starts, window)
 
@@ -109,7 +125,7 @@ def _stretches(t: Column) -> Column:
         first = F.greatest(i - STEP + 1, F.lit(1))
         n = i + WINDOW - first
         return F.struct(
-            F.xxhash64(F.slice(hashes, i, PIECE)).alias("piece"), first.alias("first"),
+            F.xxhash64("version", F.slice(hashes, i, PIECE)).alias("piece"), first.alias("first"),
             F.slice(hashes, first, n).alias("hashes"), F.when(slots.isNotNull(), F.slice(slots, first, n)).alias("slots"))
 
     return F.transform(starts, stretch)
@@ -126,23 +142,30 @@ def _covered(positions: Column, width: Column | int) -> Column:
 
 
 def index(items: DataFrame) -> DataFrame:
-    """item_id, item_at, hash, item_slots, width, pieces, n_windows, n_words of the benchmark's telling windows."""
+    """item_id, version, item_at, hash, item_slots, width, pieces, n_windows, n_words of the benchmark's telling windows."""
     from lectern.llm.store import cut
 
     ready = cut(templates(items.where("text is not null"), "item_id").where(F.size("t.hashes") >= LITERAL).coalesce(1), "items")
     out = None
     for n in range(LITERAL, WINDOW + 1):
         own = ready.where(F.size("t.hashes") == n if n < WINDOW else F.size("t.hashes") >= WINDOW)
-        rows = own.select("item_id", "t", F.explode(_windows(F.col("t.hashes"), F.col("t.slots"), n, F.lit(1))).alias("w")).select(
-            "item_id", F.col("w.position").alias("item_at"), "w.hash", F.col("w.slots").alias("item_slots"),
+        rows = own.select("item_id", "version", "t", F.explode(_windows(F.col("t.hashes"), F.col("t.slots"), n, F.lit(1))).alias("w")).select(
+            "item_id", "version", F.col("w.position").alias("item_at"), "w.hash", F.col("w.slots").alias("item_slots"),
             (n - F.when(F.col("w.slots") == "", 0).otherwise(F.size(F.split("w.slots", GAP)))).alias("literal"), F.lit(n).alias("width"),
-            (F.array(*[F.xxhash64(F.slice("t.hashes", F.col("w.position") + k, PIECE)) for k in range(STEP)]) if n == WINDOW else
+            (F.array(*[F.xxhash64("version", F.slice("t.hashes", F.col("w.position") + k, PIECE)) for k in range(STEP)]) if n == WINDOW else
              F.array().cast("array<bigint>")).alias("pieces"))
         out = rows if out is None else out.unionByName(rows)
     telling = out.where(F.col("literal") >= LITERAL).drop("literal").distinct()
-    counts = telling.groupBy("item_id").agg(F.collect_set("item_at").alias("at"), F.max("width").alias("_width")).select(
-        "item_id", F.size("at").cast("long").alias("n_windows"), _covered(F.col("at"), F.col("_width")).alias("n_words"))
-    return telling.join(counts, "item_id")
+    counts = telling.groupBy("item_id", "version").agg(F.collect_set("item_at").alias("at"), F.max("width").alias("_width")).select(
+        "item_id", "version", F.size("at").cast("long").alias("n_windows"), _covered(F.col("at"), F.col("_width")).alias("n_words"))
+    return telling.join(counts, ["item_id", "version"])
+
+
+def _replaced(theirs: Column, ours: Column) -> Column:
+    """Pairs of values; names in a row word by word if there are as many of them."""
+    pair = lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))
+    a, b = F.split(theirs, JOIN), F.split(ours, JOIN)
+    return F.when(F.size(a) == F.size(b), F.zip_with(a, b, pair)).otherwise(F.array(pair(theirs, ours)))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -157,22 +180,20 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     side, pieces = filed.drop("pieces"), filed.select(F.explode("pieces").alias("piece")).distinct()
     side, pieces = (F.broadcast(side), F.broadcast(pieces)) if small else (side, pieces)
     texts = templates(docs.where("doc_id is not null"), "doc_id")
-    windows = texts.select("doc_id", F.explode(let(F.col("t"), _stretches)).alias("s")).select("doc_id", "s.*").join(
-        pieces, "piece", "left_semi").select("doc_id", F.explode(_windows(F.col("hashes"), F.col("slots"), WINDOW, F.col("first"))).alias("w"))
+    windows = texts.select("doc_id", "version", F.explode(let(F.col("t"), _stretches)).alias("s")).select("doc_id", "version", "s.*").join(
+        pieces, "piece", "left_semi").select("doc_id", "version", F.explode(_windows(F.col("hashes"), F.col("slots"), WINDOW, F.col("first"))).alias("w"))
     if short:
-        windows = windows.unionByName(texts.select("doc_id", F.explode(let(F.col("t"), lambda t: F.concat(
+        windows = windows.unionByName(texts.select("doc_id", "version", F.explode(let(F.col("t"), lambda t: F.concat(
             *[_windows(t["hashes"], t["slots"], n, F.lit(1)) for n in short]))).alias("w")))
-    met = windows.select("doc_id", F.col("w.position").alias("at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots")).join(side, "hash")
+    met = windows.select("doc_id", "version", F.col("w.position").alias("at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots")).join(side, ["hash", "version"])
     equal = F.col("slots") == F.col("item_slots")
-    pairs = F.when(equal, F.array().cast("array<struct<theirs:string,ours:string>>")).otherwise(F.zip_with(
-        F.split("item_slots", GAP), F.split("slots", GAP), lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))))
     # Values that stay the same in one window and change in another also count.
-    kept = F.when(F.col("item_slots") == "", F.array().cast("array<struct<theirs:string,ours:string>>")).otherwise(
-        F.transform(F.split("item_slots", GAP), lambda a: F.struct(a.alias("theirs"), a.alias("ours"))))
-    aligned = met.groupBy("doc_id", "item_id", "n_windows", "n_words", "width", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    values = F.when(F.col("item_slots") == "", F.array().cast("array<struct<theirs:string,ours:string>>")).otherwise(
+        F.flatten(F.zip_with(F.split("item_slots", GAP), F.split("slots", GAP), _replaced)))
+    aligned = met.groupBy("doc_id", "item_id", "version", "n_windows", "n_words", "width", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("found"),
         F.collect_set(F.when(equal, F.col("item_at"))).alias("same"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(equal, kept).otherwise(pairs)))).alias("values"))
+        F.array_distinct(F.flatten(F.collect_set(values))).alias("values"))
     consistent = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["theirs"])))
     # The first word may differ by its place in a sentence.
     possible = F.greatest(F.lit(1), F.col("n_windows") - 1)

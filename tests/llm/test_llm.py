@@ -281,6 +281,23 @@ def test_passages_at_every_offset(spark):
     assert got == {(100 * n + k, n if n < 11 else 30, "copied") for n in held if n != 11 for k in range(4)}
 
 
+def test_replaced_values_of_every_kind(spark):
+    """Amounts, values in brackets, quotes and after signs, names at sentence starts, and names of two words."""
+    shop = "A shirt costs {0} and a hat costs {1}. How much do 3 shirts and 2 hats cost?"
+    tom = "{0} walks to the old market in the morning. {0} buys some bread and cheese there. {0} then walks home along the river."
+    middle = "Every morning before school {0} feeds the small birds near the pond and then {0} counts how many of them stayed."
+    forms = [(shop, ("$12", "$7"), ("$15", "$9")), (shop, ("(12)", '"7'), ("(15)", '"9')), (shop, ("=12", "€7"), ("=15", "€9")),
+             (tom, ("Tom",), ("Ann",)), (tom, ("Tom",), ("Mary Ann",)), (middle, ("Tom",), ("Mary Ann",)), (middle, ("Mary Ann",), ("Tom",))]
+    for k, (text, theirs, ours) in enumerate(forms):
+        forms[k] = (text.format(*theirs), text.format(*ours))
+    items = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(forms)], "item_id long, text string")
+    docs = docs_of(spark, [(10 * k + n, "filler " * n + "end. " + b + " So it ends.") for k, (_, b) in enumerate(forms) for n in range(4)])
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(docs, items).collect()}
+    assert got >= {(10 * k + n, k, "reparameterised") for k in range(len(forms)) for n in range(4)}
+    mixed = docs_of(spark, [(1, forms[3][1].replace("Ann then", "Eve then"))])
+    assert decontaminate.leaks(mixed, items.where("item_id = 3")).count() == 0
+
+
 def test_url_query_equals_sql(spark):
     same, note = compare(queries.op9(spark, SF), connect(SF), queries.SQL["op9_url_rules"])
     assert same, note
