@@ -5,7 +5,9 @@ long run of code-like characters a window of ``WINDOW`` characters slides along;
 per character change by one in and one out, and with them the sum of ``c * log2(c)``, kept
 in whole numbers.  A window is hot if its Shannon entropy reaches the limit of its class.
 Runs that an allow-list knows (identifiers, alphabets, placeholders, plain words) are left
-alone, and so is what already lies in a known form.
+alone, and so is what already lies in a known form: it is cut out of the run, and the parts
+beside it are scanned like runs.  A run in one case that holds separators is scanned whole if
+it mixes letters and digits as keys do, or holds a long piece without separators.
 
 Positions count characters of the text, not bytes; ends are exclusive.
 
@@ -38,6 +40,10 @@ ALLOWED = (
     r"|example|sample|placeholder|dummy|changeme|xxxx"  # placeholders
     r"|^[0-9+/_=-]*$|^[A-Za-z+/_=-]*$"  # digits or letters alone
 )
+IDENTIFIER = r"(?i)(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])"
+#: In one case with separators: four digits beside letters, or four digits and a piece of a window's length.
+MIXED = r"(?:(?:(?<=[A-Za-z])[0-9]|[0-9](?=[A-Za-z])).*){4}"
+PIECE = rf"[A-Za-z0-9]{{{WINDOW}}}"
 MASK = "[secret]"
 
 SPAN = "struct<start:int,rank:int,end:int>"
@@ -70,11 +76,14 @@ def _spans(placed: Column, rank: int) -> Column:
 def _kind_of(run: Column) -> Column:
     """The class of a run of code-like characters; null for plain ones."""
     upper, lower, digit = run.rlike("[A-Z]"), run.rlike("[a-z]"), run.rlike("[0-9]")
+    digits = run.rlike("(?:[0-9].*){4}")
+    other = F.regexp_replace(run, IDENTIFIER, "-")
     return (
         F.when(run.rlike(ALLOWED), F.lit(None).cast("string"))
         .when(run.rlike("^[0-9A-F]+$") | run.rlike("^[0-9a-f]+$"), F.lit("entropy_hex"))
         .when(upper & lower & digit, F.lit("entropy_base64"))
-        .when((upper != lower) & run.rlike("(?:[0-9].*){4}") & run.rlike("^[A-Za-z0-9]+$"), F.lit("entropy_base36"))
+        .when((upper != lower) & digits & run.rlike("^[A-Za-z0-9]+$"), F.lit("entropy_base36"))
+        .when((upper != lower) & digits & (other.rlike(MIXED) | other.rlike(PIECE)), F.lit("entropy_base36"))
     )
 
 
@@ -120,11 +129,29 @@ def _advance(acc: Column, i: Column, into: Column, out: Column, worth: Column, m
         F.when(hot, i.cast("int")).otherwise(acc["last"]).alias("last"))
 
 
+def _parts(m: Column, base: Column) -> Column:
+    """start and text of what is left of a run without the known forms, as far as it is a window long."""
+    end = m["start"] + F.char_length(m["text"])
+    cuts = F.array_sort(F.filter(base, lambda b: (b["start"] < end) & (b["end"] > m["start"])))
+    nothing = _empty("struct<start:int,text:string>")
+
+    def part(at: Column, to: Column) -> Column:
+        text = F.substring(m["text"], at - m["start"] + 1, to - at)
+        return F.when(to - at >= WINDOW, F.array(F.struct(at.alias("start"), text.alias("text")))).otherwise(nothing)
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
+
+    start = F.struct(m["start"].alias("at"), nothing.alias("out"))
+    return F.when(F.size(cuts) == 0, F.array(m)).otherwise(
+        F.aggregate(cuts, start, step, lambda acc: F.concat(acc["out"], part(acc["at"], end))))
+
+
 def _added(placed: Column, base: Column) -> Column:
-    """Spans of hot runs outside the known forms."""
-    named = F.transform(placed, lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), _kind_of(m["text"]).alias("kind")))
-    free = F.filter(named, lambda m: m["kind"].isNotNull() & ~F.exists(
-        base, lambda b: (b["start"] < m["start"] + F.char_length(m["text"])) & (b["end"] > m["start"])))
+    """Spans of hot runs and parts of runs outside the known forms."""
+    parts = F.flatten(F.transform(placed, lambda m: _parts(m, base)))
+    named = F.transform(parts, lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), _kind_of(m["text"]).alias("kind")))
+    free = F.filter(named, lambda m: m["kind"].isNotNull())
     rank_of = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k).cast("int") - 1
     hot = F.transform(free, lambda m: F.struct(m["start"].alias("start"), rank_of(m["kind"]).alias("rank"), _hot(m["text"], m["kind"]).alias("hot")))
     return F.transform(F.filter(hot, lambda m: m["hot"]["first"].isNotNull()), lambda m: F.struct(
