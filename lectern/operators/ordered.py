@@ -7,7 +7,7 @@ summary rows of a group are linked by a window, and the result is joined back on
 (group, block).  No task ever holds more rows than one block, whatever the group size.
 
 ``block`` must never decrease along ``order``; ``carry`` and ``neighbours`` take ascending
-order columns.
+order columns.  ``number_sorted`` needs no block: it cuts by sampled ranges of the order itself.
 """
 
 from __future__ import annotations
@@ -18,6 +18,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.session import cut_lineage
+
+
+def number_sorted(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "row_no") -> DataFrame:
+    """Exact 1-based row number per group along any order, whatever its values.
+
+    Rows are range partitioned by group and order with boundaries that Spark samples, so a
+    hot group, a shared prefix or a single group spreads over all tasks.  Each task numbers
+    its own run; only one row per task and group is counted and summed up, and the offsets
+    go back by (task, group).  The sorted rows are checkpointed in between: both readers must
+    see the same ranges, also after a lost executor.  Only rows that are equal in every order
+    column stay together, so ``order`` should end with a unique column.
+    """
+    keys = [F.col(g).asc_nulls_first() for g in group]
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    rows = cut_lineage(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_run", F.shiftright("_id", 33))
+    runs = rows.groupBy(*group, "_run").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    earlier = W.partitionBy(*(group or [F.lit(0)])).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    starts = runs.select(
+        *[F.col(k).alias(f"_k_{k}") for k in [*group, "_run"]],
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_least") + 1).alias("_start"),
+    )
+    cond = F.lit(True)
+    for key in [*group, "_run"]:
+        cond = cond & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
+    return rows.join(starts, cond).withColumn(name, F.col("_id") + F.col("_start")).select(*df.columns, name)
+
 
 def number_rows(
     df: DataFrame,

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions.text import tokenize
+from lectern.session import ship
+
 
 def none() -> Column:
     return F.lit(None).cast("string")
@@ -23,6 +25,7 @@ TEXT_TABLES = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in TEXT_TABLES else df
 

@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of the application, once.
+
+    Workers on other machines, or started from another folder, cannot import it otherwise.
+    The driver's private folder only holds the archive that Spark's file server sends out.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    archive = os.path.join(tempfile.mkdtemp(prefix="lectern-package-"), "lectern.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for at, _, names in os.walk(PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(PACKAGE)))
+    spark.sparkContext.addPyFile(archive)
+
 
 def local_session(cpus: int | str = 8, partitions: int = 8, name: str = "lectern") -> SparkSession:
     """A session for tests and benches; clusters bring their own."""

@@ -4,7 +4,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
+sys.path.insert(0, ROOT)
 
 from lectern.session import local_session  # noqa: E402
 
@@ -15,9 +15,3 @@ def spark():
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
-
-
-def rows(df, *columns):
-    """Plain tuples in a stable order."""
-    out = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in out.collect()), key=repr)

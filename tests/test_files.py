@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests.compare import rows
 from lectern import schemas
 from lectern.operators import corpus as C
 from lectern.operators import fingerprint as FP
@@ -169,3 +169,22 @@ def test_book_digest_follows_places_not_numbers(spark):
     assert got == {"b": sha("pqr"), "c": sha("pq"), None: sha("z")}
     tree = {r.book: r.book_en_sha for r in FP.book_fingerprints(books, fan=2).collect()}
     assert tree["b"] == sha(sha("pq") + sha("r")) and tree["c"] == got["c"]
+
+
+def test_workers_import_the_package_from_anywhere(tmp_path):
+    """A query with Python workers runs from another folder, without PYTHONPATH."""
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    code = (
+        f"import sys; sys.path.insert(0, {ROOT!r})\n"
+        "import __spark_entry__ as e\n"
+        "from lectern.session import local_session\n"
+        "spark = local_session(2, 2)\n"
+        "assert e.queries()['S4_shred_html'](spark, '/root/testdata/sf0.001').count() > 0\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

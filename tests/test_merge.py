@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests.compare import rows
 from lectern import schemas
 from lectern.operators import merge as M
 

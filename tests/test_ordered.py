@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests.compare import rows
 from lectern.operators import joins as J
 from lectern.operators import ordered as O
 
@@ -77,3 +77,19 @@ def test_coverage(spark):
     assert status(["1", "2"]) == {"3": "missing"}
     assert status(["1", "2", "2", "4"]) == {"3": "missing", "2": "duplicate", "4": "extra"}
     assert moved(["1", "2", "3"]) == 0
+
+
+def test_number_sorted_spreads_any_order(spark):
+    """Distinct scores, one shared prefix, ties with a unique last column, and null groups."""
+    data = [(g, f"prefix shared by all {(k * 7919) % 500:05d}", k) for g in ("a", None, "b") for k in range(500 if g == "a" else 3)]
+    df = spark.createDataFrame(data, "g string, s string, k long").repartition(5)
+    got = rows(O.number_sorted(df, ["g"], [F.col("s").desc(), F.col("k")], "n"))
+    want = []
+    for g in {d[0] for d in data}:
+        own = sorted((d for d in data if d[0] == g), key=lambda d: ([-ord(c) for c in d[1]], d[2]))
+        want += [(*d, n) for n, d in enumerate(own, 1)]
+    assert got == sorted(want, key=repr)
+    same = spark.range(1000).select(F.lit(1.5).alias("score"), "id")
+    numbered = O.number_sorted(same, [], [F.col("score"), F.col("id")], "n")
+    assert numbered.where("n <> id + 1").count() == 0 and numbered.count() == 1000
+    assert O.number_sorted(same.limit(0), [], [F.col("id")]).count() == 0

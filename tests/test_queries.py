@@ -8,7 +8,7 @@ import os
 import pytest
 
 import __spark_entry__ as driver
-from compare import compare, connect
+from tests.compare import compare, connect
 
 SF = os.environ.get("LECTERN_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = driver.queries(), driver.oracle_sql()

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests.compare import rows
 from lectern.operators import segment as G
 from lectern.sources import html as H
 

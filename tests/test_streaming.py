@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests.compare import rows
 from lectern import schemas
 from lectern.sources import html as H
 from lectern.streaming import events as E

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests.compare import rows
 from lectern.operators import quality as K
 from lectern.operators import terms as T
 
