@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.session import ship
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -53,6 +55,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, to be processed in small batches."""
+    """A given table, to be processed in small batches by workers that know this package."""
+    ship(spark)
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import brute
-from compare import compare, connect
+from tests.llm import brute
+from tests.compare import compare, connect
 from lectern.llm import (bpe, decontaminate, language_id, minhash, quality_mil, queries, secret_scan, sharding, simhash,
                          suffix_dedup, suffix_sort, url_rules)
 from lectern.llm.components import components
