@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language_id, minhash, quality_mil, secret_scan, sharding, simhash, suffix_dedup, url_rules
+from lectern.llm import bpe, decontaminate, language_id, merkle, minhash, quality_mil, secret_scan, sharding, simhash, suffix_dedup, url_rules
 from lectern.llm.store import cut, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,71 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain benchmark items, copied or with other values filled in."""
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents
+), l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS other
+  FROM d
+), bits AS (  -- checksum tables: eight steps per byte
+  SELECT n, n AS c, 0 AS k FROM range(256) t(n)
+  UNION ALL
+  SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY n) AS cells FROM bits WHERE k = 8
+), crc AS (
+  SELECT doc_id, doc_id::VARCHAR AS s, 1 AS i, 4294967295::BIGINT AS c FROM (SELECT DISTINCT doc_id FROM documents)
+  UNION ALL
+  SELECT doc_id, s, i + 1, xor(c // 256, cells[xor(c % 256, ascii(s[i])::BIGINT) + 1]) FROM crc, crc_table WHERE i <= length(s)
+), marked AS (SELECT doc_id, xor(c, 4294967295) % 7 = 0 AS bad FROM crc WHERE i = length(s) + 1
+), p AS (
+  SELECT doc_id, lang, leaf, CASE WHEN bad THEN other ELSE leaf END AS used,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM l LEFT JOIN marked USING (doc_id)
+), sub AS (  -- one list of nodes per language and level
+  SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+  FROM sub WHERE len(nodes) > 1
+), subroots AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM sub WHERE len(nodes) = 1
+), upper AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+  FROM upper WHERE len(nodes) > 1
+), steps AS (  -- L or R: the sibling stands before or after
+  SELECT p.lang, p.pos, s.level AS step, CASE WHEN (p.pos >> s.level) % 2 = 1 THEN 'L' || s.nodes[p.pos >> s.level]
+         ELSE 'R' || coalesce(s.nodes[(p.pos >> s.level) + 2], '') END AS sibling
+  FROM p JOIN sub s ON p.lang IS NOT DISTINCT FROM s.lang AND len(s.nodes) > 1
+  UNION ALL
+  SELECT p.lang, p.pos, 1000 + u.level, CASE WHEN (r.place >> u.level) % 2 = 1 THEN 'L' || u.nodes[r.place >> u.level]
+         ELSE 'R' || coalesce(u.nodes[(r.place >> u.level) + 2], '') END
+  FROM p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang JOIN upper u ON len(u.nodes) > 1
+), path AS (SELECT lang, pos, list(sibling ORDER BY step) AS siblings FROM steps GROUP BY lang, pos
+), fold AS (
+  SELECT lang, pos, used AS node, 1 AS i FROM p
+  UNION ALL
+  SELECT f.lang, f.pos, CASE WHEN siblings[i][1] = 'L' THEN sha256(siblings[i][2:] || node) ELSE sha256(node || siblings[i][2:]) END, i + 1
+  FROM fold f JOIN path ON f.pos = path.pos AND f.lang IS NOT DISTINCT FROM path.lang WHERE i <= len(siblings)
+), folded AS (SELECT lang, pos, max_by(node, i) AS folded_root FROM fold GROUP BY lang, pos
+), root AS (SELECT nodes[1] AS root FROM upper WHERE len(nodes) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(siblings, lambda x: x[2:]), ''), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang CROSS JOIN root
+JOIN folded f ON p.pos = f.pos AND p.lang IS NOT DISTINCT FROM f.lang
+LEFT JOIN path ON p.pos = path.pos AND p.lang IS NOT DISTINCT FROM path.lang
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether the tampered table still folds to the root."""
+    hashed = merkle.tampered_by_checksum(read(spark, sf_dir, "documents"))
+    return merkle.proofs(hashed).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")

@@ -62,3 +62,42 @@ def without_repeats(rows, size):
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out[i] = (len(b), sum(gone), spans, sha(kept))
     return out
+
+
+def merkle(rows):
+    """One tuple (leaf, subroot, root, proof, folded, tree place) per (doc_id, source, lang, n_chars, text), in tree order."""
+    import zlib
+
+    def leaf(row):
+        return sha("".join("-" if x is None else f"{len(str(x).encode())}:{x}" for x in row))
+
+    def climb(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][k : k + 2])) for k in range(0, len(out[-1]), 2)])
+        return out
+
+    def path(rows, at):
+        for low in rows[:-1]:
+            other = at ^ 1
+            yield (low[other], "") if other < at else ("", low[other] if other < len(low) else "")
+            at //= 2
+
+    trees = {}
+    for row in rows:
+        trees.setdefault(row[2], []).append(row)
+    langs = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    for own in trees.values():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    levels = {x: climb([leaf(r) for r in trees[x]]) for x in langs}
+    top = climb([levels[x][-1][0] for x in langs]) if langs else []
+    out = []
+    for place, x in enumerate(langs):
+        for at, row in enumerate(trees[x]):
+            steps = [*path(levels[x], at), *path(top, place)]
+            bad = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 7 == 0 and row[3] is not None
+            node = leaf((*row[:3], row[3] + 1, row[4])) if bad else leaf(row)
+            for a, b in steps:
+                node = sha(a + node + b)
+            out.append((row[0], leaf(row), levels[x][-1][0], top[-1][0], sha("".join(a + b for a, b in steps)), node, node == top[-1][0]))
+    return out
