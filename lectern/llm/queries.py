@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language_id, merkle, minhash, quality_mil, secret_scan, sharding, simhash, suffix_dedup, url_rules
+from lectern.llm import bpe, decontaminate, gray_index, language_id, merkle, minhash, quality_mil, secret_scan, sharding, simhash, suffix_dedup, url_rules
 from lectern.llm.store import cut, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op11_gray_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash groups of all documents: three words, two bits."""
+    return gray_index.groups(read(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 OP13_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, lang, n_chars,

@@ -101,3 +101,30 @@ def merkle(rows):
                 node = sha(a + node + b)
             out.append((row[0], leaf(row), levels[x][-1][0], top[-1][0], sha("".join(a + b for a, b in steps)), node, node == top[-1][0]))
     return out
+
+
+def simhash64(text, width):
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    width = min(width, len(words))
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(len(words) - width + 1)] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def linked(codes, radius):
+    """Smallest code reachable from every code by steps within the radius, comparing all pairs."""
+    codes = sorted(set(codes))
+    root = {c: c for c in codes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(codes):
+        for b in codes[:k]:
+            if (a ^ b).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {c: find(c) for c in codes}
