@@ -49,7 +49,7 @@ def compare(df, con, sql: str) -> tuple[bool, str]:
     mine = normal_rows(df.columns, df.collect())
     want = normal_rows(columns, rows)
     types = dict(zip(columns, kinds))
-    names = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE",
+    names = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE",
              "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
     bad = [
         f"{n}: {k} / {types[n]}" for n, k in df.dtypes if names.get(k, k.upper()) != types[n]
