@@ -128,3 +128,18 @@ def linked(codes, radius):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {c: find(c) for c in codes}
+
+
+def hard_negatives(rows, is_anchor):
+    """Contract rows of (vec_id, label, vector) by scoring every anchor with every row."""
+    rows = [(i, lab, [math.floor(256 * x) for x in v]) for i, lab, v in rows
+            if i is not None and lab is not None and v is not None and all(x is not None and abs(x) < 2**20 for x in v)]
+    out = []
+    for n, (i, lab, a) in enumerate(rows):
+        if not is_anchor(i):
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(a, b)), j, other) for m, (j, other, b) in enumerate(rows) if m != n)
+        for p, pid, _ in [s for s in scored if s[2] == lab][:5]:
+            fits = [(-s, j) for s, j, other in scored if other != lab and 50 * -p <= 100 * -s <= 95 * -p]
+            out += [(i, pid, k, j, -p, s) for k, (s, j) in enumerate(fits[:3], 1)]
+    return sorted(out)
