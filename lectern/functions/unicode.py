@@ -2,7 +2,8 @@
 
 Spark SQL has ``lower`` but neither NFC nor full case folding.  Almost every row
 needs only ``lower``; the rows that need more are recognised by a character class
-computed here from the Unicode database, and only those travel to Python.
+computed here from the Unicode database.  Those call the Unicode library that Spark itself
+ships for its collations, so no row leaves the JVM.
 """
 
 from __future__ import annotations
@@ -11,19 +12,13 @@ import functools
 import sys
 import unicodedata
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Ship this module's code with the tasks, so executors need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 APOSTROPHES = "’ʼ"
 
 
-def _needs_python(char: str) -> bool:
+def _needs_folding(char: str) -> bool:
     """True when lower() alone may differ from NFC + full case folding."""
     if char in APOSTROPHES or char == "ß":
         return False
@@ -36,41 +31,34 @@ def _needs_python(char: str) -> bool:
 
 @functools.lru_cache(maxsize=1)
 def slow_path_pattern() -> str:
-    """Java pattern that finds a code point that must be folded in Python.
+    """Java pattern that finds a code point that ``lower`` alone does not fold.
 
     Latin-1 is passed over first (its few special letters are handled natively), so the
     long class is tried only on the rare characters beyond it.
     """
     spans: list[list[int]] = []
     for point in range(0x100, sys.maxunicode + 1):
-        if 0xD800 <= point <= 0xDFFF or not _needs_python(chr(point)):
+        if 0xD800 <= point <= 0xDFFF or not _needs_folding(chr(point)):
             continue
         if spans and spans[-1][1] == point - 1:
             spans[-1][1] = point
         else:
             spans.append([point, point])
-    # Capital sigma lowers differently at the end of a word; fold it in Python too.
+    # Capital sigma lowers differently at the end of a word; fold it in full too.
     spans.append([0x3A3, 0x3A3])
     members = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in spans)
     return f"[^\\x00-\\x{{ff}}{APOSTROPHES}](?<=[{members}])"
 
 
-@F.pandas_udf(T.StringType())
-def _fold_in_python(texts: pd.Series) -> pd.Series:
-    def fold(text):
-        if text is None:
-            return None
-        text = unicodedata.normalize("NFC", text)
-        for mark in APOSTROPHES:
-            text = text.replace(mark, "'")
-        return text.casefold()
-
-    return texts.map(fold)
+def _fold(text: Column) -> Column:
+    """NFC and full case folding of a text that is not null."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.reflect(
+        F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.translate(composed, APOSTROPHES, "''"), F.lit(True)
+    )
 
 
 def normalise(text: Column) -> Column:
     """NFC, typographic apostrophes to ``'``, full case folding; null becomes ''."""
-    rare = text.rlike(slow_path_pattern())
-    folded = _fold_in_python(F.when(rare, text))
     plain = F.replace(F.lower(F.translate(text, APOSTROPHES + "µ", "''μ")), F.lit("ß"), F.lit("ss"))
-    return F.coalesce(folded, plain, F.lit(""))
+    return F.when(text.isNull(), F.lit("")).when(text.rlike(slow_path_pattern()), _fold(text)).otherwise(plain)

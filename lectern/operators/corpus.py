@@ -6,6 +6,8 @@ computed inside the row without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,55 @@ def captions_of(chapters: DataFrame) -> DataFrame:
     )
 
 
+def records_of(chapters: DataFrame) -> DataFrame:
+    """Every translatable record of a chapter: verses, the preamble, and captions with English.
+
+    (chapter_id, label, en, languages); the label is ``verse <ord>``, ``preamble`` or
+    ``caption <verse_id>#<index>``.  They are listed inside the chapter's row.
+    """
+    kind = "array<struct<label:string,en:string," + ",".join(f"{x}:string" for x in LANGS) + ">>"
+
+    def record(label: Column, text: Column) -> Column:
+        return F.struct(label.alias("label"), text["en"].alias("en"), *[text[x].alias(x) for x in LANGS])
+
+    def of_verse(v: Column, i: Column) -> Column:
+        captions = F.transform(
+            v["images"],
+            lambda im, k: F.when(
+                is_filled(im["caption"]["en"]),
+                record(F.concat(F.lit("caption "), caption_key(v["id"], k)), im["caption"]),
+            ),
+        )
+        verse = record(F.concat(F.lit("verse "), (i + 1).cast("string")), v)
+        return F.concat(
+            F.array(verse).cast(kind), F.coalesce(F.array_compact(captions).cast(kind), F.array().cast(kind))
+        )
+
+    every = F.concat(
+        F.array(record(F.lit("preamble"), F.col("preamble"))).cast(kind), F.flatten(F.transform("verses", of_verse))
+    )
+    return chapters.select(F.col("id").alias("chapter_id"), F.explode(every).alias("r")).select("chapter_id", "r.*")
+
+
+def text_of(chapters: DataFrame, langs: Sequence[str], keep: Callable[[Column], Column] | None = None) -> Column:
+    """All text of a chapter in the given languages, one line per record: preamble, verses, captions.
+
+    ``keep`` tells which verses count, with their captions; the preamble always does.
+    """
+    none = F.array().cast("array<string>")
+
+    def texts(holder: Column) -> Column:
+        return F.array(*[holder[x] for x in langs])
+
+    def of_verse(v: Column) -> Column:
+        images = F.coalesce(v["images"], F.array().cast(_images(chapters)))
+        return F.concat(texts(v), F.flatten(F.transform(images, lambda im: texts(im["caption"]))))
+
+    verses = F.col("verses") if keep is None else F.filter("verses", keep)
+    lines = F.concat(texts(F.col("preamble")), F.coalesce(F.flatten(F.transform(verses, of_verse)), none))
+    return F.array_join(F.filter(lines, is_filled), "\n")
+
+
 def in_verse_range(number: Column, vmin: int | None = None, vmax: int | None = None) -> Column:
     """Inclusive bounds; None leaves a side open."""
     keep = F.lit(True)

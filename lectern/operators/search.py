@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.probe import probe_of
 from lectern.functions.text import LANGS, is_filled, once, tokenize
-from lectern.operators.ordered import number_rows
+from lectern.operators.ordered import number_sorted
 from lectern.operators.sizing import small_side
 
 CJK = "[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{2ffff}]"
@@ -32,18 +33,32 @@ def search_tokens(text: Column, lang: str | None = None) -> Column:
     return tokenize(text)
 
 
-def build_index(records: DataFrame, text: str, keys: list[str], lang: str | None = None) -> DataFrame:
-    """(token, keys, tf): counted inside the row, so building the index needs no shuffle."""
+def build_index(
+    records: DataFrame, text: str, keys: list[str], lang: str | None = None, only: DataFrame | None = None
+) -> DataFrame:
+    """(token, keys, tf): counted inside the row, so building the index needs no shuffle.
+
+    The row's tokens are sorted; a token's count is the length of its run.  With ``only``, a
+    table of tokens, no other token is sorted or leaves its row.
+    """
     tokens = search_tokens(F.col(text), lang)
-    # Every token stands between its own two spaces, so occurrences can be cut out and
-    # counted by length.
-    hay = F.concat(F.lit(" "), F.array_join("_tokens", "  "), F.lit(" "))
-    rows = records.select(*keys, once(tokens).alias("_tokens")).select(
-        *keys, hay.alias("_hay"), F.explode(F.array_distinct("_tokens")).alias("token")
+    if only is not None:
+        known = probe_of(only, "token")
+        tokens = F.filter(tokens, lambda t: known(t))
+    rows = records.select(*keys, once(F.array_sort(tokens)).alias("_sorted"))
+    starts = F.filter(
+        F.transform("_sorted", lambda t, i: F.when((i == 0) | (t != F.get("_sorted", i - 1)), i)), lambda i: i.isNotNull()
+    )
+    runs = rows.select(*keys, "_sorted", once(starts).alias("_starts"))
+    counted = F.transform(
+        "_starts",
+        lambda i, k: F.struct(
+            F.get("_sorted", i).alias("token"),
+            (F.coalesce(F.get("_starts", k + 1), F.size("_sorted")) - i).cast("bigint").alias("tf"),
+        ),
     )
-    word = F.concat(F.lit(" "), "token", F.lit(" "))
-    cut = F.length("_hay") - F.length(F.replace("_hay", word, F.lit("")))
-    return rows.select("token", *keys, (cut / F.length(word)).cast("bigint").alias("tf"))
+    postings = runs.select(*keys, F.explode(counted).alias("_t")).select("_t.token", *keys, "_t.tf")
+    return postings if only is None else postings.join(small_side(only.select("token").distinct()), "token", "left_semi")
 
 
 def index_by_language(verses: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,13 +103,9 @@ def search(index: DataFrame, queries: DataFrame, keys: list[str], lang: str | No
     )
 
 
-def number_hits(hits: DataFrame, block: int = 4096) -> DataFrame:
+def number_hits(hits: DataFrame) -> DataFrame:
     """Rank of every hit in its query: score, then chapter and verse; exact at any size."""
-    cut = hits.withColumn("_neg", -F.col("score")).withColumn("_cb", F.floor(F.col("chapter") / block))
-    return number_rows(
-        cut, ["query_id"], ["_neg", "_cb"],
-        [F.col("_neg"), F.col("chapter"), F.col("ord")], "rank",
-    ).drop("_neg", "_cb")
+    return number_sorted(hits, ["query_id"], [F.col("score").desc(), F.col("chapter"), F.col("ord")], "rank")
 
 
 def page_of(rank: Column, per_page: int = 10) -> Column:

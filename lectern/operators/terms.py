@@ -4,8 +4,11 @@
 * regex words (:func:`word_edges`): ``\\b term \\b`` in any case;
 * renderings (:func:`rendering_edges`): plain substring, for scripts without spaces.
 
-All three are equi joins: on token n-grams, on one word of the term, and on the first
-characters of the rendering.  No text is ever paired with a term it shares no key with.
+All three walk the text inside its row and probe the dictionary at every place (see
+``functions/probe.py``): first with what a match starts with, then with the whole match.  Only
+what passes both is unnested, as a string as long as the match, and joined with the dictionary.
+Neither runs of words nor windows nor texts are unnested where nothing matches.  A dictionary
+too large for a probe is joined all the same, with every place of the text.
 """
 
 from __future__ import annotations
@@ -15,18 +18,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.probe import MOST_ENTRIES, listed, probe_of, strings
 from lectern.functions.text import (
     LANGS,
     is_filled,
-    ngrams,
     once,
     phrase_forms,
     quote_pattern,
     tokenize,
 )
-from lectern.operators.ordered import number_rows
+from lectern.operators.ordered import number_sorted
 from lectern.operators.sizing import small_side
 
+#: Characters of the key that a place in a text is first probed with.
+HEAD = 3
+
 
 def term_forms(terms: DataFrame) -> DataFrame:
     """(slug, form, n): the distinct token forms of every term."""
@@ -44,13 +50,23 @@ def token_edges(
 ) -> DataFrame:
     """Distinct (keys, slug) where a form occurs as a contiguous token run of the text.
 
-    Only run lengths that occur in the dictionary are generated.  ``carried`` columns ride
-    along, which saves joining the records back.
+    A run starts where the probe knows its first word, and only runs that the probe knows
+    whole, of lengths that occur in the dictionary, leave the row.  ``carried`` columns ride
+    along with these matches.
     """
-    lengths = [r.n for r in forms.select("n").distinct().collect()] or [1]
-    grams = records.select(
-        *keys, *carried, once(tokenize(F.col(text))).alias("_tokens")
-    ).select(*keys, *carried, F.explode(ngrams(F.col("_tokens"), lengths)).alias("_gram"))
+    lengths = sorted(r.n for r in forms.select("n").distinct().collect()) or [1]
+    first = probe_of(forms.select(F.substring_index("form", " ", 1).alias("w")), "w")
+    whole = probe_of(forms, "form")
+    tokens = records.select(*keys, *carried, once(tokenize(F.col(text))).alias("_tokens"))
+    size = F.size("_tokens")
+    places = F.filter(F.transform("_tokens", lambda w, i: F.when(first(w), i + 1)), lambda i: i.isNotNull())
+
+    def runs(i: Column) -> Column:
+        # A run beyond the end is null.
+        every = [F.when(i + n - 1 <= size, F.array_join(F.slice("_tokens", i, n), " ")) for n in lengths]
+        return F.filter(F.array(*every), lambda g: F.coalesce(whole(g), F.lit(False)))
+
+    grams = tokens.select(*keys, *carried, F.explode(F.array_distinct(F.flatten(F.transform(places, runs)))).alias("_gram"))
     side = small_side(forms.select("slug", F.col("form").alias("_gram")).distinct())
     return grams.join(side, "_gram").drop("_gram").dropDuplicates([*keys, "slug"])
 
@@ -59,6 +75,11 @@ _WORD = r"(?U)\w+"
 _GAP = r"(?U)\W+"
 
 
+def _folded(text: Column) -> Column:
+    """Equal for all texts that a pattern takes for equal in any case."""
+    return F.lower(F.upper(text))
+
+
 def _term_key(term: Column) -> Column:
     """The longest word inside the term; a term without words is its own key."""
     words = F.regexp_extract_all(F.lower(term), F.lit(_WORD), F.lit(0))
@@ -75,22 +96,57 @@ def word_pattern(term: Column) -> Column:
 def word_edges(records: DataFrame, text: str, keys: Sequence[str], terms: DataFrame) -> DataFrame:
     """Distinct (keys, slug) where ``\\b term \\b`` matches in any case.
 
-    Wherever the term matches, each of its words is a whole word of the text, so the join
-    runs on the longest one and the pattern is checked only on the candidates.
+    A term that starts with a word can only match where a word of the text starts.  From
+    each such place the row looks as far ahead as the longest term, and one character more
+    for the closing ``\\b``; what the probe knows leaves the row together with this short
+    stretch, in which the pattern is checked.  Terms that start with a sign are rare; they
+    meet the text on their longest word.
     """
-    lower = F.lower(F.col(text))
-    words = F.array_distinct(
-        F.concat(
-            F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0)),
-            F.regexp_extract_all(lower, F.lit(_GAP), F.lit(0)),
-        )
-    )
-    exploded = records.select(*keys, F.col(text).alias("_text"), F.explode(words).alias("_key"))
-    side = small_side(
-        terms.select("slug", "term", _term_key(F.col("term")).alias("_key"))
-    )
-    hits = exploded.join(side, "_key").where(F.rlike("_text", word_pattern(F.col("term"))))
-    return hits.select(*keys, "slug").dropDuplicates([*keys, "slug"])
+    named = terms.select("slug", "term").where(F.col("term").isNotNull())
+    by_word = named.where(F.rlike("term", F.lit(r"(?U)^\w")))
+    shape = by_word.agg(F.collect_set(F.length("term")).alias("lengths")).first()
+    lengths = sorted(shape["lengths"])
+    others = named.where(~F.rlike("term", F.lit(r"(?U)^\w")))
+    found = None
+    if lengths:
+        width = min(HEAD, lengths[0])
+        head = probe_of(by_word.select(_folded(F.substring("term", 1, width)).alias("h")), "h")
+        whole = probe_of(by_word.select(_folded(F.col("term")).alias("t")), "t")
+        ahead = F.regexp_extract_all(F.col(text), F.lit(rf"(?sU)\b(?=\w)(?=(.{{1,{lengths[-1] + 1}}}))"), F.lit(1))
+        near = F.filter(ahead, lambda w: head(_folded(F.substring(w, 1, width))))
+
+        def starts(w: Column) -> Column:
+            every = [F.struct(_folded(F.substring(w, 1, n)).alias("key"), F.substring(w, 1, n + 1).alias("at")) for n in lengths]
+            return F.filter(F.array(*every), lambda p: whole(p["key"]))
+
+        placed = records.select(*keys, F.explode(F.array_distinct(F.flatten(F.transform(near, starts)))).alias("_p")).select(
+            *keys, F.col("_p.key").alias("_key"), F.col("_p.at").alias("_at"))
+        side = small_side(by_word.select("slug", "term", _folded(F.col("term")).alias("_key")))
+        pattern = F.concat(F.lit("(?iU)^"), quote_pattern(F.col("term")), F.lit(r"\b"))
+        found = placed.join(side, "_key").where(F.rlike("_at", pattern)).select(*keys, "slug")
+    if found is None or not others.isEmpty():
+        lower = F.lower(F.col(text))
+        cut = F.array_distinct(F.concat(
+            F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0)), F.regexp_extract_all(lower, F.lit(_GAP), F.lit(0))))
+        side = others.select("slug", "term", _term_key(F.col("term")).alias("_key"))
+        known = probe_of(side, "_key")
+        parts = records.select(*keys, F.col(text).alias("_text"), F.explode(F.filter(cut, lambda w: known(w))).alias("_key"))
+        more = parts.join(small_side(side), "_key").where(F.rlike("_text", word_pattern(F.col("term")))).select(*keys, "slug")
+        found = more if found is None else found.unionByName(more)
+    return found.dropDuplicates([*keys, "slug"])
+
+
+def _rarest(renderings: list[str]) -> dict[str, list[str]]:
+    """The renderings, filed by the ``HEAD`` characters (or all, if fewer) that fewest of them share."""
+    share: dict[str, int] = {}
+    parts = {r: dict.fromkeys(r[k : k + HEAD] for k in range(max(1, len(r) - HEAD + 1))) for r in renderings}
+    for own in parts.values():
+        for key in own:
+            share[key] = share.get(key, 0) + 1
+    out: dict[str, list[str]] = {}
+    for r, own in parts.items():
+        out.setdefault(min(own, key=lambda key: share[key]), []).append(r)
+    return out
 
 
 def rendering_edges(
@@ -98,28 +154,45 @@ def rendering_edges(
 ) -> DataFrame:
     """Distinct (keys, slug) where any rendering of the term is a substring of the text.
 
-    Every position of the text gives a window as long as the longest rendering; windows
-    and renderings meet on their first three characters (fewer for shorter renderings) and
-    the window must start with the rendering.  Only windows travel, never the whole text.
+    Every rendering is filed under its rarest ``HEAD`` characters.  The row lists the
+    characters of all its positions, looks up those that are filed, and tries only the
+    renderings filed under them; only what really stands in the text leaves the row.
     """
     renderings = terms.select(
         "slug", F.explode(F.array(*[F.col(f"translit.{lang}") for lang in LANGS])).alias("_r")
     ).where(is_filled(F.col("_r"))).distinct()
-    width = F.length("_r")
-    shape = renderings.agg(
-        F.max(width).alias("longest"), F.collect_set(F.least(width, F.lit(3))).alias("keys")
-    ).head()
-    side = small_side(renderings.withColumn("_key", F.substring("_r", 1, 3)))
-    longest, sizes = shape["longest"] or 1, sorted(shape["keys"]) or [3]
-    windows = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1))
-    placed = records.where(is_filled(F.col(text))).select(
-        *keys, F.explode(F.array_distinct(windows)).alias("_w")
-    )
-    keyed = placed.select(
-        *keys, "_w", F.explode(F.array(*[F.substring("_w", 1, n) for n in sizes])).alias("_key")
-    )
-    hits = keyed.join(side, "_key").where(F.startswith(F.col("_w"), F.col("_r")))
-    return hits.select(*keys, "slug").dropDuplicates([*keys, "slug"])
+    every = sorted(r["_r"] for r in renderings.select("_r").distinct().limit(MOST_ENTRIES + 1).collect())
+    side = small_side(renderings)
+    filled = records.where(is_filled(F.col(text)))
+    if len(every) > MOST_ENTRIES:
+        return _windowed(filled, text, keys, side)
+    if not every:
+        return filled.select(*keys).join(side, F.lit(False)).select(*keys, "slug")
+    filed = _rarest(every)
+    number = {r: n for n, r in enumerate(every, 1)}
+    lookup = listed(records.sparkSession, {k: [number[r] for r in own] for k, own in filed.items()})
+    known = strings(every)
+    grams = []
+    for width in sorted({len(k) for k in filed}):
+        own = strings([k for k in filed if len(k) == width])
+        at = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
+        grams.append(F.array_intersect(at, own))
+
+    def standing(key: Column) -> Column:
+        tried = F.transform(lookup(key), lambda n: F.element_at(known, n))
+        return F.filter(tried, lambda r: F.contains(F.col(text), r))
+
+    met = filled.select(*keys, text, once(F.concat(*grams)).alias("_met"))
+    hits = met.select(*keys, F.explode(F.array_distinct(F.flatten(F.transform("_met", standing)))).alias("_r"))
+    return hits.join(side, "_r").select(*keys, "slug").dropDuplicates([*keys, "slug"])
+
+
+def _windowed(filled: DataFrame, text: str, keys: Sequence[str], side: DataFrame) -> DataFrame:
+    """The same for a dictionary too large to probe: every substring of a known length is joined."""
+    lengths = sorted(r.n for r in side.select(F.length("_r").alias("n")).distinct().collect())
+    cuts = [F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    windows = filled.select(*keys, F.explode(F.array_distinct(F.concat(*cuts))).alias("_r"))
+    return windows.join(side, "_r").select(*keys, "slug").dropDuplicates([*keys, "slug"])
 
 
 def resolve_tags(tagged: DataFrame, tag: str, terms: DataFrame) -> DataFrame:
@@ -158,16 +231,14 @@ def first_links(placed: DataFrame) -> DataFrame:
     return first.select("slug", "verse_id", "_at.*")
 
 
-def number_backlinks(edges: DataFrame, block: int = 4096) -> DataFrame:
+def number_backlinks(edges: DataFrame) -> DataFrame:
     """Edges numbered per term in document order (book position, chapter, ord).
 
-    Exact for any term: a term linked from a third of all verses is numbered in blocks.
+    Exact for any term and any chapter numbers: a term linked from a third of all verses is
+    numbered by sampled ranges.
     """
-    cut = edges.withColumn("_cb", F.floor(F.col("chapter") / block))
-    return number_rows(
-        cut, ["slug"], ["book_position", "_cb"],
-        [F.col("book_position"), F.col("chapter"), F.col("ord")], "link_no",
-    ).drop("_cb")
+    order = [F.col(c) for c in ("book_position", "chapter", "ord", "verse_id") if c in edges.columns]
+    return number_sorted(edges, ["slug"], order, "link_no")
 
 
 def backlinks(edges: DataFrame, terms: DataFrame, part: int = 1000) -> DataFrame:

@@ -45,22 +45,31 @@ def validate_results(
         K.check_caption_coverage(captions, returned),
         K.check_tags(received, terms),
         K.check_unknown_terms(results),
-        K.check_locks(_records(asked, verses, captions, results, received, returned), terms, term_forms(terms)),
+        K.check_locks(paired_records(asked, results), terms, term_forms(terms)),
         bound,
     ])
 
 
-def _records(asked, verses, captions, results, received, returned) -> DataFrame:
-    """(chapter_id, label, en, languages): English of the source beside the returned texts."""
-    of_verses = verses.select("chapter_id", "ord", "en").join(
-        received.select("chapter_id", "ord", *LANGS), ["chapter_id", "ord"]
-    ).select("chapter_id", F.concat(F.lit("verse "), F.col("ord").cast("string")).alias("label"), "en", *LANGS)
-    of_preambles = asked.select(F.col("id").alias("chapter_id"), F.col("preamble.en").alias("en")).join(
-        results.select("chapter_id", *[F.col(f"preamble.{x}").alias(x) for x in LANGS]), "chapter_id"
-    ).select("chapter_id", F.lit("preamble").alias("label"), "en", *LANGS)
-    last = returned.groupBy("chapter_id", "cap_idx").agg(F.max_by(F.struct(*LANGS), "pos").alias("r"))
-    of_captions = captions.select("chapter_id", "cap_idx", "en").join(last, ["chapter_id", "cap_idx"]).select(
-        "chapter_id", F.concat(F.lit("caption "), "cap_idx").alias("label"), "en",
-        *[F.col(f"r.{x}").alias(x) for x in LANGS],
+def returned_records(results: DataFrame) -> DataFrame:
+    """(chapter_id, label, languages) of returned verses by position, preambles and captions.
+
+    Of several captions under one key the last counts.
+    """
+    verses = results_by_position(results).select(
+        "chapter_id", F.concat(F.lit("verse "), F.col("ord").cast("string")).alias("label"), *LANGS
+    )
+    preambles = results.where(F.col("preamble").isNotNull()).select(
+        "chapter_id", F.lit("preamble").alias("label"), *[F.col(f"preamble.{x}").alias(x) for x in LANGS]
     )
-    return of_verses.unionByName(of_preambles).unionByName(of_captions)
+    captions = results.select("chapter_id", F.posexplode("captions").alias("pos", "c")).groupBy(
+        "chapter_id", F.col("c.cap_idx").alias("cap_idx")
+    ).agg(F.max_by(F.struct(*[F.col(f"c.{x}").alias(x) for x in LANGS]), "pos").alias("r"))
+    return verses.unionByName(preambles).unionByName(captions.select(
+        "chapter_id", F.concat(F.lit("caption "), "cap_idx").alias("label"), *[F.col(f"r.{x}").alias(x) for x in LANGS]
+    ))
+
+
+def paired_records(chapters: DataFrame, results: DataFrame) -> DataFrame:
+    """(chapter_id, label, en, languages): English of every source record beside what came back for it."""
+    english = C.records_of(chapters).select("chapter_id", "label", "en")
+    return english.join(returned_records(results), ["chapter_id", "label"])

@@ -90,6 +90,22 @@ def verse_struct(d: Column, chapter_id: Column, line: Column, o: Column) -> Colu
     )
 
 
+def rich_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters whose preamble and captions hold running text, in the source and in translation."""
+    ch = chapters(spark, sf_dir)
+    d, line = F.col("chapter"), F.get("verses", F.lit(0))["en"]
+    text = lambda en, hant, hans: F.struct(
+        en.alias("en"), hant.alias("zh_hant"), hans.alias("zh_hans"), none().alias("ja"))
+    preamble = text(_add("Epigraph ", line), F.when(d % 6 == 0, _add("序", F.lower(line))), F.when(d % 5 == 0, line))
+
+    def pictured(v: Column) -> Column:
+        caption = text(_add("Plate ", d % 50, " ", v["en"]), F.when(d % 2 == 0, _add("圖", F.lower(v["en"]))), F.when(d % 3 == 0, v["en"]))
+        images = F.transform(v["images"], lambda im, k: F.when(k == 0, im.withField("caption", caption)).otherwise(im))
+        return v.withField("images", images)
+
+    return ch.withColumn("preamble", preamble).withColumn("verses", F.transform("verses", pictured))
+
+
 def caption_type() -> str:
     return schemas.I18N.simpleString()
 

@@ -199,11 +199,31 @@ REPORT = """
         WHERE x.kind = 'coin') WHERE n <> '' AND cur <> '' AND n <> cur)"""
 
 
-@query("U8_commit_report", S.query("stored delta", f""", {REPORT} SELECT action, key, field FROM rep"""))
+def lexicons(s, d):
+    """(stored, new): phrases of two thirds of the documents, and a change set that repeats, fills and adds some."""
+    docs = B.table(s, d, "documents")
+    k = F.col("doc_id")
+    en = F.concat(F.lit("phrase "), k.cast("string"))
+    mark = lambda sign: F.concat(F.lit(sign), k.cast("string"))
+    stored = docs.where("doc_id % 3 <> 0").select(
+        en.alias("en"), mark("句").alias("zh_hant"), F.when(k % 2 == 0, mark("句")).alias("zh_hans"), F.lit("").alias("ja"))
+    new = docs.where("doc_id % 4 = 0").select(
+        en.alias("en"), mark("句").alias("zh_hant"), mark("语").alias("zh_hans"), mark("ク").alias("ja"), k.alias("pos"))
+    return stored, new
+
+
+LEXICON = """
+    lex AS (SELECT 'phrase ' || doc_id AS en, '句' || doc_id AS hant, CASE WHEN doc_id % 2 = 0 THEN '句' || doc_id END AS hans, '' AS ja
+            FROM documents WHERE doc_id % 3 <> 0),
+    newlex AS (SELECT 'phrase ' || doc_id AS en, '句' || doc_id AS hant, '语' || doc_id AS hans, 'ク' || doc_id AS ja FROM documents WHERE doc_id % 4 = 0),
+    lexrep AS (
+      SELECT 'conflict' AS action, en AS key, 'lexicon.zh_hans' AS field FROM newlex JOIN lex USING (en) WHERE lex.hans <> '' AND lex.hans <> newlex.hans
+      UNION ALL SELECT 'lexicon', en, '' FROM newlex ANTI JOIN lex USING (en))"""
+
+
+@query("U8_commit_report", S.query("stored delta", f""", {REPORT}, {LEXICON} SELECT action, key, field FROM rep UNION ALL SELECT * FROM lexrep"""))
 def _(s, d):
-    lexicon = s.createDataFrame([], "en string, zh_hant string, zh_hans string, ja string")
-    new = s.createDataFrame([], "en string, zh_hant string, zh_hans string, ja string, pos bigint")
-    return M.commit_report(B.stored_terms(s, d), B.term_delta(s, d), lexicon, new)
+    return M.commit_report(B.stored_terms(s, d), B.term_delta(s, d), *lexicons(s, d))
 
 
 @query("U8_commit_refused", S.query("stored", "SELECT slug, hant AS zh_hant, locked FROM (SELECT *, FALSE AS locked FROM stored)"))
@@ -221,14 +241,23 @@ def _(s, d):
     FROM stored t LEFT JOIN (SELECT * FROM delta WHERE kind = 'fill' AND c = 1) x USING (slug)
     LEFT JOIN (SELECT slug, ja FROM delta WHERE kind = 'fill' AND c = 2) x2 USING (slug)"""))
 def _(s, d):
-    # Fills alone never conflict: what exists is kept and reported.
-    lexicon = s.createDataFrame([], "en string, zh_hant string, zh_hans string, ja string")
-    new = s.createDataFrame([], "en string, zh_hant string, zh_hans string, ja string, pos bigint")
+    # Fills alone never conflict: what exists is kept and reported.  Nor do phrases that are new.
+    stored, new = lexicons(s, d)
     fills = B.term_delta(s, d).where("kind = 'fill'")
-    terms, _, _ = M.commit(B.stored_terms(s, d), fills, lexicon, new)
+    terms, _, _ = M.commit(B.stored_terms(s, d), fills, stored, new.join(stored, "en", "left_anti"))
     return terms.select("slug", "translit.zh_hant", "translit.ja", F.coalesce("locked", F.lit(False)).alias("locked"))
 
 
+@query("U8_commit_lexicon", S.query("", f"""
+    WITH {LEXICON} SELECT en, hant AS zh_hant, hans AS zh_hans, ja FROM lex
+    UNION ALL SELECT en, hant, hans, ja FROM newlex ANTI JOIN lex USING (en)"""))
+def _(s, d):
+    # The accepted lexicon: stored phrases as they were, and the new ones of the change set.
+    stored, new = lexicons(s, d)
+    fills = B.term_delta(s, d).where("kind = 'fill'")
+    return M.commit(B.stored_terms(s, d), fills, stored, new.join(stored, "en", "left_anti"))[1]
+
+
 @query("U9_inject_images", S.query("verses", """
     SELECT chapter_id, ord, n_images::BIGINT + CASE WHEN verse_number = 10 AND ord = first_ord AND d % 2 = 0
         THEN CASE WHEN n_images > 0 THEN 1 ELSE 2 END ELSE 0 END AS n_images

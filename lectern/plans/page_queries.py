@@ -131,7 +131,7 @@ def _(s, d):
                    FROM (SELECT DISTINCT source FROM documents) LEFT JOIN books b ON slug = source),
     n AS (SELECT *, (row_number() OVER (PARTITION BY book ORDER BY chapter) - 1) // 1000 AS part_no FROM heads),
     intro AS (SELECT book, arg_min(coalesce(pre_en, ''), chapter) AS pre FROM heads GROUP BY 1)
-    SELECT book, book || '/index' AS path, part_no, CASE WHEN part_no = 0 THEN
+    SELECT book, book || '/index' || CASE WHEN part_no > 0 THEN '-' || part_no ELSE '' END AS path, part_no, CASE WHEN part_no = 0 THEN
       '---' || chr(10) || 'id: ' || book || chr(10) || 'title: "' || any_value(p.title) || '"' || chr(10) || 'sidebar_label: "' || any_value(p.title) || '"' || chr(10) || 'sidebar_position: ' || any_value(position) || chr(10) || '---' || chr(10)
       || chr(10) || '# ' || any_value(p.title) || chr(10) || CASE WHEN any_value(pre) <> '' THEN chr(10) || '> ' || any_value(pre) || chr(10) ELSE '' END || chr(10) ELSE '' END
       || string_agg('- [Chapter ' || chapter || '](/' || book || '/' || chapter_id || ')', chr(10) ORDER BY chapter) || chr(10) AS body

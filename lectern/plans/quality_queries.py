@@ -189,12 +189,12 @@ def _(s, d):
 
 
 @query("Q11_captions", S.query("verses rcaps", """
-    , c AS (SELECT chapter_id, verse_id || '#0' AS cap_idx FROM verses WHERE cap_en IS NOT NULL AND d % 2 = 1)
+    , c AS (SELECT chapter_id, verse_id || '#0' AS cap_idx FROM verses WHERE cap_en IS NOT NULL)
     SELECT DISTINCT 'caption.missing' AS rule, chapter_id AS path, cap_idx AS id, '' AS detail FROM c ANTI JOIN rcaps USING (chapter_id, cap_idx)
     UNION ALL SELECT DISTINCT 'caption.extra', chapter_id, cap_idx, '' FROM rcaps ANTI JOIN c USING (chapter_id, cap_idx)
     UNION ALL SELECT 'caption.blank', chapter_id, cap_idx, 'missing ja' FROM rcaps SEMI JOIN c USING (chapter_id, cap_idx) WHERE c_ja IS NULL"""))
 def _(s, d):
-    caps = C.captions_of(B.chapters(s, d)).where("chapter % 2 = 1")
+    caps = C.captions_of(B.chapters(s, d))
     got = B.results(s, d).select("chapter_id", F.posexplode("captions").alias("pos", "c")).select("chapter_id", "pos", "c.*")
     return K.check_caption_coverage(caps, got)
 
@@ -207,15 +207,16 @@ def _(s, d):
     return K.check_tags(received(s, d), B.terms(s, d)).unionByName(K.check_unknown_terms(B.results(s, d)))
 
 
-@query("Q13_lock_check", S.query("edges terms", """
-    SELECT 'result.lock' AS rule, e.chapter_id AS path, 'verse ' || e.ord AS id, x.lang || ' missing ' || t.term || '→' || want AS detail
-    FROM edges e JOIN verses v ON v.chapter_id = e.chapter_id AND v.ord = e.ord JOIN terms t ON t.slug = e.slug,
-    LATERAL (SELECT unnest(['zh_hant', 'zh_hans', 'ja']) AS lang, unnest([t.zh_hant, t.zh_hans, t.ja]) AS want, unnest([v.zh_hant, v.zh_hans, v.ja]) AS got) x
+@query("Q13_lock_check", S.query("records terms forms", f"""
+    , hays AS (SELECT *, ' ' || array_to_string({S.tokens('en')}, ' ') || ' ' AS hay FROM records),
+    found AS (SELECT DISTINCT r.chapter_id, r.label, r.zh_hant, r.zh_hans, r.ja, f.slug FROM hays r JOIN forms f ON contains(r.hay, ' ' || f.form || ' '))
+    SELECT 'result.lock' AS rule, e.chapter_id AS path, e.label AS id, x.lang || ' missing ' || t.term || '→' || want AS detail
+    FROM found e JOIN terms t ON t.slug = e.slug,
+    LATERAL (SELECT unnest(['zh_hant', 'zh_hans', 'ja']) AS lang, unnest([t.zh_hant, t.zh_hans, t.ja]) AS want, unnest([e.zh_hant, e.zh_hans, e.ja]) AS got) x
     WHERE want <> '' AND NOT contains(coalesce(got, ''), want)"""))
 def _(s, d):
-    rows = verses(s, d).withColumn("label", F.concat(F.lit("verse "), F.col("ord").cast("string")))
     t = B.terms(s, d)
-    return K.check_locks(rows, t, term_forms(t))
+    return K.check_locks(C.records_of(B.rich_chapters(s, d)), t, term_forms(t))
 
 
 @query("Q14_tagged_locks", S.query("verses terms", r"""

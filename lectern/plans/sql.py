@@ -47,6 +47,14 @@ CTES = {
                CASE WHEN doc_id % 6 = 0 THEN '序' END AS pre_hant,
                CASE WHEN doc_id % 6 = 0 THEN 'word-1882' WHEN doc_id % 12 = 3 THEN 'sacred-texts' END AS preamble_source
         FROM documents""",
+    "records": """
+        SELECT chapter_id, d, 0 AS ord, NULL AS verse_number, 0 AS part, 'preamble' AS label, 'Epigraph ' || en AS en,
+               CASE WHEN d % 6 = 0 THEN '序' || lower(en) END AS zh_hant, CASE WHEN d % 5 = 0 THEN en END AS zh_hans, NULL AS ja
+        FROM verses WHERE o = 1
+        UNION ALL SELECT chapter_id, d, ord, verse_number, 0, 'verse ' || ord, en, zh_hant, zh_hans, ja FROM verses
+        UNION ALL SELECT chapter_id, d, ord, verse_number, 1, 'caption ' || verse_id || '#0', 'Plate ' || (d % 50) || ' ' || en,
+               CASE WHEN d % 2 = 0 THEN '圖' || lower(en) END, CASE WHEN d % 3 = 0 THEN en END, NULL
+        FROM verses WHERE n_images > 0""",
     "books": """
         SELECT source AS slug, CASE WHEN k % 2 = 0 THEN 'Book ' || k END AS title,
                n + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS chapter_count, k AS position
@@ -157,7 +165,7 @@ CTES = {
 }
 
 NEEDS = {
-    "verses": ["v0"], "forms": ["terms"], "toks": ["verses"], "edges": ["toks", "forms"],
+    "verses": ["v0"], "records": ["verses"], "forms": ["terms"], "toks": ["verses"], "edges": ["toks", "forms"],
     "rverses": ["verses"], "rcaps": ["verses"], "elements": ["v0"], "placed": ["elements"],
     "marked": ["placed"], "walked": ["marked"], "roles": ["walked"],
 }

@@ -71,10 +71,10 @@ TAG_SQL = "CASE WHEN v.o % 3 = 0 THEN t.term WHEN v.o % 3 = 1 THEN upper(t.term)
 def tagged(s, d):
     """Tags on every fifth verse: headword, headword in capitals, or an unknown word."""
     names = B.terms(s, d).select(F.col("slug").alias("_s"), F.col("term").alias("_t"))
-    rows = verses(s, d).select("chapter_id", "ord", "en", *X.LANGS, F.explode("glossary_terms").alias("_s")).join(names, "_s")
+    rows = verses(s, d).select("chapter_id", "ord", "verse_number", "en", *X.LANGS, F.explode("glossary_terms").alias("_s")).join(names, "_s")
     k = F.col("ord") % 3
     tag = F.when(k == 0, F.col("_t")).when(k == 1, F.upper("_t")).otherwise(F.concat("_t", F.lit("?")))
-    return rows.select("chapter_id", "ord", "en", *X.LANGS, tag.alias("tag"), F.lit(0).alias("tag_no"))
+    return rows.select("chapter_id", "ord", "verse_number", "en", *X.LANGS, tag.alias("tag"), F.lit(0).alias("tag_no"))
 
 
 @query("J6_tag_resolution", S.query("verses terms", f"""
@@ -86,27 +86,41 @@ def _(s, d):
     return T.resolve_tags(tagged(s, d), "tag", B.terms(s, d)).select("chapter_id", "ord", "tag", "slug")
 
 
-@query("J7_select_for_scope", S.query("edges terms", """
-    SELECT chapter_id, slug FROM edges WHERE ord BETWEEN 2 AND 40
+@query("J7_select_for_scope", S.query("records terms forms", f"""
+    , scoped AS (SELECT chapter_id, ' ' || array_to_string({S.tokens("string_agg(en, chr(10) ORDER BY ord, part)")}, ' ') || ' ' AS hay
+                 FROM records WHERE label = 'preamble' OR verse_number BETWEEN 2 AND 40 GROUP BY 1)
+    SELECT DISTINCT chapter_id, slug FROM scoped JOIN forms ON contains(hay, ' ' || form || ' ')
     UNION SELECT v.chapter_id, (SELECT arg_max(slug, position) FROM terms x WHERE x.term = t.term)
-    FROM verses v JOIN terms t ON t.slug = v.tag WHERE v.o % 3 <> 2 AND v.o BETWEEN 2 AND 40"""))
+    FROM verses v JOIN terms t ON t.slug = v.tag WHERE v.o % 3 <> 2 AND v.verse_number BETWEEN 2 AND 40"""))
 def _(s, d):
-    in_scope = C.in_verse_range(F.col("ord"), 2, 40)
-    tags = T.resolve_tags(tagged(s, d), "tag", B.terms(s, d)).where(in_scope)
-    return T.scope_terms(edges(s, d).where(in_scope), tags, ["chapter_id"])
+    # The texts of a scope are one text: a term may run on from one record to the next.
+    ch = B.rich_chapters(s, d)
+    text = C.text_of(ch, ["en"], lambda v: C.in_verse_range(v["verse_number"], 2, 40))
+    found = T.token_edges(ch.select(F.col("id").alias("chapter_id"), text.alias("text")), "text", ["chapter_id"], T.term_forms(B.terms(s, d)))
+    tags = T.resolve_tags(tagged(s, d), "tag", B.terms(s, d)).where(C.in_verse_range(F.col("verse_number"), 2, 40))
+    return T.scope_terms(found, tags, ["chapter_id"])
+
+
+RENDERED = """
+    rendered AS (
+      SELECT DISTINCT v.chapter_id, t.slug FROM verses v JOIN terms t ON t.slug = v.tag
+      UNION SELECT DISTINCT v.chapter_id, t.slug FROM records v JOIN terms t
+        ON contains(v.zh_hant, t.zh_hant) OR contains(v.zh_hans, t.zh_hant) OR contains(v.ja, t.zh_hant)
+        OR contains(v.zh_hant, t.zh_hans) OR contains(v.zh_hans, t.zh_hans) OR contains(v.ja, t.zh_hans)
+        OR contains(v.zh_hant, t.ja) OR contains(v.zh_hans, t.ja) OR contains(v.ja, t.ja))"""
+
+
+def rendered_terms(s, d):
+    """(chapter_id, slug): tagged on a verse, or rendered in any verse, preamble or caption."""
+    ch = B.rich_chapters(s, d)
+    tags = C.verses_of(ch).select("chapter_id", F.explode("glossary_terms").alias("slug"))
+    text = ch.select(F.col("id").alias("chapter_id"), C.text_of(ch, X.LANGS).alias("text"))
+    return T.glossary_slice(tags, text, B.terms(s, d))
 
 
-@query("J8_chapter_glossary_slice", S.query("verses terms", """
-    SELECT DISTINCT v.chapter_id, t.slug FROM verses v JOIN terms t ON t.slug = v.tag
-    UNION SELECT DISTINCT v.chapter_id, t.slug FROM verses v JOIN terms t
-      ON contains(v.zh_hant, t.zh_hant) OR contains(v.zh_hans, t.zh_hant) OR contains(v.ja, t.zh_hant)
-      OR contains(v.zh_hant, t.zh_hans) OR contains(v.zh_hans, t.zh_hans) OR contains(v.ja, t.zh_hans)
-      OR contains(v.zh_hant, t.ja) OR contains(v.zh_hans, t.ja) OR contains(v.ja, t.ja)"""))
+@query("J8_chapter_glossary_slice", S.query("records terms", f", {RENDERED} SELECT * FROM rendered"))
 def _(s, d):
-    v = verses(s, d)
-    tags = v.select("chapter_id", F.explode("glossary_terms").alias("slug"))
-    text = v.select("chapter_id", F.concat_ws("\n", *[F.col(x) for x in X.LANGS]).alias("text"))
-    return T.glossary_slice(tags, text, B.terms(s, d))
+    return rendered_terms(s, d)
 
 
 @query("A4_backlinks", S.query("verses books terms", f""",{EDGE_ORDER}
@@ -239,10 +253,9 @@ def _(s, d):
 
 @query("O2_glossary_sort", S.query("terms", "SELECT slug, term, row_number() OVER (ORDER BY lower(term), term, slug) AS n FROM terms"))
 def _(s, d):
-    from lectern.operators.ordered import number_rows
+    from lectern.operators.ordered import number_sorted
 
-    t = B.terms(s, d).withColumn("_low", F.lower("term")).withColumn("_cut", F.substring("_low", 1, 4))
-    numbered = number_rows(t, [], ["_cut"], [F.col("_low"), F.col("term"), F.col("slug")], "n")
+    numbered = number_sorted(B.terms(s, d), [], [F.lower("term"), F.col("term"), F.col("slug")], "n")
     return T.glossary_sort(numbered).select("slug", "term", "n")
 
 
@@ -255,8 +268,9 @@ def search_queries(s, d):
 
 
 def hits(s, d):
-    keys = ["chapter_id", "chapter", "ord"]
-    return Q.search(Q.build_index(verses(s, d), "en", keys), search_queries(s, d), keys)
+    """Only words that are asked for leave their verse."""
+    keys, asked = ["chapter_id", "chapter", "ord"], search_queries(s, d)
+    return Q.search(Q.build_index(verses(s, d), "en", keys, only=Q.query_tokens(asked)), asked, keys)
 
 
 INDEX = f"""
@@ -332,7 +346,7 @@ def _(s, d):
     SELECT query_id, chapter_id, ord, rank, (rank - 1) // 10 AS page FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chapter, ord) AS rank FROM found)"""))
 def _(s, d):
-    return Q.number_hits(cut_lineage(hits(s, d))).select("query_id", "chapter_id", "ord", "rank", Q.page_of(F.col("rank")).alias("page"))
+    return Q.number_hits(hits(s, d)).select("query_id", "chapter_id", "ord", "rank", Q.page_of(F.col("rank")).alias("page"))
 
 
 TOP = "SELECT chapter_id, chapter, ord, max(score) AS score FROM found GROUP BY 1, 2, 3 ORDER BY score DESC, chapter, ord"

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.corpus import page_layout
-from lectern.operators.ordered import number_rows
+from lectern.operators.ordered import number_sorted
+from lectern.operators.sizing import small_side
 
 LINKS_PER_PART = 1000
 
@@ -26,7 +27,7 @@ def render_chapters(chapters: DataFrame, books: DataFrame, slices: DataFrame | N
     """
     layout = page_layout(chapters).select("id", "path", "has_index")
     rows = chapters.join(layout, "id").join(
-        books.select("book", F.col("title").alias("_bt"), "position"), "book"
+        small_side(books.select("book", F.col("title").alias("_bt"), "position")), "book"
     )
     if slices is not None:
         rows = rows.join(slices, rows["id"] == slices["chapter_id"], "left")
@@ -69,11 +70,11 @@ def quote(text: Column) -> Column:
 def book_indexes(chapters: DataFrame, books: DataFrame) -> DataFrame:
     """(book, path, part_no, body): ordered chapter links under the first epigraph.
 
-    The link list of a huge book is cut into parts of 1000 links; part 0 carries the head.
+    The link list of a huge book is cut into parts of 1000 links, each a page of its own;
+    part 0 carries the head and is the book's index, further ones are ``index-1`` and on.
     """
     layout = page_layout(chapters).where("has_index").select("id", "book", "chapter")
-    cut = layout.withColumn("_b", F.floor(F.col("chapter") / 4096))
-    numbered = number_rows(cut, ["book"], ["_b"], [F.col("chapter")], "_n").withColumn(
+    numbered = number_sorted(layout, ["book"], [F.col("chapter"), F.col("id")], "_n").withColumn(
         "part_no", F.floor((F.col("_n") - 1) / LINKS_PER_PART)
     )
     link = F.concat(
@@ -89,7 +90,7 @@ def book_indexes(chapters: DataFrame, books: DataFrame) -> DataFrame:
         ).alias("links")
     )
     intro = chapters.groupBy("book").agg(F.min_by("preamble.en", "chapter").alias("_intro"))
-    rows = parts.join(books.select("book", "title", "position"), "book").join(intro, "book")
+    rows = parts.join(small_side(books.select("book", "title", "position")), "book").join(small_side(intro), "book")
     has_intro = F.coalesce(F.trim("_intro") != "", F.lit(False))
     head = F.concat(
         _front(F.col("book"), F.col("title"), F.col("title"), F.col("position")),
@@ -98,7 +99,8 @@ def book_indexes(chapters: DataFrame, books: DataFrame) -> DataFrame:
         F.lit("\n"),
     )
     return rows.select(
-        "book", F.concat("book", F.lit("/index")).alias("path"), "part_no",
+        "book", F.concat("book", F.lit("/index"), F.when(F.col("part_no") > 0, F.concat(F.lit("-"), F.col("part_no").cast("string"))).otherwise("")).alias("path"),
+        "part_no",
         F.concat(F.when(F.col("part_no") == 0, head).otherwise(""), "links", F.lit("\n")).alias("body"),
     )
 
