@@ -280,7 +280,9 @@ def scored(visits: DataFrame, asked: DataFrame, rows: DataFrame, index: Index, n
                 at, column = best_of(own, fits[slots] & (own >= low) & (own <= high), n, index.wide)
                 out.append(pd.DataFrame({"uid": r.a_uids[slots[at]], "k": r.a_ks[at], "score": own[at, column], "vec_id": r.ids[column]}))
             if out:
-                yield pd.concat(out)
+                # Of all pairs of blocks in the batch, too, only the best few per window go on.
+                met = pd.concat(out).sort_values(["score", "vec_id"], ascending=[False, True])
+                yield met.groupby(["uid", "k"], sort=False).head(n)
 
     columns = [c for c in both.columns if c not in ("anchors", "block")]
     return both.select(*columns).mapInPandas(run, "uid long, k int, score long, vec_id long")
