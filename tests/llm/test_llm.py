@@ -342,3 +342,30 @@ def _merged(spans):
         else:
             out.append((a, b))
     return out
+
+
+def test_items_that_no_template_tells(spark):
+    """Whole items of any length, single words as sentences, insertions at two places, and rows without an id."""
+    words = [a + b for a in "ba de fi go lu ma ne pi ro su".split() for b in "bat den fig".split()]
+    items = [(1, "What is 7 times 8?"), (2, "Paris"), (3, "John met Mary and Ann in Rome"), (4, " ".join(words)), (5, "..."), (None, "only one of many texts here now")]
+    apart = [*words[:10], "extra", *words[10:20], "another", *words[20:]]
+    docs = [(1, "so: WHAT is 7 times 8? ok"), (2, "Paris"), (3, "we saw John met Mary and Ann in Rome then"), (4, "x " + " ".join(apart) + " y"),
+            (5, "went to Paris last year"), (6, "where?\nParis.\nyes"), (7, "what is 7 times 9?"), (None, "we saw John met Mary and Ann in Rome then"),
+            (None, "nothing here"), (8, None), (9, "so only one of many texts here now"), (10, "John met Mary and Ann in Bonn")]
+    docs, items = docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 2), (None, 3), (9, None)}
+    left = [(r.doc_id, r.text) for r in decontaminate.remove(docs, items).collect()]
+    assert sorted(left, key=repr) == sorted([(5, "went to Paris last year"), (7, "what is 7 times 9?"), (None, "nothing here"), (8, None),
+                                             (10, "John met Mary and Ann in Bonn")], key=repr)
+
+
+def test_large_benchmarks_join_by_anchor(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ROW_BYTES", 0)
+    items = spark.createDataFrame([(1, "What is 7 times 8?"), (2, "Paris"), (3, "a b c d e")], "item_id long, text string")
+    docs = docs_of(spark, [(1, "what is 7 times 8"), (2, "Hm. Paris!"), (3, "z a b c d e f"), (4, "a b c d")])
+    texts = decontaminate.keyed(docs)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.whole_leaks(texts, items).collect()} == {(1, 1), (2, 2), (3, 3)}
+    monkeypatch.setattr(decontaminate, "ROW_BYTES", 10**6)
+    monkeypatch.setattr(decontaminate, "FEW", 0)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.whole_leaks(texts, items).collect()} == {(1, 1), (2, 2), (3, 3)}
