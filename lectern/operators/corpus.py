@@ -21,6 +21,7 @@ from lectern.functions.text import (
     title_from_slug,
 )
 from lectern.operators.ordered import number_rows
+from lectern.operators.sizing import small_side
 
 CHAPTER_BLOCK = 4096
 
@@ -274,7 +275,7 @@ def number_books(present: DataFrame, books: DataFrame) -> DataFrame:
 
 def canonical_order(rows: DataFrame, numbered: DataFrame) -> DataFrame:
     """Sort by book position, chapter, verse (a distributed range sort)."""
-    return rows.join(numbered.select("book", "position"), "book").orderBy(
+    return rows.join(small_side(numbered.select("book", "position")), "book").orderBy(
         "position", "chapter", "ord"
     )
 
@@ -294,7 +295,7 @@ def page_layout(chapters: DataFrame) -> DataFrame:
     heads = chapters.select("id", "book", "chapter")
     sizes = heads.groupBy("book").agg(F.count(F.lit(1)).alias("n_chapters"))
     single = F.col("n_chapters") == 1
-    return heads.join(sizes, "book").select(
+    return heads.join(small_side(sizes), "book").select(
         "id", "book", "chapter", "n_chapters", (~single).alias("has_index"),
         F.when(single, F.col("book")).otherwise(
             F.concat("book", F.lit("/"), pad2(F.col("chapter")))

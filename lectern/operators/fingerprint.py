@@ -1,10 +1,8 @@
 """Source fingerprints: verse, chapter, book; drift and stale bindings.
 
 Verse and chapter fingerprints are computed inside the chapter row.  A book fingerprint
-hashes its chapter fingerprints in chapter order, as a tree over their places: each
-``FAN`` neighbours give one digest, and the digests are hashed again until one is left.  A
-book of up to ``FAN`` chapters, whatever their numbers, is one string hashed once, and no
-task ever holds the digests of a whole huge book.
+hashes its chapter numbers and fingerprints as a tree over hash digits, so no task ever holds
+the digests of a whole huge book.
 """
 
 from __future__ import annotations
@@ -13,10 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import caption_key, is_filled, sha16
-from lectern.operators.ordered import number_by
-
-FAN = 4096
-LEVELS = 4
 
 
 def chapter_digest(verses: Column, preamble_en: Column) -> Column:
@@ -57,24 +51,16 @@ def verse_fingerprints(chapters: DataFrame) -> DataFrame:
     )
 
 
-def book_fingerprints(fingerprints: DataFrame, fan: int = FAN) -> DataFrame:
-    """(book, book_en_sha) from (book, chapter, src_sha): one row per book."""
-    rows = fingerprints.select("book", F.col("chapter").cast("bigint").alias("_c"),
-                               F.col("src_sha").alias("_d"))
-    level = number_by(rows, ["book"], "_c", "_n", [F.col("_d")]).select(
-        "book", (F.col("_n") - 1).alias("_n"), "_d"
+def book_fingerprints(fingerprints: DataFrame) -> DataFrame:
+    """(book, book_en_sha) from (book, chapter, src_sha): one row per book.
+
+    One rule for books of any size: the tree of :func:`snapshot_versions` over the chapter
+    numbers and their digests.
+    """
+    parts = fingerprints.select(
+        "book", F.lit("chapter").alias("part"), F.col("chapter").cast("string").alias("slug"), F.col("src_sha").alias("payload")
     )
-    for depth in range(LEVELS):
-        grouped = level.groupBy("book", F.floor(F.col("_n") / fan).alias("_b"))
-        joined = F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_n", "_d"))), lambda p: p["_d"]), ""
-        )
-        hashed = sha16(joined)
-        if depth:
-            # A single child is already the digest of everything below it.
-            hashed = F.when(F.count(F.lit(1)) == 1, F.first("_d")).otherwise(hashed)
-        level = grouped.agg(hashed.alias("_d")).withColumnRenamed("_b", "_n")
-    return level.select("book", F.col("_d").alias("book_en_sha"))
+    return snapshot_versions(parts).withColumnRenamed("version", "book_en_sha")
 
 
 def build_manifest(chapters: DataFrame) -> DataFrame:

@@ -7,32 +7,86 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.ordered import carry
+from lectern.functions.probe import strings
+from lectern.operators.ordered import carry, carry_sorted
 
 
-def assign_ranges(
-    rows: DataFrame, number: str, ranges: DataFrame, width: int = 1024
-) -> DataFrame:
-    """First range with ``lo <= number <= hi``: adds slug, title and 1-based ordinal.
+#: Pieces up to which a range table is looked up inside the row.
+FEW_PIECES = 4096
+
+
+def flatten_ranges(ranges: DataFrame) -> DataFrame:
+    """Disjoint pieces (start, hit) of overlapping ranges; ``hit`` is the first range there, or null.
 
-    Ranges are cut into fixed-width buckets, so this is an equi join on the bucket and no
-    row meets a range it cannot fall into.  Rows outside every range keep nulls.
+    The first range is the one with the least ``position``.  A piece goes up to the next
+    start.  The winner at each end point is found without listing what a range covers: a
+    range is at most two binary intervals per size, an end point lies in one of each size,
+    and the two meet by size and number.
     """
-    pieces = ranges.withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
-    )
-    buckets = pieces.groupBy("_bucket").agg(
-        F.sort_array(F.collect_list(F.struct("position", "lo", "hi", "slug", "title"))).alias("_rs")
-    )
-    joined = rows.withColumn("_bucket", F.floor(F.col(number) / width)).join(
-        buckets, "_bucket", "left"
-    )
-    hit = F.get(
-        F.filter("_rs", lambda r: (r["lo"] <= F.col(number)) & (F.col(number) <= r["hi"])), F.lit(0)
+    kept = ranges.where("lo <= hi").select(
+        F.col("lo").cast("bigint").alias("lo"), F.least(F.col("hi").cast("bigint"), F.lit(2**63 - 2)).alias("hi"),
+        F.struct("position", "lo", "hi", "slug", "title").alias("hit"),
     )
-    return joined.withColumn("_hit", hit).select(
-        *rows.columns, F.col("_hit.slug").alias("slug"), F.col("_hit.title").alias("title"),
-        (F.col(number) - F.col("_hit.lo") + 1).alias("ordinal"),
+    sizes = F.sequence(F.lit(0), F.lit(62))
+    shift = lambda n, by: F.call_function("shiftright", n, by)
+    node = lambda size, at: F.struct(size.alias("size"), at.alias("at"))
+
+    def intervals(size: Column) -> Column:
+        first, end = -shift(-F.col("lo"), size), shift(F.col("hi") + 1, size)
+        odd = lambda n: n.bitwiseAND(F.lit(1)) == 1
+        return F.array_compact(F.array(
+            F.when((first < end) & odd(first), node(size, first)), F.when((first < end) & odd(end), node(size, end - 1))
+        ))
+
+    covered = kept.select("hit", F.explode(F.flatten(F.transform(sizes, intervals))).alias("n")).select("hit", "n.*")
+    points = kept.select(F.explode(F.array(F.col("lo"), F.col("hi") + 1)).alias("start")).distinct()
+    around = points.select("start", F.explode(F.transform(sizes, lambda z: node(z, shift(F.col("start"), z)))).alias("n"))
+    winners = around.select("start", "n.*").join(covered, ["size", "at"]).groupBy("start").agg(F.min("hit").alias("hit"))
+    return points.join(winners, "start", "left")
+
+
+def assign_ranges(rows: DataFrame, number: str, ranges: DataFrame) -> DataFrame:
+    """First range with ``lo <= number <= hi``: adds slug, title and 1-based ordinal.
+
+    The ranges are flattened into disjoint pieces.  A table of a checked number of pieces is
+    searched by halves inside the row; a larger one is stacked with the rows, and each piece
+    is carried forward to the numbers that follow it.  Rows outside every range keep nulls.
+    """
+    pieces = flatten_ranges(ranges)
+    few = pieces.select("start", "hit.slug", "hit.title", "hit.lo").limit(FEW_PIECES + 1).collect()
+    value = F.col(number).cast("bigint")
+    if len(few) <= FEW_PIECES:
+        few.sort(key=lambda r: r["start"])
+        whole = lambda field: F.split(F.lit(",".join(str(r[field] or 0) for r in few) or "0"), ",").cast("array<bigint>")
+        starts, lows = whole("start"), whole("lo")
+
+        def halve(at: Column, _: Column) -> Column:
+            middle = F.shiftright(at["low"] + at["high"] + 1, 1)
+            below = F.coalesce(F.get(starts, middle - 1) <= value, F.lit(False))
+            return F.struct(
+                F.when(below, middle).otherwise(at["low"]).alias("low"),
+                F.when(below, at["high"]).otherwise(F.greatest(middle - 1, at["low"])).alias("high"),
+            )
+
+        begin = F.struct(F.lit(0).alias("low"), F.lit(len(few)).alias("high"))
+        place = F.aggregate(F.sequence(F.lit(0), F.lit(len(few).bit_length())), begin, halve)["low"] - 1
+        placed = rows.withColumn("_place", F.when(value.isNotNull(), place))
+        slug = F.get(strings([r["slug"] for r in few]), F.col("_place"))
+        hit = [slug.alias("slug"), F.get(strings([r["title"] for r in few]), F.col("_place")).alias("title"), F.get(lows, F.col("_place")).alias("_lo")]
+        found = placed.select(*rows.columns, *hit)
+    else:
+        kinds = {f.name: f.dataType for f in rows.schema}
+        stacked = rows.withColumn("_at", value).withColumn("_piece", F.lit(None).cast("string")).unionByName(pieces.select(
+            F.col("start").alias("_at"), F.to_json(F.struct("hit")).alias("_piece"),
+            *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]))
+        filled = carry_sorted(stacked, [F.col("_at").asc_nulls_first(), F.col("_piece").isNull(), F.xxhash64(*rows.columns)],
+                              {"_held": F.col("_piece")}).where(F.col("_piece").isNull())
+        hit = F.from_json("_held", "hit struct<slug:string,title:string,lo:bigint>")["hit"]
+        found = filled.select(*rows.columns, hit["slug"].alias("slug"), hit["title"].alias("title"), hit["lo"].alias("_lo"))
+    covered = F.col("slug").isNotNull()
+    return found.select(
+        *rows.columns, "slug", F.when(covered, F.col("title")).alias("title"),
+        F.when(covered, F.col(number) - F.col("_lo") + 1).alias("ordinal"),
     )
 
 

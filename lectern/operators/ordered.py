@@ -47,6 +47,27 @@ def number_sorted(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return rows.join(starts, cond).withColumn(name, F.col("_id") + F.col("_start")).select(*df.columns, name)
 
 
+def carry_sorted(df: DataFrame, order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """Last non-null value at or before each row along any order of the whole table.
+
+    ``values`` maps new column names to the expressions carried.  Rows are range partitioned
+    as in ``number_sorted``; a task hands on its last values, one row per task.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = cut_lineage(ranged).withColumn("_run", F.shiftright("_id", 33))
+    for name, expr in values.items():
+        rows = rows.withColumn(f"_v_{name}", expr)
+    upto = W.partitionBy("_run").orderBy("_id").rowsBetween(W.unboundedPreceding, 0)
+    local = rows.select("*", *[F.last(f"_v_{name}", ignorenulls=True).over(upto).alias(f"_l_{name}") for name in values])
+    edges = rows.groupBy("_run").agg(*[
+        F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), F.col("_id"))).alias(f"_e_{name}") for name in values
+    ])
+    earlier = W.partitionBy(F.lit(0)).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    handed = edges.select("_run", *[F.last(f"_e_{name}", ignorenulls=True).over(earlier).alias(f"_h_{name}") for name in values])
+    return local.join(handed, "_run").select(
+        *df.columns, *[F.coalesce(f"_l_{name}", f"_h_{name}").alias(name) for name in values])
+
+
 def number_rows(
     df: DataFrame,
     group: Sequence[str],

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.probe import probe_of
 from lectern.functions.text import LANGS, is_filled, once, tokenize
 from lectern.operators.ordered import number_sorted
 from lectern.operators.sizing import small_side
+from lectern.session import cut_lineage
 
 CJK = "[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{2ffff}]"
 
@@ -61,6 +63,76 @@ def build_index(
     return postings if only is None else postings.join(small_side(only.select("token").distinct()), "token", "left_semi")
 
 
+# --- stored index -----------------------------------------------------------------------
+
+#: Documents of a block: the unit whose best possible score is known before it is read.
+BLOCK = 4096
+
+
+def write_index(index: DataFrame, root: str, buckets: int = 64) -> None:
+    """Postings (token, chapter_id, chapter, ord, tf), and a summary per token and block.
+
+    Both lie in folders by the hash of the token, so a query reads only those of its own
+    words; inside a file postings are sorted by token and block, which prunes row groups.
+    """
+    placed = index.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).withColumn(
+        "block", F.floor(F.col("chapter") / BLOCK))
+    blocks = placed.groupBy("bucket", "token", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"))
+    # A bucket holds a hot token's postings in as many files as there are ranges of them.
+    postings = placed.repartitionByRange("bucket", "token", "block", "chapter_id", "ord").sortWithinPartitions("bucket", "token", "block")
+    postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
+    blocks.repartitionByRange("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/blocks")
+
+
+def read_index(spark: SparkSession, root: str, wanted: DataFrame, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(postings, blocks) of the tokens in ``wanted``; other buckets are not read."""
+    tokens = wanted.select("token").distinct()
+    asked = [r.b for r in tokens.select(F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("b")).distinct().collect()]
+    side = small_side(tokens)
+    of = lambda name: spark.read.parquet(f"{root}/{name}").where(F.col("bucket").isin(asked)).join(side, "token", "left_semi").drop("bucket")
+    return of("postings"), of("blocks")
+
+
+def frequencies(blocks: DataFrame) -> DataFrame:
+    """(token, df) from the block summaries, without reading a posting."""
+    return blocks.groupBy("token").agg(F.sum("n").alias("df"))
+
+
+def top_hits(postings: DataFrame, blocks: DataFrame, queries: DataFrame, k: int = 8, first: int = 2, lang: str | None = None) -> DataFrame:
+    """The best ``k`` hits of every query, as :func:`search` scores them, with ``rank``.
+
+    A block can hold a hit only if it holds every word, and none scores better than the
+    words' highest counts in it allow.  The ``first`` best blocks of a query are scored, and
+    what their ``k``-th hit reaches rules out all blocks that cannot reach it; only the
+    rest is read.
+    """
+    keys = ["chapter_id", "chapter", "ord"]
+    wanted = query_tokens(queries, lang)
+    weight = F.log1p(F.lit(1.0) / F.col("df"))
+    known = blocks.join(frequencies(blocks), "token").withColumn("bound", F.col("most") * weight)
+    bounds = known.join(small_side(wanted), "token").groupBy("query_id", "block").agg(
+        F.sum("bound").alias("bound"), F.count(F.lit(1)).alias("_n"), F.max("k").alias("_k")).where("_n = _k")
+    # Sums of the same numbers in another order may differ in the last digits.
+    bounds = cut_lineage(bounds.select("query_id", "block", (F.col("bound") + 1e-5).alias("bound")))
+    best = W.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
+    opened = bounds.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= first).select("query_id", "block")
+
+    def scored(which: DataFrame) -> DataFrame:
+        words = wanted.join(small_side(which), "query_id")
+        met = postings.join(small_side(words), ["token", "block"]).join(frequencies(blocks), "token")
+        return met.groupBy("query_id", *keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.max("k").alias("_k"), F.round(F.sum(F.col("tf") * weight), 6).alias("score")
+        ).where("_n = _k").select("query_id", *keys, "score")
+
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "chapter", "ord")
+    ranked = lambda hits: hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    start = cut_lineage(ranked(scored(opened)))
+    reached = start.where(F.col("rank") == k).select("query_id", F.col("score").alias("_reached"))
+    rest = bounds.join(opened, ["query_id", "block"], "left_anti").join(reached, "query_id", "left").where(
+        F.col("_reached").isNull() | (F.col("bound") >= F.col("_reached"))).select("query_id", "block")
+    return ranked(start.drop("rank").unionByName(scored(rest)))
+
+
 def index_by_language(verses: DataFrame, keys: list[str]) -> DataFrame:
     """One index with a ``lang`` column to partition the table by."""
     parts = []
@@ -79,20 +151,22 @@ def query_tokens(queries: DataFrame, lang: str | None = None) -> DataFrame:
     return queries.select("query_id", F.explode(tokens).alias("token"), F.size(tokens).alias("k"))
 
 
-def search(index: DataFrame, queries: DataFrame, keys: list[str], lang: str | None = None) -> DataFrame:
+def search(
+    index: DataFrame, queries: DataFrame, keys: list[str], lang: str | None = None, frequency: DataFrame | None = None
+) -> DataFrame:
     """Verses that hold every word of the query, scored by summed tf * idf.
 
     A word weighs ``ln(1 + 1/df)`` with df the number of verses holding it; ties are broken
-    by chapter and verse.  Only words asked for are kept of the index.
+    by chapter and verse.  Only words asked for are kept of the index.  ``frequency``
+    (token, df) of a stored index saves counting them.
     """
     wanted = query_tokens(queries, lang)
     side = small_side(wanted)
     hits = index.join(side, "token")
     # How many verses hold each word asked for: partial counts per task, one row per word.
-    asked = small_side(wanted.select("token").distinct())
-    frequency = index.join(asked, "token", "left_semi").groupBy("token").agg(
-        F.count(F.lit(1)).alias("df")
-    )
+    if frequency is None:
+        asked = small_side(wanted.select("token").distinct())
+        frequency = index.join(asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weighted = hits.join(frequency, "token")
     scored = weighted.groupBy("query_id", *keys).agg(
         F.count(F.lit(1)).alias("_n"), F.max("k").alias("_k"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -88,9 +89,8 @@ def _(s, d):
     SELECT en AS text, min(d * 1000000 + o) AS first_at, count(*) AS copies FROM v0 GROUP BY 1"""))
 def _(s, d):
     v = C.verses_of(B.chapters(s, d)).select(F.col("en").alias("text"), (F.col("chapter") * 1_000_000 + F.col("ord")).alias("at"))
-    counted = v.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-    first = C.first_of_each(v, "text", F.col("at"))
-    return first.withColumnRenamed("at", "first_at").join(counted, "text")
+    # One aggregate: copies of a line merge before the shuffle.
+    return v.groupBy("text").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("copies"))
 
 
 @query("A14_derive_books", S.query("ranges", "SELECT slug, title, hi - lo + 1 AS chapter_count, lo // 100 AS position FROM ranges"))
@@ -140,7 +140,7 @@ def _(s, d):
     FROM documents d LEFT JOIN ranges r ON d.doc_id BETWEEN r.lo AND r.hi"""))
 def _(s, d):
     docs = B.table(s, d, "documents").select(F.col("doc_id").alias("n"))
-    return J.assign_ranges(docs, "n", B.ranges(s, d), width=64)
+    return J.assign_ranges(docs, "n", B.ranges(s, d))
 
 
 @query("J2_overlay_join", S.query("heads overlay", """
@@ -188,13 +188,12 @@ def _(s, d):
     docs = B.table(s, d, "documents")
     lines = docs.select(
         F.col("doc_id").alias("d"), "source",
-        F.posexplode(F.split("text", "\n")).alias("i", "en"), F.split("text", "\n").alias("all"),
+        F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.length(x) + 1)).alias("i", "n"),
     )
-    # Start offset of a line: the lengths of the lines before it, found in the row itself.
-    before = F.aggregate(F.slice("all", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    anchors = lines.where("i > 0").select(
-        "d", before.cast("bigint").alias("location"),
-        F.concat_ws(".", "source", F.col("d").cast("string"), (F.col("i") + 1).cast("string")).alias("anchor"),
+    # Start offset of a line: a running sum over the lengths of the lines, without the lines.
+    before = W.partitionBy("d", "source").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    anchors = lines.withColumn("location", F.sum("n").over(before)).where("i > 0").select(
+        "d", "location", F.concat_ws(".", "source", F.col("d").cast("string"), (F.col("i") + 1).cast("string")).alias("anchor"),
     )
     hits = docs.where(F.length("text") > 0).select(
         F.col("doc_id").alias("d"), F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(97))).alias("hit_no", "location")
@@ -382,16 +381,15 @@ def _(s, d):
     return FP.chapter_fingerprints(B.chapters(s, d))
 
 
-# Four levels of the digest tree over the places of the chapters; a single child passes through.
+# One digest tree over the hash digits of the chapter numbers, for books of any size.
 BOOK_FP = f"""
-    ranked AS (SELECT book, src_sha, row_number() OVER (PARTITION BY book ORDER BY chapter, src_sha) - 1 AS place FROM cfp),
-    b0 AS (SELECT book, place // 4096 AS n, {S.sha16("string_agg(src_sha, '' ORDER BY place)")} AS x FROM ranked GROUP BY 1, 2),
-    b1 AS (SELECT book, n // 4096 AS n, CASE WHEN count(*) = 1 THEN any_value(x) ELSE {S.sha16("string_agg(x, '' ORDER BY b0.n)")} END AS x FROM b0 GROUP BY 1, 2),
-    b2 AS (SELECT book, n // 4096 AS n, CASE WHEN count(*) = 1 THEN any_value(x) ELSE {S.sha16("string_agg(x, '' ORDER BY b1.n)")} END AS x FROM b1 GROUP BY 1, 2),
-    b3 AS (SELECT book, CASE WHEN count(*) = 1 THEN any_value(x) ELSE {S.sha16("string_agg(x, '' ORDER BY b2.n)")} END AS book_en_sha FROM b2 GROUP BY 1)"""
+    bk AS (SELECT book, 'chapter' || chr(1) || chapter AS k, {S.sha16('src_sha')} AS x FROM cfp),
+    b4 AS (SELECT book, left({S.sha16('k')}, 4) AS b, {S.sha16("string_agg(k || '=' || x, chr(10) ORDER BY k, x)")} AS x FROM bk GROUP BY 1, 2),
+    b2 AS (SELECT book, left(b, 2) AS b2, {S.sha16("string_agg(b || '=' || x, chr(10) ORDER BY b)")} AS x FROM b4 GROUP BY 1, 2),
+    b0 AS (SELECT book, {S.sha16("string_agg(b2 || '=' || x, chr(10) ORDER BY b2)")} AS book_en_sha FROM b2 GROUP BY 1)"""
 
 
-@query("FP3_book_fp", S.query("verses heads", f", {CHAPTER_FP}, {BOOK_FP} SELECT book, book_en_sha FROM b3"))
+@query("FP3_book_fp", S.query("verses heads", f", {CHAPTER_FP}, {BOOK_FP} SELECT book, book_en_sha FROM b0"))
 def _(s, d):
     return FP.book_fingerprints(FP.chapter_fingerprints(B.chapters(s, d)))
 

@@ -334,9 +334,3 @@ def _(s, d):
         F.lit("edited").alias("en"), *[F.col(f"preamble.{x}").alias(x) for x in X.LANGS]
     )).otherwise(F.col("preamble")))
     return M.differing(old, new, ["chapter"])
-
-
-@query("S9_second_run", "SELECT 0::BIGINT AS changed")
-def _(s, d):
-    rows = B.chapters(s, d).select("chapter", "preamble", "verses")
-    return M.differing(rows, rows, ["chapter"]).agg(F.count(F.lit(1)).alias("changed"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -10,6 +12,8 @@ from lectern.operators import segment as G
 from lectern.plans import binding as B
 from lectern.plans import sql as S
 from lectern.plans.registry import query
+from lectern.plans.term_queries import RENDERED, rendered_terms
+from lectern.session import shared_folder
 from lectern.sources import files as FS
 from lectern.sources import html as H
 from lectern.sources import pages as P
@@ -59,7 +63,7 @@ def _(s, d):
     # The key range grows with the table; its upper end is one row.
     top = B.table(s, d, "documents").agg(F.max("doc_id").alias("m")).head().m
     todo = FS.worklist(s, 2, top, "pg%02d.htm")
-    return assign_ranges(todo, "number", B.ranges(s, d), 64).where("slug is not null").select("number", "name", "slug", "ordinal")
+    return assign_ranges(todo, "number", B.ranges(s, d)).where("slug is not null").select("number", "name", "slug", "ordinal")
 
 
 @query("S7_incremental_skip", """
@@ -109,21 +113,41 @@ def _(s, d):
     return nested.select("id", F.size("verses").alias("n"), F.array_join(F.transform("verses", lambda v: v["id"]), ",").alias("ids"))
 
 
-@query("S10_render_pages", S.query("heads books verses terms", """
-    SELECT book, book || '/' || CASE WHEN chapter < 10 THEN '0' ELSE '' END || chapter AS path, chapter_id AS id, title, chapter = 1 AS hidden,
-           coalesce(tagged, 0) AS n_terms
-    FROM heads LEFT JOIN (SELECT chapter_id, count(DISTINCT t.term) AS tagged FROM verses JOIN terms t ON t.slug = tag GROUP BY 1) USING (chapter_id)"""))
+# The page of a chapter, letter by letter: front matter, the chapter as JSON, its dictionary slice.
+JSON = "coalesce(to_json({})::VARCHAR, 'null')"
+TEXT_JSON = lambda *texts: "'{\"en\":' || " + " || ',\"".join(
+    f"{name}\":' || {JSON.format(t)}" if i else JSON.format(t) for i, (name, t) in enumerate(zip(("en", *X.LANGS), texts))) + " || '}'"
+CAPTION = TEXT_JSON("'Plate ' || (d % 50) || ' ' || en", "CASE WHEN d % 2 = 0 THEN '圖' || lower(en) END", "CASE WHEN d % 3 = 0 THEN en END", "NULL")
+PAGE_SQL = f"""
+    , pos AS (SELECT source AS book, coalesce(b.title, upper(source[1]) || source[2:]) AS book_title, row_number() OVER (ORDER BY position NULLS LAST, source) AS position
+              FROM (SELECT DISTINCT source FROM documents) LEFT JOIN books b ON slug = source),
+    sizes AS (SELECT book, count(*) AS n FROM heads GROUP BY 1),
+    vjson AS (SELECT chapter_id, string_agg('{{"id":' || {JSON.format('verse_id')} || ',"verse_number":' || verse_number || ',"en":' || {JSON.format('en')}
+        || ',"zh_hant":' || {JSON.format('zh_hant')} || ',"zh_hans":' || {JSON.format('zh_hans')} || ',"ja":' || {JSON.format('ja')}
+        || ',"glossary_terms":[' || coalesce(to_json(tag)::VARCHAR, '') || '],"plate_ref":null,"notes":[],"images":'
+        || CASE WHEN n_images = 0 THEN 'null' ELSE '[{{"src":"/plates/image' || (d % 50) || '.jpg","edition":"1","caption":' || {CAPTION} || '}}'
+           || CASE WHEN n_images = 2 THEN ',{{"src":"/plates/sign' || o || '.gif","edition":"1","caption":null}}' ELSE '' END || ']' END || '}}', ',' ORDER BY ord) AS verses
+      FROM verses GROUP BY 1),
+    pre AS (SELECT chapter_id, {TEXT_JSON("'Epigraph ' || en", "CASE WHEN d % 6 = 0 THEN '序' || lower(en) END", "CASE WHEN d % 5 = 0 THEN en END", "NULL")} AS preamble
+            FROM verses WHERE o = 1),
+    slices AS (SELECT chapter_id, '{{' || string_agg(to_json(term)::VARCHAR || ':{{"translit":{{"zh_hant":' || to_json(zh_hant) || ',"zh_hans":' || to_json(zh_hans)
+        || CASE WHEN ja IS NOT NULL THEN ',"ja":' || to_json(ja) ELSE '' END || '}},"slug":"' || slug || '"}}', ',' ORDER BY term) || '}}' AS glossary
+      FROM rendered JOIN terms USING (slug) GROUP BY 1)
+    SELECT h.book, h.book || CASE WHEN n > 1 THEN '/' || CASE WHEN chapter < 10 THEN '0' ELSE '' END || chapter ELSE '' END AS path, {S.sha16(
+      "'---' || chr(10) || CASE WHEN n > 1 THEN 'id: ' || chapter_id || chr(10) || 'title: \"' || title || '\"' || chr(10) || 'sidebar_label: \"Chapter ' || chapter || '\"' || chr(10) || 'sidebar_position: ' || chapter"
+      " ELSE 'id: ' || h.book || chr(10) || 'title: \"' || book_title || '\"' || chr(10) || 'sidebar_label: \"' || book_title || '\"' || chr(10) || 'sidebar_position: ' || position END || chr(10) || '---' || chr(10)"
+      " || chr(10) || 'chapter: {\"id\":\"' || chapter_id || '\",\"book\":\"' || h.book || '\",\"chapter\":' || chapter || ',\"title\":' || to_json(title) || ',\"preamble\":' || preamble"
+      " || ',\"preamble_source\":' || coalesce(to_json(preamble_source)::VARCHAR, 'null') || ',\"verses\":[' || verses || ']}' || chr(10) || 'glossary: ' || coalesce(glossary, '{}')"
+      " || CASE WHEN n > 1 AND chapter = 1 THEN chr(10) || 'hidePreamble: true' || chr(10) ELSE chr(10) END")} AS body_sha
+    FROM heads h JOIN pos USING (book) JOIN sizes USING (book) JOIN vjson USING (chapter_id) JOIN pre USING (chapter_id) LEFT JOIN slices USING (chapter_id)"""
+
+
+@query("S10_render_pages", S.query("heads books records terms", f", {RENDERED} {PAGE_SQL}"))
 def _(s, d):
-    ch, terms = B.chapters(s, d), B.terms(s, d)
-    tags = C.verses_of(ch).select("chapter_id", F.explode("glossary_terms").alias("slug")).distinct()
-    out = P.render_chapters(ch, C.number_books(ch, B.books(s, d)), P.slice_maps(tags, terms))
-    body = F.col("body")
-    payload = F.regexp_extract(body, r"(?s)\nchapter: (.*)\nglossary: ", 1)
-    slices = F.regexp_extract(body, r"\nglossary: (\{.*\})", 1)
-    return out.select(
-        "book", "path", F.get_json_object(payload, "$.id").alias("id"), F.regexp_extract(body, 'title: "([^"]*)"', 1).alias("title"),
-        body.endswith("hidePreamble: true\n").alias("hidden"), F.size(F.json_object_keys(slices)).alias("n_terms"),
-    )
+    ch, terms = B.rich_chapters(s, d), B.terms(s, d)
+    slices = P.slice_maps(rendered_terms(s, d), terms)
+    out = P.render_chapters(ch, C.number_books(ch, B.books(s, d)), slices)
+    return out.select("book", "path", X.sha16(F.col("body")).alias("body_sha"))
 
 
 @query("S11_book_indexes", S.query("heads books", """
@@ -151,18 +175,56 @@ def _(s, d):
     return P.top_index(numbered, books, "All").unionByName(P.placeholder(numbered))
 
 
-@query("S13_S14_snapshot", S.query("terms", """
-    SELECT CASE WHEN i % 2 = 0 THEN 'even' ELSE 'odd' END AS book, count(*) AS n, count(DISTINCT slug) AS slugs FROM terms GROUP BY 1"""))
-def _(s, d):
-    from lectern.operators.fingerprint import snapshot_versions
+VERSIONS = f"""
+    r AS (SELECT CASE WHEN i % 2 = 0 THEN 'even' ELSE 'odd' END AS book, 'terms' || chr(1) || slug AS k,
+                 {S.sha16("'{\"zh_hant\":' || to_json(zh_hant) || ',\"zh_hans\":' || to_json(zh_hans) || ',\"ja\":' || coalesce(to_json(ja)::VARCHAR, 'null') || '}'")} AS x FROM terms),
+    l4 AS (SELECT book, left({S.sha16('k')}, 4) AS b, {S.sha16("string_agg(k || '=' || x, chr(10) ORDER BY k)")} AS x FROM r GROUP BY 1, 2),
+    l2 AS (SELECT book, left(b, 2) AS b2, {S.sha16("string_agg(b || '=' || x, chr(10) ORDER BY b)")} AS x FROM l4 GROUP BY 1, 2),
+    versions AS (SELECT book, {S.sha16("string_agg(b2 || '=' || x, chr(10) ORDER BY b2)")} AS version FROM l2 GROUP BY 1)"""
 
+
+@query("S13_S14_snapshot", S.query("terms", f""", {VERSIONS}
+    SELECT book, version, count(*) AS n, count(DISTINCT slug) AS slugs, TRUE AS stale_refused
+    FROM (SELECT *, CASE WHEN i % 2 = 0 THEN 'even' ELSE 'odd' END AS book FROM terms) JOIN versions USING (book) GROUP BY 1, 2"""))
+def _(s, d):
+    # Published, read back through the pointer; a second writer from the same base is refused.
+    root = f"{shared_folder(s)}/snapshots-{uuid.uuid4().hex}"
     parts = B.terms(s, d).select(
         F.when(F.col("position") % 2 == 0, "even").otherwise("odd").alias("book"), F.lit("terms").alias("part"), "slug",
         F.to_json("translit", {"ignoreNullFields": "false"}).alias("payload"),
     )
-    return FS.verified(parts.join(snapshot_versions(parts), "book")).groupBy("book", "version").agg(
+    FS.publish_snapshot(parts, root, base=0)
+    try:
+        FS.publish_snapshot(parts.withColumn("payload", F.lit("late")), root, base=0)
+        refused = False
+    except FS.StaleSnapshot:
+        refused = True
+    return FS.read_snapshot(s, root).groupBy("book", "version").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("slug").alias("slugs")
-    ).drop("version")
+    ).withColumn("stale_refused", F.lit(refused))
+
+
+@query("S9_write_runs", """
+    SELECT 1::BIGINT AS run, source AS book FROM documents GROUP BY source
+    UNION ALL SELECT 3, source FROM documents WHERE doc_id % 200 = 7 GROUP BY source
+    UNION ALL SELECT 4, 'written: ' || count(*) FROM documents""")
+def _(s, d):
+    # Written, written again unchanged, then with a few chapters edited: the books each run wrote, and what lies there.
+    root = f"{shared_folder(s)}/books-{uuid.uuid4().hex}"
+    ch = B.chapters(s, d)
+    edited = ch.withColumn("title", F.when(F.col("chapter") % 200 == 7, "edited").otherwise(F.col("title")))
+    runs = [FS.write_changed_books(content, root).select(F.lit(n).cast("bigint").alias("run"), "book") for n, content in enumerate((ch, ch, edited), 1)]
+    held = FS.read_written_chapters(s, f"{root}/books").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(4).cast("bigint").alias("run"), F.concat(F.lit("written: "), "n").alias("book"))
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(held)
+
+
+@query("S9_second_run", "SELECT 0::BIGINT AS changed")
+def _(s, d):
+    # A second run over unchanged chapters writes no book.
+    root = f"{shared_folder(s)}/books-{uuid.uuid4().hex}"
+    FS.write_changed_books(B.chapters(s, d), root)
+    return FS.write_changed_books(B.chapters(s, d), root).agg(F.count(F.lit(1)).alias("changed"))
 
 
 # --- segmentation ---------------------------------------------------------------------

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import corpus as C
 from lectern.operators import search as Q
 from lectern.operators import terms as T
+from lectern.operators.sizing import small_side
 from lectern.plans import binding as B
 from lectern.plans import sql as S
 from lectern.plans.registry import query
-from lectern.session import cut_lineage
+from lectern.session import cut_lineage, shared_folder
 
 KEYS = ["book", "chapter", "chapter_id", "ord", "verse_id"]
 
@@ -34,7 +37,7 @@ def placed_edges(s, d):
     ch = B.chapters(s, d)
     order = C.number_books(ch, B.books(s, d)).select("book", F.col("position").alias("book_position"))
     found = T.word_edges(verses(s, d), "en", KEYS, B.terms(s, d))
-    return cut_lineage(T.first_links(found.join(order, "book")))
+    return cut_lineage(T.first_links(found.join(small_side(order), "book")))
 
 
 # Every word is put in angle brackets, on both sides; containment then means \b term \b.
@@ -309,15 +312,48 @@ def _(s, d):
     )
 
 
+def stored_index(s, d):
+    """(postings, blocks) of the words asked for, from an index written to the shared folder."""
+    root = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    Q.write_index(Q.build_index(verses(s, d), "en", ["chapter_id", "chapter", "ord"]), root)
+    return Q.read_index(s, root, Q.query_tokens(search_queries(s, d)))
+
+
+@query("T6_stored_search", S.query("verses terms", f", {INDEX} SELECT query_id, chapter_id, chapter, ord, score FROM found"))
+def _(s, d):
+    postings, blocks = stored_index(s, d)
+    return Q.search(postings.drop("block"), search_queries(s, d), ["chapter_id", "chapter", "ord"], frequency=Q.frequencies(blocks))
+
+
+@query("T6_stored_top_hits", S.query("verses terms", f""", {INDEX}
+    SELECT query_id, chapter_id, ord, score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chapter, ord) AS rank FROM found) WHERE rank <= 8"""))
+def _(s, d):
+    return Q.top_hits(*stored_index(s, d), search_queries(s, d)).select(
+        "query_id", "chapter_id", "ord", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+# Character pairs of the two or three signs that a translated line starts with.
+SIGNS = {"zh_hant": ("譯", "譯文本"), "zh_hans": ("译", "译文"), "ja": ("ア", "アイ")}
+
+
+def _pairs_sql(lang: str) -> str:
+    sign, signs = SIGNS[lang]
+    pairs = ", ".join(f"'{signs[i:i + 2]}'" for i in range(len(signs) - 1))
+    other = ", 'ア'" if lang == "zh_hant" else ""
+    held = f"CASE WHEN contains({lang}, '{sign}') THEN [{pairs}] WHEN contains({lang}, 'ア') THEN ['ア'] ELSE [] END" if other else (
+        f"CASE WHEN contains({lang}, '{sign}') THEN [{pairs}] ELSE [] END")
+    return f"SELECT DISTINCT '{lang}', chapter_id, ord, unnest(list_concat({S.tokens(lang)}, {held})) AS token FROM verses"
+
+
 @query("T7_search_by_language", S.query("verses", f"""
     SELECT lang, token, count(*) AS df FROM (
       SELECT DISTINCT 'en' AS lang, chapter_id, ord, unnest({S.tokens('en')}) AS token FROM verses
-      UNION SELECT DISTINCT 'zh_hant', chapter_id, ord, unnest(list_concat({S.tokens('zh_hant')}, regexp_extract_all(zh_hant, '[ア譯]'))) FROM verses
-      UNION SELECT DISTINCT 'zh_hans', chapter_id, ord, unnest(list_concat({S.tokens('zh_hans')}, regexp_extract_all(zh_hans, '[译]'))) FROM verses
-      UNION SELECT DISTINCT 'ja', chapter_id, ord, unnest(list_concat({S.tokens('ja')}, regexp_extract_all(ja, '[ア]'))) FROM verses)
+      UNION {_pairs_sql('zh_hant')} UNION {_pairs_sql('zh_hans')} UNION {_pairs_sql('ja')})
     GROUP BY 1, 2"""))
 def _(s, d):
-    index = Q.index_by_language(verses(s, d), ["chapter_id", "ord"])
+    longer = verses(s, d).select("chapter_id", "ord", "en", *[F.replace(x, F.lit(a), F.lit(b)).alias(x) for x, (a, b) in SIGNS.items()])
+    index = Q.index_by_language(longer, ["chapter_id", "ord"])
     return index.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("df"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _SHIPPED: set[str] = set()
+_PRIVATE: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,17 +49,24 @@ def local_session(cpus: int | str = 8, partitions: int = 8, name: str = "lectern
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a private one only for a local master."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = _PRIVATE.setdefault(context.applicationId, tempfile.mkdtemp(prefix="lectern-shared-"))
+    return shared.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
     A private folder is made only where the setting is absent and no folder is set yet,
     which is the case in local tests.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if shared is None and context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

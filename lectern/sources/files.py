@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,8 @@ from lectern import schemas
 from lectern.operators.corpus import pad2
 from lectern.operators.fingerprint import snapshot_versions
 from lectern.operators.merge import differing
+from lectern.operators.sizing import small_side
+from lectern.session import cut_lineage
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -150,37 +154,106 @@ def write_if_changed(old: DataFrame, new: DataFrame, keys: Sequence[str], root:
     return n
 
 
+DIGESTS = "digests"
+
+
+def write_changed_books(chapters: DataFrame, root: str) -> DataFrame:
+    """Write the books whose content differs from what lies under ``root``; gives (book, digest) of those.
+
+    A digest of every book, a tree over its chapters, is kept beside the files.  Only the
+    digests are compared, so an unchanged book is neither read back nor written.
+    """
+    spark = chapters.sparkSession
+    texts = chapter_json(chapters)
+    now = snapshot_versions(texts.select("book", F.lit("chapter").alias("part"), F.col("file").alias("slug"), F.col("json").alias("payload")))
+    now = now.withColumnRenamed("version", "digest")
+    if _exists(spark, f"{root}/{DIGESTS}"):
+        kept = spark.read.schema("digest string, book string").parquet(f"{root}/{DIGESTS}")
+        now = now.join(kept.select("book", "digest"), ["book", "digest"], "left_anti")
+    changed = cut_lineage(now.select("book", "digest"))
+    if not changed.isEmpty():
+        # No digest counts while its book is written: a run that breaks off writes the book again.
+        _write_digests(changed.withColumn("digest", F.lit("")), root)
+        write_chapters(chapters.join(small_side(changed.select("book")), "book", "left_semi"), f"{root}/books")
+        _write_digests(changed, root)
+    return changed
+
+
+def _write_digests(digests: DataFrame, root: str) -> None:
+    digests.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book").parquet(f"{root}/{DIGESTS}")
+
+
 # --- snapshots ------------------------------------------------------------------------
 
 
-def publish_snapshot(parts: DataFrame, root: str) -> DataFrame:
-    """Write immutable content by version, then move the pointer; gives (book, version).
+class StaleSnapshot(Exception):
+    """Another writer has published since the snapshot that this one is based on."""
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) on the JVM side, so any store that Spark reads is reached."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    ``parts`` has (book, part, slug, payload).  A version folder is named by its content,
-    so writing it twice is harmless and readers only follow the pointer.
+
+def published(spark: SparkSession, root: str) -> int:
+    """Number of the last publication under ``root``; 0 when there is none."""
+    fs, log = _hadoop(spark, f"{root}/log")
+    if not fs.exists(log):
+        return 0
+    return max((int(f.getPath().getName()) for f in fs.listStatus(log) if f.getPath().getName().isdigit()), default=0)
+
+
+def publish_snapshot(parts: DataFrame, root: str, base: int | None = None) -> DataFrame:
+    """Write immutable content by version, then publish it; gives (book, version) of all books.
+
+    ``parts`` has (book, part, slug, payload).  A version folder is named by its content, so
+    writing it twice is harmless.  A publication is a table of the versions of all books and
+    a numbered file that names it.  That file is created only if it is not there yet: of two
+    writers that start from the same ``base`` (by default, the last publication) one
+    succeeds and the other gets :class:`StaleSnapshot`, with nothing that readers see changed.
     """
-    versions = snapshot_versions(parts)
-    content = parts.join(versions, "book")
-    content.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    spark = parts.sparkSession
+    last = published(spark, root) if base is None else base
+    versions = cut_lineage(snapshot_versions(parts))
+    parts.join(small_side(versions), "book").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "book", "version"
     ).parquet(f"{root}/content")
-    versions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "book"
-    ).parquet(f"{root}/current")
-    return parts.sparkSession.read.parquet(f"{root}/current")
+    if last:
+        others = _versions_at(spark, root, last).join(versions, "book", "left_anti")
+        versions = versions.unionByName(others)
+    name = uuid.uuid4().hex
+    versions.write.parquet(f"{root}/versions/{name}")
+    fs, _ = _hadoop(spark, root)
+    _, entry = _hadoop(spark, f"{root}/log/{last + 1}")
+    # Beyond the base only an entry of the very next number counts.
+    if published(spark, root) != last:
+        raise StaleSnapshot(root)
+    try:
+        out = fs.create(entry, False)
+    except Py4JJavaError as problem:
+        raise StaleSnapshot(root) from problem
+    out.write(bytearray(name.encode()))
+    out.close()
+    return _versions_at(spark, root, last + 1)
+
+
+def _versions_at(spark: SparkSession, root: str, number: int) -> DataFrame:
+    name = spark.read.text(f"{root}/log/{number}").head()["value"]
+    return spark.read.schema("book string, version string").parquet(f"{root}/versions/{name}")
 
 
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """Content of the current versions; raises when content and version disagree.
+def read_snapshot(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """Content of the last publication, or of an earlier one; raises when content and version disagree.
 
-    No pointer gives no rows.
+    Nothing published gives no rows.
     """
-    empty = "book string, version string, part string, slug string, payload string"
-    if not _exists(spark, f"{root}/current"):
-        return spark.createDataFrame([], empty)
-    pointer = spark.read.parquet(f"{root}/current")
-    content = spark.read.parquet(f"{root}/content").join(pointer, ["book", "version"])
-    return verified(content).select("book", "version", "part", "slug", "payload")
+    number = published(spark, root) if number is None else number
+    if not number:
+        return spark.createDataFrame([], "book string, version string, part string, slug string, payload string")
+    content = spark.read.schema("part string, slug string, payload string, book string, version string").parquet(f"{root}/content")
+    current = content.join(small_side(_versions_at(spark, root, number)), ["book", "version"])
+    return verified(current).select("book", "version", "part", "slug", "payload")
 
 
 def verified(content: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,13 +45,25 @@ def test_same_result_for_any_partitioning(spark):
     assert rows(one, "g", "p", "n") == rows(many, "g", "p", "n")
 
 
-def test_range_assign(spark):
-    ranges = spark.createDataFrame(
-        [(2, 2, "a", "A", 0), (5, 5, "b", "B", 1), (9, 16, "c", "C", 2), (10, 12, "late", "L", 3)],
-        "lo bigint, hi bigint, slug string, title string, position int")
-    n = spark.createDataFrame([(2,), (3,), (10,), (99,)], "n bigint")
-    assert rows(J.assign_ranges(n, "n", ranges, 4), "n", "slug", "ordinal") == [
-        (10, "c", 2), (2, "a", 1), (3, None, None), (99, None, None)]
+RANGES = [(2, 2, "a", "A", 0), (5, 5, "b", "B", 1), (9, 16, "c", "C", 2), (10, 12, "late", "L", 3), (-50, -40, "neg", "N", 4),
+          (100, 10**12, "wide", "W", 5), (200, 300, "under", "U", 6), (0, 2**63 - 1, "last", "Z", 7), (8, 3, "empty", "E", -1)]
+
+
+@pytest.mark.parametrize("few", [4096, 0])
+def test_range_assign(spark, monkeypatch, few):
+    """Overlapping and huge ranges: the first one wins, whether looked up in the row or carried."""
+    monkeypatch.setattr(J, "FEW_PIECES", few)
+    ranges = spark.createDataFrame(RANGES, "lo bigint, hi bigint, slug string, title string, position int")
+    numbers = [None, -51, -50, -40, -39, -1, 0, 1, 2, 3, 5, 9, 10, 12, 16, 17, 99, 100, 250, 10**12, 10**12 + 1, 2**63 - 2] + [250] * 300
+    n = spark.createDataFrame([(x, "kept") for x in numbers], "n bigint, other string")
+
+    def want(x):
+        hit = next((r for r in RANGES if x is not None and r[0] <= x <= r[1]), None)
+        return (x, hit and hit[2], hit and hit[3], hit and x - hit[0] + 1)
+
+    got = rows(J.assign_ranges(n, "n", ranges), "n", "slug", "title", "ordinal")
+    assert got == sorted((want(x) for x in numbers), key=repr)
+    assert rows(J.assign_ranges(n, "n", ranges.limit(0)), "slug") == [(None,)] * len(numbers)
 
 
 def test_asof(spark):
