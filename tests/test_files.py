@@ -109,6 +109,34 @@ def test_snapshot_publish_read_tamper(spark, tmp_path):
         FS.verified(forged).collect()
 
 
+def test_second_writer_is_refused(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    kind = "book string, part string, slug string, payload string"
+    parts = spark.createDataFrame([("b", "terms", "s", "1")], kind)
+    later = parts.withColumn("payload", F.lit("2"))
+    FS.publish_snapshot(parts, root)
+    assert FS.published(spark, root) == 1
+    with pytest.raises(FS.StaleSnapshot):
+        FS.publish_snapshot(later, root, base=0)
+    assert rows(FS.read_snapshot(spark, root), "payload") == [("1",)]
+    FS.publish_snapshot(later, root, base=1)
+    assert rows(FS.read_snapshot(spark, root), "payload") == [("2",)]
+    assert rows(FS.read_snapshot(spark, root, 1), "payload") == [("1",)]
+
+
+def test_only_changed_books_are_written(spark, corpus, tmp_path):
+    root = str(tmp_path / "out")
+    ch = FS.read_chapters(spark, str(corpus / "books")).drop("path")
+    assert rows(FS.write_changed_books(ch, root), "book") == [("a",), ("b",)]
+    stamp = {f: os.path.getmtime(f) for f in (tmp_path / "out" / "books").rglob("*.txt")}
+    assert rows(FS.write_changed_books(ch.repartition(3), root), "book") == []
+    assert stamp == {f: os.path.getmtime(f) for f in (tmp_path / "out" / "books").rglob("*.txt")}
+    edited = ch.withColumn("title", F.when(F.col("id") == "b.10", "new").otherwise(F.col("title")))
+    assert rows(FS.write_changed_books(edited, root), "book") == [("b",)]
+    left = {f for f in (tmp_path / "out" / "books").rglob("*.txt")}
+    assert {f for f in stamp if "book=a" in str(f)} <= left and FS.read_written_chapters(spark, f"{root}/books").count() == ch.count()
+
+
 def test_fingerprints(spark, corpus):
     import hashlib
 

@@ -127,3 +127,88 @@ def test_backlinks_of_a_hot_term_stay_whole(spark):
     assert sum((p.verse_ids for p in parts[1:]), []) == [f"b.{c}.{o}" for c in range(60) for o in range(1, 51)]
     shown = {r.slug: r.appears for r in T.backlink_summary(edges, terms).collect()}
     assert shown["cold"] == "" and shown["hot"].endswith("… (+2988)") and shown["hot"].startswith("b.0.1, b.0.2")
+
+
+def test_rendering_rule_equals_brute_force(spark, monkeypatch):
+    """Renderings of one character up, overlapping and prefixes of each other, probed or joined by windows."""
+    rnd = random.Random(9)
+    parts = ["以", "太", "界", "a", "ab", "𠀀", "é", "x y"]
+    forms = sorted({"".join(rnd.choice(parts) for _ in range(rnd.randint(1, 5))) for _ in range(25)})
+    terms = dictionary(spark, [(str(i), f"t{i}", None, r, None, "" if i % 2 else None) for i, r in enumerate(forms)])
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(80)] + [None, ""]
+    want = sorted((i, str(j)) for i, t in enumerate(texts) for j, r in enumerate(forms) if t and r in t)
+    for most in (T.MOST_ENTRIES, 3):
+        monkeypatch.setattr(T, "MOST_ENTRIES", most)
+        got = sorted((r.ord, r.slug) for r in T.rendering_edges(verses(spark, texts), "en", KEYS, terms).collect())
+        assert got == want and want
+    assert T.rendering_edges(verses(spark, texts), "en", KEYS, terms.limit(0)).count() == 0
+
+
+def test_only_matches_leave_the_row(spark):
+    """Neither n-grams nor texts are unnested where nothing matches."""
+    terms = dictionary(spark, [("ben", "Ben Nevis", None, "本", "本", "ベン")])
+    v = verses(spark, ["one two three four five six seven eight nine ten"] * 50 + ["on Ben Nevis"])
+    for edges in (T.token_edges(v, "en", KEYS, T.term_forms(terms)), T.word_edges(v, "en", KEYS, terms)):
+        assert rows(edges, "ord") == [(50,)]
+        plan = edges._jdf.queryExecution().executedPlan()
+        assert "Generate" in plan.toString()
+    from lectern.functions.probe import Probe, probe_of
+
+    known = probe_of(spark.createDataFrame([(w,) for w in "abcdef"], "w string"), "w")
+    df = spark.createDataFrame([(chr(97 + i),) for i in range(26)] + [("é",), (None,)], "w string")
+    passed = {r.w for r in df.where(known(F.col("w"))).collect()}
+    assert set("abcdef") <= passed and len(passed) <= 7
+    assert df.where(Probe(None)(F.col("w"))).count() == 28
+
+
+def test_listed_numbers(spark):
+    from lectern.functions.probe import listed
+
+    filed = {f"k{i}": [i, 1000 + i] for i in range(300)}
+    lookup = listed(spark, filed)
+    df = spark.createDataFrame([(k,) for k in [*filed, "other", "k300"]], "k string")
+    got = {r.k: r.n for r in df.select("k", lookup(F.col("k")).alias("n")).collect()}
+    assert all(set(own) <= set(got[k]) for k, own in filed.items())
+    assert sum(len(n) for n in got.values()) < 900
+
+
+def test_stored_index_and_top_hits(spark, tmp_path):
+    from lectern.operators import search as Q
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    # One word stands in every verse, one chapter block holds the best hits.
+    data = [(f"b.{c}", c, o, " ".join(["hot", *(rnd.choice(words) for _ in range(rnd.randrange(12))), *["w1"] * (c % 7 == 0) * 5]))
+            for c in range(0, 60_000, 500) for o in range(3)]
+    v = spark.createDataFrame(data, "chapter_id string, chapter int, ord int, en string")
+    queries = spark.createDataFrame([("q1", "hot w1"), ("q2", "w2 w3"), ("q3", "none here"), ("q4", "hot")], "query_id string, query string")
+    # Tokens are letters only, so write the numbers as letters.
+    letters = F.translate("en", "0123456789", "abcdefghij")
+    v, queries = v.withColumn("en", letters), queries.withColumn("query", F.translate("query", "0123456789", "abcdefghij"))
+    keys, root = ["chapter_id", "chapter", "ord"], str(tmp_path / "index")
+    index = Q.build_index(v, "en", keys)
+    assert index.agg(F.sum("tf")).head()[0] == sum(len(r.en.split()) for r in v.collect())
+    Q.write_index(index, root, 8)
+    postings, blocks = Q.read_index(spark, root, Q.query_tokens(queries), 8)
+    full = Q.search(index, queries, keys)
+    stored = Q.search(postings.drop("block"), queries, keys, frequency=Q.frequencies(blocks))
+    assert rows(stored, "query_id", "chapter", "ord", "score") == rows(full, "query_id", "chapter", "ord", "score")
+    best = {}
+    for r in full.collect():
+        best.setdefault(r.query_id, []).append((-r.score, r.chapter, r.ord))
+    want = sorted((q, -s, c, o, n) for q, own in best.items() for n, (s, c, o) in enumerate(sorted(own)[:5], 1))
+    got = sorted((r.query_id, r.score, r.chapter, r.ord, r["rank"]) for r in Q.top_hits(postings, blocks, queries, 5, 1).collect())
+    assert got == want and {q for q, *_ in got} == {"q1", "q2", "q4"}
+
+
+def test_records_and_scope_text(spark):
+    from lectern import schemas
+    from lectern.operators import corpus as C
+
+    cap = ("Cap", "圖", None, None)
+    vs = [("a.1.1", 1, "one", None, "一", None, [], None, [], [("s", "1", cap), ("t", "1", None)]), ("a.1.2", 2, "two", None, None, None, [], None, [], None)]
+    ch = spark.createDataFrame([("a.1", "a", 1, "A", ("pre", None, None, "序"), None, vs)], schemas.CHAPTER)
+    assert rows(C.records_of(ch), "label", "en", "ja") == [("caption a.1.1#0", "Cap", None), ("preamble", "pre", "序"), ("verse 1", "one", None), ("verse 2", "two", None)]
+    text = ch.select(C.text_of(ch, ["en"]).alias("a"), C.text_of(ch, ["en"], lambda v: v["verse_number"] == 2).alias("b"),
+                     C.text_of(ch, ["zh_hant", "zh_hans", "ja"]).alias("c")).head()
+    assert tuple(text) == ("pre\none\nCap\ntwo", "pre\ntwo", "序\n一\n圖")
