@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.probe import MOST_ENTRIES, listed, probe_of, strings
+from lectern.functions.probe import MOST_ENTRIES, Probe, listed, probe_of, strings
 
 WINDOW = 8
 LITERAL = 4
@@ -91,22 +91,33 @@ def _marked(text: Column) -> Column:
     Each costly replacement only runs on texts that hold what it replaces.
     """
     marks = NAME + NUMBER + UNIT + GAP + JOIN + START
-    text = F.when(text.rlike(f"[\u0001-\u0006{OTHER}]"), F.translate(text, OTHER + marks, OTHERS_AS)).otherwise(text)
-    # After a full stop, a colon or a line break a capital says nothing.
-    named = F.regexp_replace(text, r"(?<=[^\s.!?:|][ \t])(?=\p{Lu})", NAME)
-    text = F.when(text.rlike(r"[^\s.!?:|][ \t]\p{Lu}"), named).otherwise(text)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    numbered = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", ""),
-                         rf"(?<![^{BREAK}])(?=[^{BREAK}\s\p{{L}}\p{{N}}\u0001-\u0006]{{0,3}}[0-9])", NUMBER),
-        rf"({NUMBER}\S{{1,40}}\s)(?=(?i:{units})[.,;:!?)]*(?:\s|$))", f"$1{UNIT}")
-    text = F.when(text.rlike("[0-9]"), numbered).otherwise(text)
-    started = F.regexp_replace(text, rf"(?<![^{BREAK}])(?=\p{{Lu}})", START)
-    joined = F.regexp_replace(started, rf"((?:\G(?!\A)|[{NAME}{START}])[^{BREAK}]+)[ \t]+{NAME}", f"$1{JOIN}")
-    tied = F.regexp_replace(joined, rf"{START}([^{BREAK}]+){BREAKS}", f"{START}$1{START}")
-    # A sentence start that no word follows.
-    closed = let(tied, lambda x: F.when(x.endswith(START), F.regexp_replace(x, f"{START}[^{BREAK}]*{START}$", "")).otherwise(x))
-    return F.when(text.rlike(r"\p{Lu}"), closed).otherwise(text)
+
+    def plain(text: Column) -> Column:
+        return F.when(text.rlike(f"[\u0001-\u0006{OTHER}]"), F.translate(text, OTHER + marks, OTHERS_AS)).otherwise(text)
+
+    def named(text: Column) -> Column:
+        # After a full stop, a colon or a line break a capital says nothing.
+        return F.regexp_replace(text, r"[ \t](?<=[^\s.!?:|][ \t])(?=\p{Lu})", f"$0{NAME}")
+
+    def numbered(text: Column) -> Column:
+        return F.when(text.rlike("[0-9]"), F.regexp_replace(
+            F.regexp_replace(F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", ""),
+                             rf"(^|[{BREAK}])([^{BREAK}\s\p{{L}}\p{{N}}\u0001-\u0006]{{0,3}}[0-9])", f"$1{NUMBER}$2"),
+            rf"({NUMBER}\S{{1,40}}\s)(?=(?i:{units})[.,;:!?)]*(?:\s|$))", f"$1{UNIT}")).otherwise(text)
+
+    def tied(text: Column) -> Column:
+        started = F.regexp_replace(text, rf"\p{{Lu}}(?<![^{BREAK}]\p{{Lu}})", f"{START}$0")
+        joined = F.regexp_replace(started, rf"[ \t]{NAME}(?<=[{NAME}{START}][^{BREAK}]{{1,60}}[ \t]{NAME})", JOIN)
+        return F.regexp_replace(joined, rf"{START}([^{BREAK}]+){BREAKS}", f"{START}$1{START}")
+
+    def closed(text: Column) -> Column:
+        # A sentence start that no word follows.
+        return F.when(text.endswith(START), F.regexp_replace(text, f"{START}[^{BREAK}]*{START}$", "")).otherwise(text)
+
+    # Patterns start with a character that is consumed, so most positions are passed over at once.
+    # Each step names its text once: an expression that is used twice would be computed twice.
+    return let(tied(let(named(let(text, plain)), numbered)), closed)
 
 
 def templates(df: DataFrame, *keys: str) -> DataFrame:
@@ -145,11 +156,11 @@ def _windows(t: Column, n: int, first: Column) -> Column:
     return F.transform(places, window)
 
 
-def _stretches(t: Column) -> Column:
-    """piece, first, t: of every ``STEP``-th word, its piece and the words of its ``STEP`` windows."""
+def _stretches(t: Column, known: Probe) -> Column:
+    """piece, first, t: of every ``STEP``-th word, its piece, if it may be one of the benchmark's, and the words of its ``STEP`` windows."""
     hashes, slots, starts = t["hashes"], t["slots"], t["starts"]
-    places = F.when(F.size(hashes) >= WINDOW, F.sequence(F.lit(1), F.size(hashes) - PIECE + 1, F.lit(STEP))).otherwise(
-        F.array().cast("array<int>"))
+    places = F.filter(F.when(F.size(hashes) >= WINDOW, F.sequence(F.lit(1), F.size(hashes) - PIECE + 1, F.lit(STEP))).otherwise(
+        F.array().cast("array<int>")), lambda i: known(F.xxhash64(F.slice(hashes, i, PIECE))))
 
     def stretch(i: Column) -> Column:
         first = F.greatest(i - STEP + 1, F.lit(1))
@@ -244,8 +255,9 @@ def template_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     small = facts["bytes"] <= BROADCAST_BYTES
     side, pieces = filed.drop("pieces"), filed.select(F.explode("pieces").alias("piece")).distinct()
     side, pieces = (F.broadcast(side), F.broadcast(pieces)) if small else (side, pieces)
+    known = probe_of(filed.select(F.explode("pieces").alias("piece")), "piece")
     texts = templates(docs, *KEYS)
-    windows = texts.select(*KEYS, F.explode(let(F.col("t"), _stretches)).alias("s")).select(*KEYS, "s.*").join(
+    windows = texts.select(*KEYS, F.explode(let(F.col("t"), lambda t: _stretches(t, known))).alias("s")).select(*KEYS, "s.*").join(
         pieces, "piece", "left_semi").select(*KEYS, F.explode(_windows(F.col("t"), WINDOW, F.col("first"))).alias("w"))
     if short:
         windows = windows.unionByName(texts.select(*KEYS, F.explode(let(F.col("t"), lambda t: F.concat(
@@ -270,29 +282,38 @@ def template_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _line(text: Column) -> Column:
     """Lower-cased words between single blanks, with a mark around the text and at sentence and line ends."""
     ends = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?:;]+(?=[\s\"')\]]|$)|[\r\n|]+", f" {GAP} ")
-    flat = F.regexp_replace(ends, rf"[{BREAK}{OTHER}]+", " ")
-    return F.lower(F.regexp_replace(F.concat(F.lit(f" {GAP} "), flat, F.lit(f" {GAP} ")), f" *{GAP}[ {GAP}]*", f" {GAP} "))
+    flat = F.trim(F.regexp_replace(ends, rf"[{BREAK}{OTHER}]+", " "))
+    return F.lower(F.regexp_replace(F.concat(F.lit(f" {GAP} "), flat, F.lit(f" {GAP} ")), f"{GAP}(?: +{GAP})+", GAP))
+
+
+def _pairs_of(line: Column) -> Column:
+    """Every word of a line with the next one; marks count as words."""
+    def of(words: Column) -> Column:
+        return F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    return F.array_compact(let(F.split(F.trim(line), " "), of))
 
 
 def whole_items(items: DataFrame) -> DataFrame:
-    """item_id, line, anchor: what must stand in a document's line, and the word of it that fewest items hold."""
-    inner = F.trim(F.regexp_replace(_line(F.col("text")), f"^[ {GAP}]+|[ {GAP}]+$", ""))
+    """item_id, line, anchor: what must stand in a document's line, and the pair of words in it that fewest items hold."""
+    inner = F.regexp_replace(_line(F.col("text")), f"^[ {GAP}]+|[ {GAP}]+$", "")
     words = F.array_remove(F.array_remove(F.split("inner", " "), GAP), "")
     named = items.select(F.col("item_id").cast("long").alias("item_id"), inner.alias("inner")).where("inner <> ''").select(
         "item_id", "inner", words.alias("words"))
     phrase = F.when(F.size("words") < PHRASE, F.concat(F.lit(f" {GAP} "), "inner", F.lit(f" {GAP} "))).otherwise(
         F.concat(F.lit(" "), "inner", F.lit(" ")))
-    each = named.select("item_id", phrase.alias("line"), F.explode(F.array_distinct("words")).alias("word"))
-    share = each.groupBy("word").agg(F.count("*").alias("n"))
-    return each.join(share, "word").groupBy("item_id", "line").agg(
-        F.min(F.struct("n", (-F.char_length("word")).alias("short"), "word")).alias("best")).select("item_id", "line", F.col("best.word").alias("anchor"))
+    lines = named.select("item_id", phrase.alias("line"))
+    each = lines.select("item_id", "line", F.explode(F.array_distinct(_pairs_of(F.col("line")))).alias("pair"))
+    share = each.groupBy("pair").agg(F.count("*").alias("n"))
+    return each.join(share, "pair").groupBy("item_id", "line").agg(
+        F.min(F.struct("n", (-F.char_length("pair")).alias("short"), "pair")).alias("best")).select("item_id", "line", F.col("best.pair").alias("anchor"))
 
 
 def whole_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``KEYS``, item_id of documents that hold an item's words whole and in order.
 
     A benchmark of a checked size is looked up inside the row; a larger one is joined by
-    anchor words, and the texts are joined back for the pairs that share one.
+    anchors, and the texts are joined back for what shares one.
     """
     from lectern.llm.store import cut
 
@@ -301,7 +322,6 @@ def whole_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not facts["n"]:
         return docs.select(*KEYS, F.lit(0).cast("long").alias("item_id")).limit(0)
     lines = docs.select(*KEYS, _line(F.col("text")).alias("line"))
-    words = lambda line: F.split(line, " ")
     if facts["n"] <= MOST_ENTRIES and facts["bytes"] <= ROW_BYTES:
         listing = sought.orderBy("item_id", "line").collect()
         filed: dict[str, list[int]] = {}
@@ -310,17 +330,17 @@ def whole_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         lookup, known = listed(docs.sparkSession, filed), strings([row["line"] for row in listing])
         ids = F.split(F.lit(",".join("" if r["item_id"] is None else str(r["item_id"]) for r in listing)), ",")
         if len(filed) <= FEW:
-            met = F.array_intersect(words(F.col("line")), strings(sorted(filed)))
+            met = F.array_intersect(_pairs_of(F.col("line")), strings(sorted(filed)))
         else:
             probe = probe_of(sought, "anchor")
-            met = F.filter(F.array_distinct(words(F.col("line"))), lambda w: probe(w))
+            met = F.filter(F.array_distinct(_pairs_of(F.col("line"))), lambda w: probe(w))
         near = lines.select(*KEYS, "line", F.explode(F.array(met)).alias("met"))
         held = F.filter(F.array_distinct(F.flatten(F.transform("met", lambda w: lookup(w)))), lambda n: F.contains(F.col("line"), F.element_at(known, n)))
         found = near.select(*KEYS, F.explode(held).alias("n"))
         return found.select(*KEYS, F.nullif(F.element_at(ids, F.col("n")), F.lit("")).cast("long").alias("item_id")).distinct()
     probe = probe_of(sought, "anchor")
     kept = cut(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
-    met = kept.select("row", F.explode(F.filter(F.array_distinct(words(F.col("line"))), lambda w: probe(w))).alias("anchor"))
+    met = kept.select("row", F.explode(F.filter(F.array_distinct(_pairs_of(F.col("line"))), lambda w: probe(w))).alias("anchor"))
     pairs = met.join(sought, "anchor").select("row", "item_id", F.col("line").alias("sought"))
     return kept.join(pairs, "row").where(F.contains("line", F.col("sought"))).select(*KEYS, "item_id").distinct()
 
