@@ -4,10 +4,15 @@ Known forms are found by expressions.  Other secrets are found by their disorder
 long run of code-like characters a window of ``WINDOW`` characters slides along; its counts
 per character change by one in and one out, and with them the sum of ``c * log2(c)``, kept
 in whole numbers.  A window is hot if its Shannon entropy reaches the limit of its class.
-Runs that an allow-list knows (identifiers, alphabets, placeholders, plain words) are left
-alone, and so is what already lies in a known form: it is cut out of the run, and the parts
-beside it are scanned like runs.  A run in one case that holds separators is scanned whole if
-it mixes letters and digits as keys do, or holds a long piece without separators.
+What an allow-list knows is cut out of the run, namely identifiers, alphabets and placeholder
+words, and so is what already lies in a known form; the parts beside it are scanned like
+runs.  A run that ends as documented sample keys do is left alone.  A run in one case that holds
+separators is scanned whole if it mixes letters and digits as keys do, or holds a long piece
+without separators.  Letters alone are a class with a limit of their own, which words do not reach;
+digits alone are a known form at every length that a window has.
+
+Work grows in proportion to a text's length and number of matches (by sums over blocks of
+matches and by halving), so a log file of many identifiers is one row like others.
 
 Positions count characters of the text, not bytes; ends are exclusive.
 
@@ -26,25 +31,24 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base36", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base36", "entropy_base64", "entropy_letters")
 
 WINDOW = 20
 SCALE = 1 << 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Entropy in bits that makes a window hot, by the class of the run's characters.
-LIMITS = {"entropy_hex": 3.0, "entropy_base36": 3.5, "entropy_base64": 3.7}
-ALLOWED = (
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"  # identifiers
-    r"|abcdefghij|0123456789|qwertyuiop"  # alphabets
-    r"|example|sample|placeholder|dummy|changeme|xxxx"  # placeholders
-    r"|^[0-9+/_=-]*$|^[A-Za-z+/_=-]*$"  # digits or letters alone
-)
+LIMITS = {"entropy_hex": 3.0, "entropy_base36": 3.5, "entropy_base64": 3.7, "entropy_letters": 4.0}
+# What is cut out of a run, alphabets and placeholder words, and how sample keys end.
+ALLOWED = "(?i)abcdefghij[a-z]*|0123456789|qwertyuiop|examples?|samples?|placeholders?|dummy|changeme|xxxx+"
+SAMPLE = "EXAMPLE(?:KEY)?$"
 IDENTIFIER = r"(?i)(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])"
 #: In one case with separators: four digits beside letters, or four digits and a piece of a window's length.
 MIXED = r"(?:(?:(?<=[A-Za-z])[0-9]|[0-9](?=[A-Za-z])).*){4}"
 PIECE = rf"[A-Za-z0-9]{{{WINDOW}}}"
 MASK = "[secret]"
+#: Values summed at once, characters cut at once.
+BLOCK, CHUNK = 64, 1024
 
 SPAN = "struct<start:int,rank:int,end:int>"
 
@@ -53,19 +57,41 @@ def _empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(values: Column, merge) -> Column:
+    """Of every whole number: all earlier ones merged, from 0.  Sums over blocks keep this short of the square."""
+    fold = lambda part: F.aggregate(part, F.lit(0), lambda a, v: merge(a, v).cast("int"))
+
+    def of(xs: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda b: fold(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK))))
+
+        def placed(sums: Column) -> Column:
+            starts = F.transform(sums, lambda _, b: fold(F.slice(sums, F.lit(1), b)))
+            return _let(starts, lambda heads: F.transform(xs, lambda _, i: merge(
+                F.get(heads, F.floor(i / BLOCK).cast("int")),
+                fold(F.slice(xs, (F.floor(i / BLOCK) * BLOCK).cast("int") + 1, i % BLOCK))).cast("int")))
+
+        return F.when(F.size(xs) > 0, _let(totals, placed)).otherwise(F.array().cast("array<int>"))
+
+    return _let(values, of)
+
+
 def _placed(found: Column, between: Column) -> Column:
     """start and text of each match, from the matches and the text between them."""
-    start = F.struct(F.lit(0).alias("at"), _empty("struct<start:int,text:string>").alias("out"))
+    none = _empty("struct<start:int,text:string>")
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.char_length(F.element_at(between, i))
-        match = F.element_at(found, i)
-        return F.struct(
-            (begin + F.char_length(match)).alias("at"),
-            F.array_append(acc["out"], F.struct(begin.alias("start"), match.alias("text"))).alias("out"))
+    def of(pairs: Column) -> Column:
+        steps = F.transform(pairs, lambda p: F.char_length(p["gap"]) + F.char_length(p["text"]))
+        return F.zip_with(pairs, _before(steps, lambda a, v: a + v), lambda p, at: F.struct(
+            (at + F.char_length(p["gap"])).cast("int").alias("start"), p["text"].alias("text")))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(1), F.size(found)), start, step)["out"]).otherwise(
-        _empty("struct<start:int,text:string>"))
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(g.alias("gap"), m.alias("text")))
+    return F.when(F.size(found) > 0, _let(pairs, of)).otherwise(none)
 
 
 def _spans(placed: Column, rank: int) -> Column:
@@ -79,7 +105,9 @@ def _kind_of(run: Column) -> Column:
     digits = run.rlike("(?:[0-9].*){4}")
     other = F.regexp_replace(run, IDENTIFIER, "-")
     return (
-        F.when(run.rlike(ALLOWED), F.lit(None).cast("string"))
+        F.when(run.rlike(f"^{IDENTIFIER}$"), F.lit(None).cast("string"))
+        .when(run.rlike("^[A-Za-z]+$"), F.lit("entropy_letters"))
+        .when(run.rlike("^[0-9+/_=-]*$") | run.rlike("^[A-Za-z+/_=-]*$"), F.lit(None).cast("string"))
         .when(run.rlike("^[0-9A-F]+$") | run.rlike("^[0-9a-f]+$"), F.lit("entropy_hex"))
         .when(upper & lower & digit, F.lit("entropy_base64"))
         .when((upper != lower) & digits & run.rlike("^[A-Za-z0-9]+$"), F.lit("entropy_base36"))
@@ -129,11 +157,34 @@ def _advance(acc: Column, i: Column, into: Column, out: Column, worth: Column, m
         F.when(hot, i.cast("int")).otherwise(acc["last"]).alias("last"))
 
 
+def _first_at(starts: Column, value: Column) -> Column:
+    """How many of the sorted ``starts`` are below ``value``, by halving."""
+    begin = F.struct(F.lit(0).alias("low"), F.size(starts).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        below = (at["low"] < at["high"]) & (F.get(starts, middle) < value)
+        return F.struct(F.when(below, middle + 1).otherwise(at["low"]).alias("low"),
+                        F.when(below | (at["low"] >= at["high"]), at["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts) + 1)).cast("int")), begin, halve)["low"]
+
+
 def _parts(m: Column, base: Column) -> Column:
-    """start and text of what is left of a run without the known forms, as far as it is a window long."""
+    """start and text of what is left of a run without known forms and allowed words, as far as it is a window long.
+
+    ``base`` holds the known forms by start, the starts alone, and the longest form's length.
+    """
     end = m["start"] + F.char_length(m["text"])
-    cuts = F.array_sort(F.filter(base, lambda b: (b["start"] < end) & (b["end"] > m["start"])))
     nothing = _empty("struct<start:int,text:string>")
+    first = _first_at(base["starts"], m["start"] - base["longest"])
+    near = F.when(F.size(base["starts"]) == 0, base["spans"]).otherwise(
+        F.slice(base["spans"], first + 1, F.greatest(_first_at(base["starts"], end) - first, F.lit(0))))
+    forms = F.filter(near, lambda b: (b["start"] < end) & (b["end"] > m["start"]))
+    words = F.when(m["text"].rlike(ALLOWED), F.transform(
+        _spans(_placed(F.regexp_extract_all(m["text"], F.lit(ALLOWED), F.lit(0)), F.split(m["text"], ALLOWED, -1)), -1),
+        lambda w: F.struct((m["start"] + w["start"]).cast("int").alias("start"), w["rank"].alias("rank"), (m["start"] + w["end"]).cast("int").alias("end")))
+    ).otherwise(_empty(SPAN))
 
     def part(at: Column, to: Column) -> Column:
         text = F.substring(m["text"], at - m["start"] + 1, to - at)
@@ -143,13 +194,16 @@ def _parts(m: Column, base: Column) -> Column:
         return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
 
     start = F.struct(m["start"].alias("at"), nothing.alias("out"))
-    return F.when(F.size(cuts) == 0, F.array(m)).otherwise(
-        F.aggregate(cuts, start, step, lambda acc: F.concat(acc["out"], part(acc["at"], end))))
+    return F.when(m["text"].rlike(SAMPLE), nothing).otherwise(_let(F.array_sort(F.concat(forms, words)), lambda cuts: F.when(
+        F.size(cuts) == 0, F.array(m)).otherwise(F.aggregate(cuts, start, step, lambda acc: F.concat(acc["out"], part(acc["at"], end))))))
 
 
 def _added(placed: Column, base: Column) -> Column:
-    """Spans of hot runs and parts of runs outside the known forms."""
-    parts = F.flatten(F.transform(placed, lambda m: _parts(m, base)))
+    """Spans of hot runs and parts of runs outside the known forms and allowed words."""
+    known = _let(F.array_sort(base), lambda spans: F.struct(
+        spans.alias("spans"), F.transform(spans, lambda b: b["start"]).alias("starts"),
+        F.coalesce(F.array_max(F.transform(spans, lambda b: b["end"] - b["start"])), F.lit(0)).alias("longest")))
+    parts = _let(known, lambda k: F.flatten(F.transform(placed, lambda m: _parts(m, k))))
     named = F.transform(parts, lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), _kind_of(m["text"]).alias("kind")))
     free = F.filter(named, lambda m: m["kind"].isNotNull())
     rank_of = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k).cast("int") - 1
@@ -194,16 +248,25 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by ``MASK``; ``n_chars`` follows where it exists."""
     scan = scanned(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]  # spans that overlap share one mask
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK)))
-            .otherwise(acc["text"]).alias("text"))
+    def masked(chunks: Column) -> Column:
+        def cut(at: Column, to: Column) -> Column:
+            # Only the chunks that a piece lies in are put together.
+            first, last = F.floor(at / CHUNK).cast("int"), F.floor(to / CHUNK).cast("int")
+            held = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+            return F.substring(held, at - first * CHUNK + 1, to - at)
+
+        def piece(span: Column, at: Column) -> Column:
+            # Spans that overlap share one mask.
+            return F.when(span["start"] >= at, F.concat(cut(at, span["start"]), F.lit(MASK))).otherwise(F.lit(""))
+
+        ends = F.transform("_spans", lambda s: s["end"])
+        last = F.array_max(ends)
+        pieces = F.zip_with(F.col("_spans"), _before(ends, F.greatest), piece)
+        rest = cut(last, F.char_length("text"))
+        return F.concat(F.array_join(pieces, ""), rest)
 
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
+    masked = _let(F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), masked)
     out = scan.withColumn("text", F.when(F.size("_spans") > 0, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -369,3 +369,34 @@ def test_large_benchmarks_join_by_anchor(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ROW_BYTES", 10**6)
     monkeypatch.setattr(decontaminate, "FEW", 0)
     assert {(r.doc_id, r.item_id) for r in decontaminate.whole_leaks(texts, items).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_secrets_beside_allowed_words(spark):
+    """An allowed word only exempts itself; letters alone have a limit of their own, digits alone are a known form."""
+    texts = ["/sample_data/x9Kf83jLmQ2vT7zRb1Nc4Wp0aa", "x9Kf83jLmQ2vT7zRb1Nc4Wp0aaExample", "/placeholder/AB12CD34EF56AB78CD90EF12",
+             "kQzXbWvTnLmRpYsGdHjFcKqZ", "09182736455463728190", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "abcdefghijklmnopqrstuvwxyz0123456789",
+             "InternationalizationConfigurationManager", "Donaudampfschifffahrtsgesellschaft", "src/main/java/org/apache/commons/lang"]
+    got = by_id(secret_scan.find(docs_of(spark, list(enumerate(texts)))))
+    assert [bool(got[k].spans) for k in range(len(texts))] == [True] * 5 + [False] * 5
+    assert got[3].spans.startswith("entropy_letters:0:") and got[4].spans.startswith("hex:0:")
+    clean = by_id(secret_scan.redact(docs_of(spark, list(enumerate(texts)))))
+    assert "sample" in clean[0].text and "jLmQ2vT7zRb1" not in clean[0].text + clean[1].text and "CD34EF56" not in clean[2].text
+
+
+def test_many_matches_in_one_text(spark):
+    """Tens of thousands of identifiers in one text, beyond all blocks and chunks; masks stand where the spans are."""
+    import time
+
+    rng = random.Random(8)
+    took = []
+    for n in (5_000, 40_000):
+        words = [f"é{k} {rng.getrandbits(80):020x}" for k in range(n)]
+        text = " ".join(words)
+        began = time.time()
+        found = by_id(secret_scan.find(docs_of(spark, [(1, text)])))[1]
+        clean = by_id(secret_scan.redact(docs_of(spark, [(1, text)])))[1]
+        took.append(time.time() - began)
+        listed = ",".join(f"hex:{a}:{b}" for a, k, b in brute.base_spans(text))
+        assert found.base_sha256 == brute.sha(listed) and found.n_hex == n
+        assert clean.text == " ".join(f"é{k} [secret]" for k in range(n))
+    assert took[1] < 20 * took[0] + 20
