@@ -230,6 +230,11 @@ def check_result_coverage(expected: DataFrame, received: DataFrame) -> DataFrame
 
     Both sides have (chapter_id, ord, verse_id); ``received`` also the languages.
     """
+    return check_result_ids(expected, received).unionByName(_violations(received, blank_verse()))
+
+
+def check_result_ids(expected: DataFrame, received: DataFrame) -> DataFrame:
+    """Ids missing, foreign, repeated or out of place."""
     order = order_mismatch(expected, received, "chapter_id", "verse_id").where("n_different > 0").select(
         F.lit("result.order").alias("rule"), F.col("chapter_id").alias("path"), F.lit("").alias("id"),
         F.concat(F.col("n_different").cast("string"), F.lit(" positions differ")).alias("detail"),
@@ -240,25 +245,32 @@ def check_result_coverage(expected: DataFrame, received: DataFrame) -> DataFrame
         F.concat(F.col("n_received").cast("string"), F.lit(" of "),
                  F.col("n_expected").cast("string")).alias("detail"),
     )
+    return order.unionByName(ids)
+
+
+def blank_verse() -> Column:
+    """Violation of a returned verse that is blank in some language."""
     first_blank = F.coalesce(*[F.when(is_blank(F.col(lang)), lang) for lang in LANGS])
-    blank = _violations(
-        received,
-        F.when(
-            first_blank.isNotNull(),
-            _row("result.blank", F.col("chapter_id"), F.col("verse_id"),
-                 F.concat(F.lit("missing "), first_blank)),
-        ),
+    return F.when(
+        first_blank.isNotNull(),
+        _row("result.blank", F.col("chapter_id"), F.col("verse_id"), F.concat(F.lit("missing "), first_blank)),
     )
-    return order.unionByName(ids).unionByName(blank)
+
+
+def kana_verse() -> Column:
+    """Violation of a returned verse with kana in a Chinese field."""
+    where = F.when(has_kana(F.col("zh_hant")), "zh_hant").when(has_kana(F.col("zh_hans")), "zh_hans")
+    return F.when(where.isNotNull(), _row("result.kana", F.col("chapter_id"), F.col("verse_id"), where))
 
 
 def check_kana(received: DataFrame) -> DataFrame:
     """Kana in a Chinese field, one violation per verse."""
-    where = F.when(has_kana(F.col("zh_hant")), "zh_hant").when(has_kana(F.col("zh_hans")), "zh_hans")
-    return _violations(
-        received,
-        F.when(where.isNotNull(), _row("result.kana", F.col("chapter_id"), F.col("verse_id"), where)),
-    )
+    return _violations(received, kana_verse())
+
+
+def check_returned_verses(received: DataFrame) -> DataFrame:
+    """Blank languages and kana of returned verses, in one pass."""
+    return _violations(received, blank_verse(), kana_verse())
 
 
 def check_preamble_coverage(chapters: DataFrame, results: DataFrame) -> DataFrame:

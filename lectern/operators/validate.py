@@ -4,32 +4,62 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import LANGS
+from lectern.functions.text import LANGS, caption_key, is_blank, is_filled
 from lectern.operators import corpus as C
 from lectern.operators import fingerprint as FP
 from lectern.operators import quality as K
 from lectern.operators.merge import results_by_position
+from lectern.operators.sizing import small_side
 from lectern.operators.terms import term_forms
+from lectern.session import cut_lineage
 
 
-def validate_results(
-    chapters: DataFrame, results: DataFrame, terms: DataFrame, snapshots: DataFrame, manifests: DataFrame
-) -> DataFrame:
-    """Violations (rule, path, id, detail) of all results; ``path`` is the chapter id.
+def _pairs(chapters: DataFrame, results: DataFrame) -> DataFrame:
+    """One row per result: its columns, and the source chapter as ``src``."""
+    heads = chapters.select(F.col("id").alias("chapter_id"), F.struct("id", "book", "chapter", "preamble", "verses").alias("src"))
+    return results.drop("book", "chapter").join(heads, "chapter_id")
 
-    Verse, preamble and caption coverage, kana, tags, unknown terms, locked renderings in
-    all three kinds of text, and the binding to snapshot and source.  A chapter passes when
-    it has a result and no row here.
-    """
+
+def _found(rule: str, ident: Column, detail: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), F.col("chapter_id").alias("path"), ident.alias("id"), detail.alias("detail"))
+
+
+def _in_row(pairs: DataFrame) -> DataFrame:
+    """Preamble and captions, judged inside the row that holds source and result."""
+    kind = "array<struct<rule:string,path:string,id:string,detail:string>>"
+    blank = lambda holder, x: is_blank(holder[x])
+    preamble = [
+        F.when(is_filled(F.col("src.preamble.en")) & blank(F.col("preamble"), x), _found("result.preamble", F.lit("preamble"), F.lit(f"missing {x}")))
+        for x in LANGS
+    ]
+    none = F.array().cast("array<string>")
+
+    def keys(v: Column) -> Column:
+        return F.coalesce(F.array_compact(F.transform(
+            v["images"], lambda im, k: F.when(is_filled(im["caption"]["en"]), caption_key(v["id"], k)))), none)
+
+    wanted = F.flatten(F.transform("src.verses", keys))
+    given = F.coalesce(F.transform("captions", lambda c: c["cap_idx"]), none)
+    missing = F.transform(F.array_except(wanted, given), lambda k: _found("caption.missing", k, F.lit("")))
+    extra = F.transform(F.array_except(given, wanted), lambda k: _found("caption.extra", k, F.lit("")))
+    # Of several captions under one key the last is judged.
+    last = F.filter("captions", lambda c, i: ~F.array_contains(F.slice(given, i + 2, F.size(given)), c["cap_idx"]) & F.array_contains(wanted, c["cap_idx"]))
+    lacking = F.flatten(F.transform(last, lambda c: F.array_compact(F.array(*[
+        F.when(blank(c, x), _found("caption.blank", c["cap_idx"], F.lit(f"missing {x}"))) for x in LANGS]))))
+    every = F.concat(
+        F.array_compact(F.array(*preamble)).cast(kind), missing.cast(kind), extra.cast(kind), F.coalesce(lacking.cast(kind), F.array().cast(kind)))
+    return pairs.select(F.explode(every).alias("v")).select("v.*")
+
+
+def _cheap(chapters: DataFrame, results: DataFrame, pairs: DataFrame, terms: DataFrame, snapshots: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Violations of every rule but the locks."""
     received = results_by_position(results)
-    returned = results.select("chapter_id", F.posexplode("captions").alias("pos", "c")).select(
-        "chapter_id", "pos", "c.*"
-    )
-    asked = chapters.join(results.select(F.col("chapter_id").alias("id")).distinct(), "id", "left_semi")
-    verses, captions = C.verses_of(asked), C.captions_of(asked)
+    ids = lambda verses: F.transform(verses, lambda v: v["id"])
+    # Ids are only unnested where the two lists differ.
+    differ = pairs.where(~ids(F.col("src.verses")).eqNullSafe(ids(F.col("verses"))))
     stale = FP.stale_bindings(results, snapshots, manifests)
     flags = ["version_mismatch", "snapshot_stale", "binding_changed"]
     bound = stale.select(
@@ -39,17 +69,46 @@ def validate_results(
         F.col("flag").alias("detail"),
     )
     return reduce(DataFrame.unionByName, [
-        K.check_result_coverage(verses, received),
-        K.check_kana(received),
-        K.check_preamble_coverage(asked, results),
-        K.check_caption_coverage(captions, returned),
+        _in_row(pairs),
+        K.check_result_ids(C.verses_of(differ.select("src.*")), results_by_position(differ)),
+        K.check_returned_verses(received),
         K.check_tags(received, terms),
         K.check_unknown_terms(results),
-        K.check_locks(paired_records(asked, results), terms, term_forms(terms)),
         bound,
     ])
 
 
+def validate_results(
+    chapters: DataFrame, results: DataFrame, terms: DataFrame, snapshots: DataFrame, manifests: DataFrame
+) -> DataFrame:
+    """Violations (rule, path, id, detail) of all results; ``path`` is the chapter id.
+
+    Verse, preamble and caption coverage, kana, tags, unknown terms, locked renderings in
+    all three kinds of text, and the binding to snapshot and source.  A chapter passes when
+    it has a result and no row here.
+    """
+    pairs = _pairs(chapters, results)
+    return _cheap(chapters, results, pairs, terms, snapshots, manifests).unionByName(
+        K.check_locks(paired_records(pairs.select("src.*"), results), terms, term_forms(terms)))
+
+
+def refused(
+    chapters: DataFrame, results: DataFrame, terms: DataFrame, snapshots: DataFrame, manifests: DataFrame
+) -> DataFrame:
+    """Ids of the chapters whose result breaks any rule.
+
+    Locked renderings, the one rule that walks all text, are only checked where no other
+    rule has refused the chapter.
+    """
+    early = cut_lineage(_cheap(chapters, results, _pairs(chapters, results), terms, snapshots, manifests).select(
+        F.col("path").alias("chapter_id")).distinct())
+    side = small_side(early)
+    left = results.join(side, "chapter_id", "left_anti")
+    asked = _pairs(chapters, left).select("src.*")
+    late = K.check_locks(paired_records(asked, left), terms, term_forms(terms)).select(F.col("path").alias("chapter_id"))
+    return early.unionByName(late.distinct())
+
+
 def returned_records(results: DataFrame) -> DataFrame:
     """(chapter_id, label, languages) of returned verses by position, preambles and captions.
 

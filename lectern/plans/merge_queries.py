@@ -77,8 +77,7 @@ def _(s, d):
 
 def failures(s, d):
     """Chapters whose result breaks any rule."""
-    broken = V.validate_results(B.chapters(s, d), B.results(s, d), B.terms(s, d), *bindings(s, d))
-    return broken.select(F.col("path").alias("chapter_id")).distinct()
+    return V.refused(B.chapters(s, d), B.results(s, d), B.terms(s, d), *bindings(s, d))
 
 
 # A chapter is refused for every planted defect: verses missing, foreign, out of place or
