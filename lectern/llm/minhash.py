@@ -8,12 +8,13 @@ shares no table with probability 7e-5.
 Documents with equal shingle sets are one class.  Each class meets the smallest leader of
 its buckets, a leader being a bucket's smallest class; what is linked after confirmation
 forms components.  Then it meets one leader of each other component in its buckets.  At
-last, in buckets that still hold several components, classes of different components meet,
-so no pair that shares a bucket is left unseen, while a group of near copies never expands
-into all its pairs.  Before the texts are fetched, a pair is dropped if its sizes or the parity
-bitmaps of its sets prove it below the threshold, or if fewer than ``AGREE`` of its
-``2 * SIDE * WIDTH`` minima agree (at 0.8 that loses 2 in 100,000).  Links are confirmed on
-the full sets of shingles.
+last, the classes in buckets that still hold several components meet across components by
+the rarest shingles of their full sets, of which two linked sets share one; so no pair that
+shares a bucket is left unseen, while neither a group of near copies nor a family of
+half-similar texts expands into all its pairs.  Before the texts are fetched, a pair is
+dropped if its sizes or the parity bitmaps of its sets prove it below the threshold; in the
+first two rounds also if fewer than ``AGREE`` of its ``2 * SIDE * WIDTH`` minima agree, which
+the last round makes good.  Links are confirmed on the full sets of shingles.
 
 Defined results: null texts and texts without a word have no shingles and link with nothing;
 fewer words than the shingle's width are one shingle; an id that occurs with several texts
@@ -174,25 +175,63 @@ def across(met: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.groupBy("v", "cu").agg(F.min("u").alias("u")).select("u", "v")
 
 
-def crossing(met: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one bucket whose classes are still in different components.
+def rows_of_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, set_key, n_shingles, h: one row per shingle of the texts of ``nodes``."""
+    ids = cut(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
 
-    Such pairs meet under a band of the first collection.  Each is taken under the first band
-    that it shares, and only if it shares one of the second collection too, so it comes once.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = words.WordHash()
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                own = np.unique(words.shingles(words.hashes(words.words_of(text), known), width))
+                if len(own):
+                    out.append(pd.DataFrame({"node": doc_id, "set_key": xxhash.xxh3_64_intdigest(own.tobytes()) >> 1, "n_shingles": len(own), "h": own.view(np.int64)}))
+            if out:
+                yield pd.concat(out)
+
+    # Rows of one id with one text are one set.
+    return texts.distinct().mapInPandas(run, "node long, set_key long, n_shingles long, h long")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """node, set_key, n_shingles, h: the shingles of each set that any linked set must meet in one.
+
+    A set's shingles are sorted by how many sets hold them, the rarest first.  Of two sets
+    that reach the threshold, the first ``n - ceil(percent * n) + 1`` shingles of both hold a
+    common one.  Shingles of one set only come first and meet nothing, so they are left out.
+    """
+    often = sets.groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
+    shared = sets.join(often, "h")
+    of_set = W.partitionBy("node", "set_key")
+    n = F.col("n_shingles")
+    # Whole numbers: n - ceil(percent * n / 100) + 1, less the shingles that only this set holds.
+    reach = n - F.floor((n * percent + 99) / 100) + 1 - (n - F.count("*").over(of_set))
+    placed = shared.withColumn("place", F.row_number().over(of_set.orderBy("held", "h"))).withColumn("reach", reach)
+    return placed.where("place <= reach").select("node", "set_key", "n_shingles", "h")
+
+
+def crossing(met: DataFrame, classes: DataFrame, comps: DataFrame, percent: int, docs: DataFrame, width: int) -> DataFrame:
+    """Pairs (u, v) of classes in different components that may still be linked.
+
+    Only classes in buckets that hold several components are looked at.  They do not meet by
+    their buckets, in which a large family of half-similar texts would form all its pairs,
+    but by the rare shingles of their full sets, which loses no link.
     """
     placed = _component(met.select("key", "node"), comps, "node", "component")
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    nodes = placed.join(mixed, "key").select("node", "component").distinct().join(classes, "node")
-    rows = nodes.select("*", F.posexplode("a").alias("band", "value"))
-    side = lambda n: rows.select(
-        "band", "value", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "component", "n_shingles", "parity", "a", "b")])
-    shared = lambda c, upto: sum((F.when(F.get(f"{c}_u", F.lit(k)) == F.get(f"{c}_v", F.lit(k)), 1).otherwise(0)
-                                  * (1 if upto is None else (F.lit(k) < upto).cast("int")) for k in range(SIDE)), F.lit(0))
-    met_once = (shared("a", F.col("band")) == 0) & (shared("b", None) > 0)
-    pairs = side("u").join(side("v"), ["band", "value"]).where(
-        (F.col("component_u") < F.col("component_v"))
-        & _room("n_shingles_u", "n_shingles_v", "parity_u", "parity_v", percent) & met_once)
-    return pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    nodes = cut(placed.join(mixed, "key").select("node", "component").distinct(), "open")
+    sets = cut(rows_of_sets(docs, nodes, width), "sets")
+    rare = cut(prefixes(sets, percent).join(nodes, "node"), "prefixes")
+    side = lambda n: rare.select("h", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "component", "n_shingles")])
+    small, large = F.least("n_shingles_u", "n_shingles_v"), F.greatest("n_shingles_u", "n_shingles_v")
+    pairs = side("u").join(side("v"), "h").where((F.col("component_u") < F.col("component_v")) & (100 * small >= percent * large))
+    found = cut(pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), "crossing")
+    sized = lambda n: classes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("n_shingles", "parity")])
+    both = found.join(sized("u"), "u").join(sized("v"), "v")
+    return both.where(_room("n_shingles_u", "n_shingles_v", "parity_u", "parity_v", percent)).select("u", "v").distinct()
 
 
 def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -221,11 +260,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     for pairs_of in (
         lambda: met.where("node <> leader").groupBy(F.col("node").alias("v")).agg(F.min("leader").alias("u")),
         lambda: across(met, comps),
-        lambda: crossing(met, classes, comps, percent),
+        None,
     ):
-        pairs = pairs_of().select("u", "v")
-        fresh = pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
-        fresh = cut(plausible(fresh, classes, percent), "pairs")
+        # What a sketch wrongly takes for implausible is met again in the last round, on full sets.
+        pairs = plausible(pairs_of().select("u", "v"), classes, percent) if pairs_of else crossing(met, classes, comps, percent, docs, width)
+        fresh = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         comps = _merge(comps, cut(confirm(fresh, docs, width, percent), "confirmed"))
         tried = fresh if tried is None else tried.unionByName(fresh)
     of_class = _component(classes.select("set_key", "node"), comps, "node", "component_id").select("set_key", "component_id")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, gray_index, hard_negatives, language_id, merkle, minhash, quality_mil, secret_scan, sharding, simhash, suffix_dedup, url_rules
-from lectern.llm.store import cut, read
+from lectern.llm.store import cut, folder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,8 +52,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_simhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document, of its edited version, and their likeness."""
-    return simhash.edited(read(spark, sf_dir, "documents"))
+    """Fingerprints of every document, of its edited version, and their likeness.
+
+    Every fiftieth document is also searched for among all: ``n_within`` counts what lies within three bits.
+    """
+    prints = cut(simhash.edited(read(spark, sf_dir, "documents")), "fingerprints")
+    return simhash.with_counts(prints, F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False)))
 
 
 @query("op5_bpe")
@@ -72,14 +77,20 @@ SHARDS = 8
 
 @query("op7_virtual_slots")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in eight shards of near equal bytes, by the first version of the slot map."""
+    """All documents in eight shards of near equal bytes, by version 1 of a stored slot map.
+
+    Version 2 is edited from it for one shard more; ``next_shard`` is where it puts a row.
+    """
     recs = cut(sharding.records(read(spark, sf_dir, "documents")), "records")
-    weights = cut(sharding.weigh(recs).coalesce(1), "weights")
-    slot_map = cut(sharding.first_map(weights, SHARDS), "slot-map")
-    placed = sharding.place(recs, slot_map, weights)
-    return placed.select(
+    weights = cut(sharding.weigh(recs), "weights")
+    path = f"{folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    sharding.store_map(sharding.first_map(weights, SHARDS), path)
+    sharding.store_map(sharding.edit_map(sharding.load_map(spark, path, 1), weights, SHARDS + 1), path)
+    placed = sharding.place(recs, sharding.load_map(spark, path, 1), weights)
+    grown = sharding.load_map(spark, path, 2).select("virtual_slot", F.col("shard").cast("int").alias("next_shard"))
+    return placed.join(F.broadcast(grown), "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard")
 
 
 @query("op8_quality_mil")
@@ -115,7 +126,9 @@ FROM q LEFT JOIN m ON q.n = m.n AND m.k = 1
 @query("op9_url_rules", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's URL."""
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    # An inline table: no Python worker reads it.
+    values = ", ".join(str(rule) for rule in RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS t(host, path, verdict)")
     urls = url_rules.parsed(read(spark, sf_dir, "pages"))
     return url_rules.judge(urls, rules).drop("n_tried")
 

@@ -7,7 +7,8 @@ texts without a word have the fingerprint of zeros.  Likeness is the share of eq
 
 Search: the digits are cut into ``radius + 2`` blocks.  Two fingerprints that differ in at
 most ``radius`` bits agree in two blocks or more, so a table for every pair of blocks, keyed
-by those two, holds all of them; what meets in a table is compared in full.
+by those two, holds all of them; what meets in a table is compared in full.  The tables hold
+each distinct fingerprint once, so a group of copies of any size is one entry.
 
 ``edited`` compares every document with an edited version and with the next document in
 descending order of ids.  Documents are sorted across the cluster once; each task walks its
@@ -131,14 +132,33 @@ def tables(fingerprints: DataFrame, radius: int) -> DataFrame:
     """All columns and ``key``: one row per table, keyed by the two blocks it puts in front."""
     edges = [round(DIGITS * k / (radius + 2)) for k in range(radius + 3)]
     block = [F.substring("fingerprint", a + 1, b - a) for a, b in zip(edges, edges[1:])]
-    keys = [F.concat(F.lit(f"{i}.{j}."), block[i], block[j]) for i, j in combinations(range(radius + 2), 2)]
+    # A key is a hash: what meets by accident is sorted out by the distance.
+    keys = [F.xxhash64(F.lit(i * DIGITS + j), block[i], block[j]) for i, j in combinations(range(radius + 2), 2)]
     return fingerprints.withColumn("key", F.explode(F.array(*keys)))
 
 
+def packed(fingerprint: Column) -> Column:
+    """The fingerprint as two whole numbers, as it travels in the tables."""
+    return F.struct(*[F.conv(F.substring(fingerprint, k * 16 + 1, 16), 16, -10).cast("long").alias(f"p{k}") for k in range(DIGITS // 16)])
+
+
 def distance(a: Column, b: Column) -> Column:
-    """Number of differing bits of two fingerprints."""
-    part = lambda c, k: F.conv(F.substring(c, k * 8 + 1, 8), 16, 10).cast("long")
-    return sum((F.bit_count(part(a, k).bitwiseXOR(part(b, k))) for k in range(DIGITS // 8)), F.lit(0))
+    """Number of differing bits of two packed fingerprints."""
+    return sum((F.bit_count(a[f"p{k}"].bitwiseXOR(b[f"p{k}"])) for k in range(DIGITS // 16)), F.lit(0))
+
+
+def near_classes(asked: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
+    """asked, found, distance: pairs of distinct fingerprints (column ``fingerprint``) within ``radius`` bits.
+
+    Only hashes of two blocks and the packed fingerprints are shuffled, never ids.
+    """
+    left = tables(asked.select("fingerprint").distinct(), radius).select("key", packed(F.col("fingerprint")).alias("asked"))
+    right = tables(classes.select("fingerprint").distinct(), radius).select("key", packed(F.col("fingerprint")).alias("found"))
+    near = left.join(right, "key").withColumn("distance", distance(F.col("asked"), F.col("found")))
+    text = lambda c: F.lower(F.concat(*[F.lpad(F.hex(F.col(f"{c}.p{k}")), 16, "0") for k in range(DIGITS // 16)]))
+    # Two fingerprints may meet in several tables.
+    pairs = near.where(F.col("distance") <= radius).select("asked", "found", "distance").distinct()
+    return pairs.select(text("asked").alias("asked"), text("found").alias("found"), "distance")
 
 
 def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = 3) -> DataFrame:
@@ -147,13 +167,22 @@ def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = 3)
     Both sides have doc_id and fingerprint.  Equal fingerprints are one class in the tables,
     so a group of copies meets a query once; the answer lists all its members.
     """
-    classes = fingerprints.select("fingerprint").distinct()
-    asked = queries.select(F.col("fingerprint").alias("asked")).distinct()
-    left = tables(asked.withColumnRenamed("asked", "fingerprint"), radius).withColumnRenamed("fingerprint", "asked")
-    near = left.join(tables(classes, radius), "key").withColumn("distance", distance(F.col("asked"), F.col("fingerprint")))
-    pairs = near.where(F.col("distance") <= radius).select("asked", "fingerprint", "distance").distinct()
+    pairs = near_classes(queries, fingerprints, radius).withColumnRenamed("found", "fingerprint")
     return (
         queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("asked"))
         .join(pairs, "asked").join(fingerprints.select("doc_id", "fingerprint"), "fingerprint")
         .select("query_id", "doc_id", "distance")
     )
+
+
+def with_counts(fingerprints: DataFrame, is_query: Column, radius: int = 3) -> DataFrame:
+    """All columns and ``n_within``: how many documents, itself included, lie within ``radius`` bits of a query's fingerprint.
+
+    Null for rows that are no query.  Members of a class are counted, not listed.
+    """
+    sizes = fingerprints.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    pairs = near_classes(fingerprints.where(is_query), sizes, radius)
+    counted = pairs.join(sizes, pairs["found"] == sizes["fingerprint"]).groupBy(F.col("asked").alias("_asked")).agg(
+        F.sum("n").alias("n_within"))
+    asked = F.when(is_query, F.col("fingerprint"))
+    return fingerprints.withColumn("_q", asked).join(counted, F.col("_q") == F.col("_asked"), "left").drop("_q", "_asked")

@@ -400,3 +400,97 @@ def test_many_matches_in_one_text(spark):
         assert found.base_sha256 == brute.sha(listed) and found.n_hex == n
         assert clean.text == " ".join(f"é{k} [secret]" for k in range(n))
     assert took[1] < 20 * took[0] + 20
+
+
+def test_sharding_query(spark):
+    """The registered query: law, checksums, gapless slots, and the edited second version of the map."""
+    import zlib
+    from collections import defaultdict
+
+    texts = {r.doc_id: r.text or "" for r in read(spark, SF, "documents").collect()}
+    rows = queries.op7(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    slots, held, after = defaultdict(list), defaultdict(int), defaultdict(int)
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+        slots[r.shard].append(r.slot)
+        held[r.shard] += r.size
+        after[r.next_shard] += r.size
+    assert set(slots) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    largest, total = max(r.size for r in rows), sum(held.values())
+    assert max(held.values()) - min(held.values()) <= largest and max(after.values()) - min(after.values()) <= 2 * largest
+    moved = sum(r.size for r in rows if r.shard != r.next_shard)
+    assert set(after) == set(range(9)) and total / 9 - largest <= moved <= total / 9 + 9 * largest
+
+
+def test_fingerprint_query(spark):
+    """Fingerprints and likenesses recomputed plainly, and neighbours counted by comparing all."""
+    from collections import Counter
+
+    rows = sorted(((r.doc_id, r.text or "") for r in read(spark, SF, "documents").collect()), reverse=True)
+
+    def plain(text):
+        from lectern.llm import words
+
+        votes, weight = [0.0] * 128, 0.0
+        own = text.encode().lower().split()
+        known = words.WordHash()
+        width = min(2, len(own))
+        terms = Counter(tuple(own[i:i + width]) for i in range(len(own) - width + 1)) if own else {}
+        for term, n in terms.items():
+            lane = words.mix(words.shingles(words.hashes(list(term), known), width)[:, None] ^ simhash._SEEDS)
+            bits = np.unpackbits(np.ascontiguousarray(lane).view(np.uint8))
+            weight += n**0.5
+            votes = [v + n**0.5 * int(b) for v, b in zip(votes, bits)]
+        # Sums of roots have no exact ties: bits that hang on the last digit are left open.
+        sure = np.packbits([abs(2 * v - weight) > 1e-9 for v in votes]).tobytes().hex() if own else "f" * 32
+        return (np.packbits([2 * v > weight for v in votes]).tobytes().hex() if own else "0" * 32), sure
+
+    def agree(found, text):
+        bits, sure = plain(text)
+        return (int(found, 16) ^ int(bits, 16)) & int(sure, 16) == 0
+
+    got = by_id(queries.op4(spark, SF))
+    prints = {}
+    for k, (i, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        n = len(text) // 3
+        changed = text[: len(text) - n] + following[:n]
+        prints[i] = got[i].fingerprint
+        like = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+        r = got[i]
+        assert agree(r.fingerprint, text) and agree(r.edited_fingerprint, changed) and r.edited_sha256 == brute.sha(changed)
+        assert r.near_edited == like(prints[i], r.edited_fingerprint)
+        assert r.near_next == like(prints[i], got[rows[(k + 1) % len(rows)][0]].fingerprint)
+    for i, r in got.items():
+        within = sum((int(prints[i], 16) ^ int(p, 16)).bit_count() <= 3 for p in prints.values())
+        assert r.n_within == (within if i % 50 == 0 else None)
+
+
+def test_families_of_half_similar_texts(spark):
+    """A template family at a similarity of about 0.46: what meets grows with its size, not with the square, and no link is lost."""
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(120)]
+    met = []
+    for n in (150, 300, 600):
+        rows = []
+        for i in range(n):
+            own = list(base)
+            for at in rng.sample(range(120), 13):
+                own[at] = f"x{rng.getrandbits(40)}"
+            rows.append((i, " ".join(own)))
+        # Some real near copies among them.
+        for k in range(0, n, 10):
+            own = rows[k][1].split()
+            own[rng.randrange(120)] = "changed"
+            rows.append((n + k, " ".join(own)))
+        docs = docs_of(spark, rows)
+        if n == 150:
+            got = {i: (r.n_shingles, r.component_id) for i, r in by_id(minhash.groups(docs, 2)).items()}
+            assert got == brute.groups(rows, 2)
+        sets = minhash.rows_of_sets(docs, docs.select(F.col("doc_id").alias("node")), 2)
+        rare = minhash.prefixes(sets, 80).cache()
+        met.append(rare.alias("a").join(rare.alias("b"), "h").where("a.node < b.node").select("a.node", "b.node").distinct().count())
+        rare.unpersist()
+    assert met[1] <= 2.5 * met[0] + 20 and met[2] <= 2.5 * met[1] + 20 and met[2] >= 60
