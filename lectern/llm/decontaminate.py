@@ -76,6 +76,7 @@ NAME, NUMBER, UNIT = "\u0002", "\u0003", "\u0004"
 JOIN = "\u0005"
 # Around a sentence start, in front of the next word.
 START = "\u0006"
+OF_ITEM = ("doc_id", "text_key", "item_id", "n_windows", "n_words", "width")
 #: What identifies a document: its id, or where it has none the digest of its text.
 KEYS = ("doc_id", "text_key")
 
@@ -184,7 +185,7 @@ def _covered(positions: Column, width: Column | int) -> Column:
 
 
 def index(items: DataFrame) -> DataFrame:
-    """item_id, item_at, hash, item_slots, item_starts, width, pieces, n_windows, n_words of the benchmark's telling windows."""
+    """item_id, n_template, item_at, hash, item_slots, item_starts, width, pieces, n_windows, n_words of the benchmark's telling windows."""
     from lectern.llm.store import cut
 
     keyed = items.where("text is not null").withColumn("item_id", F.col("item_id").cast("long"))
@@ -193,7 +194,7 @@ def index(items: DataFrame) -> DataFrame:
     for n in range(LITERAL, WINDOW + 1):
         own = ready.where(F.size("t.hashes") == n if n < WINDOW else F.size("t.hashes") >= WINDOW)
         rows = own.select("item_id", "t", F.explode(_windows(F.col("t"), n, F.lit(1))).alias("w")).select(
-            "item_id", F.col("w.position").alias("item_at"), "w.hash", F.col("w.slots").alias("item_slots"), F.col("w.starts").alias("item_starts"),
+            "item_id", F.size("t.hashes").alias("n_template"), F.col("w.position").alias("item_at"), "w.hash", F.col("w.slots").alias("item_slots"), F.col("w.starts").alias("item_starts"),
             (n - F.when(F.col("w.slots") == "", 0).otherwise(F.size(F.split("w.slots", GAP)))).alias("literal"), F.lit(n).alias("width"),
             (F.array(*[F.xxhash64(F.slice("t.hashes", F.col("w.position") + k, PIECE)) for k in range(STEP)]) if n == WINDOW else
              F.array().cast("array<bigint>")).alias("pieces"))
@@ -243,17 +244,16 @@ def _judged(aligned: DataFrame) -> DataFrame:
     return aligned.select(*KEYS, "item_id", F.size("found").alias("found"), share.alias("share"), kind.alias("kind")).where("kind is not null")
 
 
-def template_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``KEYS``, item_id, found, share, kind of leaks by template windows; ``docs`` has ``KEYS`` and text."""
+def alignments(docs: DataFrame, filed: DataFrame) -> DataFrame:
+    """``KEYS``, item_id, shift, found, same, values of whatever meets; ``docs`` has ``KEYS`` and text, ``filed`` is the index."""
     from lectern.llm.store import cut
 
-    filed = cut(index(items), "benchmark")
     facts = filed.agg(
         F.coalesce(F.sum(F.octet_length("item_slots") + F.octet_length("item_starts") + 48), F.lit(0)).alias("bytes"),
         F.collect_set("width").alias("widths")).first()
     short = sorted(set(facts["widths"]) - {WINDOW})  # at most four numbers
     small = facts["bytes"] <= BROADCAST_BYTES
-    side, pieces = filed.drop("pieces"), filed.select(F.explode("pieces").alias("piece")).distinct()
+    side, pieces = filed.drop("pieces", "n_template"), filed.select(F.explode("pieces").alias("piece")).distinct()
     side, pieces = (F.broadcast(side), F.broadcast(pieces)) if small else (side, pieces)
     known = probe_of(filed.select(F.explode("pieces").alias("piece")), "piece")
     texts = templates(docs, *KEYS)
@@ -264,17 +264,20 @@ def template_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             *[_windows(t, n, F.lit(1)) for n in short]))).alias("w")))
     met = windows.select(*KEYS, F.col("w.position").alias("at"), "w.hash", "w.slots", "w.starts").join(side, "hash")
     equal = (F.col("slots") == F.col("item_slots")) & (F.col("starts") == F.col("item_starts"))
-    of_item = [*KEYS, "item_id", "n_windows", "n_words", "width"]
     # Values that stay the same in one window and change in another also count.
-    aligned = cut(met.groupBy(*of_item, (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    return cut(met.groupBy(*OF_ITEM, (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("found"),
         F.collect_set(F.when(equal, F.col("item_at"))).alias("same"),
         F.array_distinct(F.flatten(F.collect_set(_replaced()))).alias("values")), "aligned")
+
+
+def template_leaks(aligned: DataFrame) -> DataFrame:
+    """``KEYS``, item_id, found, share, kind of leaks by single alignments and by several together."""
     # Shifts within an item's length meet in one of two rows of bands.
     span = F.greatest(F.col("n_words"), F.lit(2 * WINDOW))
     bands = F.array(F.floor(F.col("shift") / span) * 2, F.floor((F.col("shift") + span / 2) / span) * 2 + 1)
     every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    together = aligned.withColumn("band", F.explode(bands)).groupBy(*of_item, "band").agg(
+    together = aligned.withColumn("band", F.explode(bands)).groupBy(*OF_ITEM, "band").agg(
         every("found").alias("found"), every("same").alias("same"), every("values").alias("values"), F.count("*").alias("n")).where("n > 1")
     return _judged(aligned).unionByName(_judged(together))
 
@@ -309,15 +312,14 @@ def whole_items(items: DataFrame) -> DataFrame:
         F.min(F.struct("n", (-F.char_length("pair")).alias("short"), "pair")).alias("best")).select("item_id", "line", F.col("best.pair").alias("anchor"))
 
 
-def whole_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``KEYS``, item_id of documents that hold an item's words whole and in order.
+def whole_leaks(docs: DataFrame, sought: DataFrame) -> DataFrame:
+    """``KEYS``, item_id of documents that hold an item's words whole and in order; ``sought`` as ``whole_items`` gives them.
 
-    A benchmark of a checked size is looked up inside the row; a larger one is joined by
-    anchors, and the texts are joined back for what shares one.
+    Items of a checked size are looked up inside the row; more are joined by anchors, and
+    the texts are joined back for what shares one.
     """
     from lectern.llm.store import cut
 
-    sought = cut(whole_items(items), "whole-items")
     facts = sought.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("line")), F.lit(0)).alias("bytes")).first()
     if not facts["n"]:
         return docs.select(*KEYS, F.lit(0).cast("long").alias("item_id")).limit(0)
@@ -351,12 +353,41 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("text_key"), F.col("text").cast("string").alias("text"))
 
 
+def copied_whole(docs: DataFrame, aligned: DataFrame, sought: DataFrame) -> DataFrame:
+    """``KEYS``, item_id of aligned documents that hold the item's words whole and in order."""
+    from lectern.llm.store import cut
+
+    pairs = cut(aligned.select(*KEYS, "item_id").distinct().join(sought.withColumnRenamed("line", "sought"), "item_id"), "pairs")
+    side = pairs.select(*[F.col(c).alias(f"_{c}") for c in KEYS], "item_id", "sought")
+    side = F.broadcast(side) if pairs.count() <= BROADCAST_ROWS // 10 else side
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("text_key").eqNullSafe(F.col("_text_key"))
+    return docs.join(side, same).where(F.contains(_line(F.col("text")), F.col("sought"))).select(*KEYS, "item_id").distinct()
+
+
 def found_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``KEYS``, item_id, n_windows, share, kind: one row per document and item."""
+    """``KEYS``, item_id, n_windows, share, kind: one row per document and item.
+
+    A whole copy of an item shares every window of it that lies inside, away from its first
+    and last words, whose templates may differ by what stands around them.  So for items with
+    such a window only aligned documents are read again; the other items, short ones or ones of
+    few plain words, are sought in all texts.
+    """
+    from lectern.llm.store import cut
+
     texts = keyed(docs)
-    by_template = template_leaks(texts, items)
-    whole = whole_leaks(texts, items).select(*KEYS, "item_id", F.lit(0).alias("found"), F.lit(1.0).alias("share"), F.lit("copied").alias("kind"))
-    best = by_template.unionByName(whole).groupBy(*KEYS, "item_id").agg(
+    filed = cut(index(items), "benchmark")
+    aligned = alignments(texts, filed)
+    inside = (F.col("width") == WINDOW) & (F.col("item_at") > 2) & (F.col("item_at") + WINDOW - 1 < F.col("n_template"))
+    sought = cut(whole_items(items), "whole-items")
+    # An id that several texts share is sought in all texts, too.
+    single = sought.groupBy("item_id").agg(F.count("*").alias("n")).where("n = 1 and item_id is not null")
+    told = filed.where(inside).select("item_id").distinct().join(single, "item_id", "left_semi")
+    rest = cut(sought.join(told, "item_id", "left_anti"), "untold")
+    whole = copied_whole(texts, aligned, sought.drop("anchor").join(told, "item_id", "left_semi"))
+    if not rest.isEmpty():
+        whole = whole.unionByName(whole_leaks(texts, rest))
+    copies = whole.select(*KEYS, "item_id", F.lit(0).alias("found"), F.lit(1.0).alias("share"), F.lit("copied").alias("kind"))
+    best = template_leaks(aligned).unionByName(copies).groupBy(*KEYS, "item_id").agg(
         F.max("found").alias("found"), F.max("share").alias("share"), F.bool_or(F.col("kind") == "copied").alias("copied"))
     return best.select(
         *KEYS, "item_id", F.col("found").cast("long").alias("n_windows"), "share",

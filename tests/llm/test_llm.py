@@ -365,10 +365,10 @@ def test_large_benchmarks_join_by_anchor(spark, monkeypatch):
     items = spark.createDataFrame([(1, "What is 7 times 8?"), (2, "Paris"), (3, "a b c d e")], "item_id long, text string")
     docs = docs_of(spark, [(1, "what is 7 times 8"), (2, "Hm. Paris!"), (3, "z a b c d e f"), (4, "a b c d")])
     texts = decontaminate.keyed(docs)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.whole_leaks(texts, items).collect()} == {(1, 1), (2, 2), (3, 3)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.whole_leaks(texts, decontaminate.whole_items(items)).collect()} == {(1, 1), (2, 2), (3, 3)}
     monkeypatch.setattr(decontaminate, "ROW_BYTES", 10**6)
     monkeypatch.setattr(decontaminate, "FEW", 0)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.whole_leaks(texts, items).collect()} == {(1, 1), (2, 2), (3, 3)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.whole_leaks(texts, decontaminate.whole_items(items)).collect()} == {(1, 1), (2, 2), (3, 3)}
 
 
 def test_secrets_beside_allowed_words(spark):
