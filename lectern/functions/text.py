@@ -2,6 +2,9 @@
 
 Regular expressions use ``(?U)`` wherever ``\\s``, ``\\b``, ``\\d`` or ``\\w`` must follow
 Unicode rules: without it Java misses the no-break space and accented letters.
+
+The patterns of page marks, headings, verse numbers, identifiers, tokens and scripts are fixed
+values: they are the formats of the documents and decide what the columns mean.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from lectern.functions.unicode import normalise
 
 LANGS = ("zh_hant", "zh_hans", "ja")
 I18N = ("en", *LANGS)
+# Fixed value: what a token is.
 TOKEN_PATTERN = "[a-z]+(?:['-][a-z]+)*"
 
 

@@ -12,6 +12,7 @@ from lectern.operators.sizing import small_side
 LINKS_PER_PART = 1000
 
 
+# The keys of a page's front matter and of its body.
 def _front(ident: Column, title: Column, label: Column, position: Column) -> Column:
     return F.concat(
         F.lit("---\nid: "), ident, F.lit('\ntitle: "'), title, F.lit('"\nsidebar_label: "'), label,
