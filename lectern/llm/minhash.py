@@ -224,14 +224,13 @@ def crossing(met: DataFrame, classes: DataFrame, comps: DataFrame, percent: int,
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
     nodes = cut(placed.join(mixed, "key").select("node", "component").distinct(), "open")
     sets = cut(rows_of_sets(docs, nodes, width), "sets")
-    rare = cut(prefixes(sets, percent).join(nodes, "node"), "prefixes")
-    side = lambda n: rare.select("h", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "component", "n_shingles")])
-    small, large = F.least("n_shingles_u", "n_shingles_v"), F.greatest("n_shingles_u", "n_shingles_v")
-    pairs = side("u").join(side("v"), "h").where((F.col("component_u") < F.col("component_v")) & (100 * small >= percent * large))
-    found = cut(pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), "crossing")
-    sized = lambda n: classes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("n_shingles", "parity")])
-    both = found.join(sized("u"), "u").join(sized("v"), "v")
-    return both.where(_room("n_shingles_u", "n_shingles_v", "parity_u", "parity_v", percent)).select("u", "v").distinct()
+    known = nodes.join(classes.select("node", "set_key", F.col("n_shingles").alias("size"), "parity"), "node")
+    rare = prefixes(sets, percent).join(known.withColumnRenamed("set_key", "class"), "node").where("n_shingles = size").drop("size")
+    side = lambda n: rare.select("h", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "component", "n_shingles", "parity")])
+    # Sizes and parities decide where two rows meet, so only what may be linked goes on.
+    pairs = side("u").join(side("v"), "h").where(
+        (F.col("component_u") < F.col("component_v")) & _room("n_shingles_u", "n_shingles_v", "parity_u", "parity_v", percent))
+    return pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
 
 
 def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
