@@ -466,31 +466,3 @@ def test_fingerprint_query(spark):
     for i, r in got.items():
         within = sum((int(prints[i], 16) ^ int(p, 16)).bit_count() <= 3 for p in prints.values())
         assert r.n_within == (within if i % 50 == 0 else None)
-
-
-def test_families_of_half_similar_texts(spark):
-    """A template family at a similarity of about 0.46: what meets grows with its size, not with the square, and no link is lost."""
-    rng = random.Random(21)
-    base = [f"w{k}" for k in range(120)]
-    met = []
-    for n in (150, 300, 600):
-        rows = []
-        for i in range(n):
-            own = list(base)
-            for at in rng.sample(range(120), 13):
-                own[at] = f"x{rng.getrandbits(40)}"
-            rows.append((i, " ".join(own)))
-        # Some real near copies among them.
-        for k in range(0, n, 10):
-            own = rows[k][1].split()
-            own[rng.randrange(120)] = "changed"
-            rows.append((n + k, " ".join(own)))
-        docs = docs_of(spark, rows)
-        if n == 150:
-            got = {i: (r.n_shingles, r.component_id) for i, r in by_id(minhash.groups(docs, 2)).items()}
-            assert got == brute.groups(rows, 2)
-        sets = minhash.rows_of_sets(docs, docs.select(F.col("doc_id").alias("node")), 2)
-        rare = minhash.prefixes(sets, 80).cache()
-        met.append(rare.alias("a").join(rare.alias("b"), "h").where("a.node < b.node").select("a.node", "b.node").distinct().count())
-        rare.unpersist()
-    assert met[1] <= 2.5 * met[0] + 20 and met[2] <= 2.5 * met[1] + 20 and met[2] >= 60
