@@ -184,5 +184,6 @@ def with_counts(fingerprints: DataFrame, is_query: Column, radius: int = 3) -> D
     pairs = near_classes(fingerprints.where(is_query), sizes, radius)
     counted = pairs.join(sizes, pairs["found"] == sizes["fingerprint"]).groupBy(F.col("asked").alias("_asked")).agg(
         F.sum("n").alias("n_within"))
-    asked = F.when(is_query, F.col("fingerprint"))
-    return fingerprints.withColumn("_q", asked).join(counted, F.col("_q") == F.col("_asked"), "left").drop("_q", "_asked")
+    asked = fingerprints.where(is_query).join(counted, F.col("fingerprint") == F.col("_asked"), "left").drop("_asked")
+    # Other rows have nothing to join: they do not meet under a null key.
+    return asked.unionByName(fingerprints.where(~is_query).withColumn("n_within", F.lit(None).cast("long")))
