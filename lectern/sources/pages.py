@@ -32,7 +32,7 @@ def render_chapters(chapters: DataFrame, books: DataFrame, slices: DataFrame | N
     )
     if slices is not None:
         rows = rows.join(slices, rows["id"] == slices["chapter_id"], "left")
-        glossary = F.coalesce(F.to_json("glossary"), F.lit("{}"))
+        glossary = F.coalesce(slice_json(F.col("glossary")), F.lit("{}"))
     else:
         glossary = F.lit("{}")
     payload = F.to_json(
@@ -55,15 +55,29 @@ def render_chapters(chapters: DataFrame, books: DataFrame, slices: DataFrame | N
 
 
 def slice_maps(edges: DataFrame, terms: DataFrame) -> DataFrame:
-    """(chapter_id, glossary map headword -> {translit, slug}) from (chapter_id, slug)."""
-    entries = edges.join(terms.select("slug", "term", "translit"), "slug")
+    """(chapter_id, glossary entries of (headword, {translit, slug})) from (chapter_id, slug).
+
+    Entries go by headword, those that share one in dictionary order.  They are a list and no
+    map, since a headword that several terms share is no key; none of them is dropped.
+    """
+    entries = edges.join(terms.select("slug", "term", "translit", "position"), "slug")
     return entries.groupBy("chapter_id").agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("term", F.struct("translit", "slug").alias("v"))))
+        F.array_sort(
+            F.collect_list(F.struct("term", "position", F.struct("translit", "slug").alias("v")))
         ).alias("glossary")
     )
 
 
+def slice_json(glossary: Column) -> Column:
+    """Glossary entries as the text of one JSON object, headword by headword."""
+
+    def member(e: Column) -> Column:
+        whole = F.to_json(F.create_map(e["term"], e["v"]))
+        return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(glossary, member), ","), F.lit("}"))
+
+
 def quote(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "(?m)^", "> ")
 

@@ -182,6 +182,22 @@ def test_pages(spark, corpus):
     assert spark.read.parquet(str(corpus / "pages")).count() == 3
 
 
+def test_terms_that_share_a_headword_stay_in_the_slice(spark, corpus):
+    ch = FS.read_chapters(spark, str(corpus / "books")).drop("path")
+    books = spark.createDataFrame([("b", "Book B", 0)], "slug string, title string, position int")
+    kind = "slug string, term string, translit struct<zh_hant:string,ja:string>, position int"
+    terms = spark.createDataFrame([("t9", "El", ("甲", None), 2), ("t10", "El", ("乙", "ア"), 1), ("t1", "Abram", ("丙", None), 3)], kind)
+    edges = spark.createDataFrame([("b.1", slug) for slug in ("t9", "t1", "t10")], "chapter_id string, slug string")
+    pages = {r.path: r.body for r in P.render_chapters(ch, C.number_books(ch, books), P.slice_maps(edges, terms)).collect()}
+    own = pages["b/01"].split("\nglossary: ")[1].split("\n")[0]
+    assert json.loads(own, object_pairs_hook=list) == [
+        ("Abram", [("translit", [("zh_hant", "丙")]), ("slug", "t1")]),
+        ("El", [("translit", [("zh_hant", "乙"), ("ja", "ア")]), ("slug", "t10")]),
+        ("El", [("translit", [("zh_hant", "甲")]), ("slug", "t9")]),
+    ]
+    assert "\nglossary: {}\n" in pages["b/10"]
+
+
 def book_digest(sha, chapters):
     """The tree over four, two and no hash digits of the chapter keys, in plain Python."""
     level = {k: (sha(k), sha(d)) for k, d in ((f"chapter\x01{n}", d) for n, d in chapters.items())}
