@@ -8,7 +8,10 @@ in an exact join.  Text that matches nothing is dropped where it lies, before it
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +73,54 @@ class Listed:
         return F.slice(self.values, start + 1, end - start)
 
 
+#: Entries, and characters of all and of one entry, up to which a tree pattern is made.
+MOST_BRANCHED, MOST_TREE, LONGEST_BRANCH = 5_000, 200_000, 500
+
+
+def listed_entries(entries: DataFrame, column: str) -> list[str] | None:
+    """The distinct filled strings of ``column`` in order; None when a tree of them gets too large."""
+    known = entries.select(F.col(column).alias("_e")).where(F.col("_e") != "").distinct()
+    out = sorted(r["_e"] for r in known.limit(MOST_BRANCHED + 1).collect())
+    small = len(out) <= MOST_BRANCHED and sum(map(len, out)) <= MOST_TREE and max(map(len, out), default=0) <= LONGEST_BRANCH
+    return out if small else None
+
+
+def tree_pattern(entries: list[str]) -> str:
+    """Java pattern of the longest entry that stands at a place.
+
+    Entries share what they have in common at the start, so a place is tried with one
+    character of few branches, not with every entry.  Of the entries at a place, all others
+    are the start of the longest (see :func:`starts_of`).
+    """
+    literal = lambda s: "".join(c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}" for c in s)
+
+    def branch(own: list[str], at: int) -> str:
+        ends = len(own[0]) == at
+        ways = []
+        for first, more in itertools.groupby(own[ends:], key=lambda e: e[at]):
+            part = list(more)
+            head = len(os.path.commonprefix([part[0], part[-1]]))
+            ways.append((literal(first), literal(part[0][at:head]) + branch(part, head)))
+        if not ways:
+            return ""
+        width = max(6, math.isqrt(len(ways)))
+        if len(ways) > width:  # a class of first characters leads to each bundle of branches
+            bundles = [ways[k : k + width] for k in range(0, len(ways), width)]
+            ways = [(None, f"(?=[{''.join(c for c, _ in b)}])(?:{'|'.join(w for _, w in b)})") for b in bundles]
+        return f"(?:{'|'.join(w for _, w in ways)})" + "?" * ends
+
+    return branch(sorted(set(entries)), 0)
+
+
+def starts_of(entries: list[str], end: str = "") -> list[tuple[str, str]]:
+    """(entry, another that it starts with, or itself); in the entry ``end`` follows the other."""
+    known = set(entries)
+    return [
+        (whole, whole[:n]) for whole in known for n in range(1, len(whole) + 1)
+        if whole[:n] in known and (n == len(whole) or whole.startswith(end, n))
+    ]
+
+
 def listed(spark: SparkSession, filed: dict[str, list[int]]) -> Listed:
     """A :class:`Listed` of a dictionary whose size the caller has checked."""
     slots = 64

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.probe import MOST_ENTRIES, listed, probe_of, strings
+from lectern.functions.probe import MOST_ENTRIES, listed, listed_entries, probe_of, starts_of, strings, tree_pattern
 from lectern.functions.text import (
     LANGS,
     is_filled,
@@ -76,8 +76,11 @@ _GAP = r"(?U)\W+"
 
 
 def _folded(text: Column) -> Column:
-    """Equal for all texts that a pattern takes for equal in any case."""
-    return F.lower(F.upper(text))
+    """Equal for all texts that a pattern takes for equal in any case, character by character.
+
+    Only the final sigma would depend on what follows it.
+    """
+    return F.replace(F.lower(F.upper(text)), F.lit("ς"), F.lit("σ"))
 
 
 def _term_key(term: Column) -> Column:
@@ -104,9 +107,13 @@ def word_edges(records: DataFrame, text: str, keys: Sequence[str], terms: DataFr
     """
     named = terms.select("slug", "term").where(F.col("term").isNotNull())
     by_word = named.where(F.rlike("term", F.lit(r"(?U)^\w")))
+    others = named.where(~F.rlike("term", F.lit(r"(?U)^\w")))
+    entries = listed_entries(by_word.select(_folded(F.col("term")).alias("t")), "t")
+    if entries:
+        found = _placed_words(records, text, keys, by_word, entries)
+        return _with_others(found, records, text, keys, others)
     shape = by_word.agg(F.collect_set(F.length("term")).alias("lengths")).first()
     lengths = sorted(shape["lengths"])
-    others = named.where(~F.rlike("term", F.lit(r"(?U)^\w")))
     found = None
     if lengths:
         width = min(HEAD, lengths[0])
@@ -124,6 +131,27 @@ def word_edges(records: DataFrame, text: str, keys: Sequence[str], terms: DataFr
         side = small_side(by_word.select("slug", "term", _folded(F.col("term")).alias("_key")))
         pattern = F.concat(F.lit("(?iU)^"), quote_pattern(F.col("term")), F.lit(r"\b"))
         found = placed.join(side, "_key").where(F.rlike("_at", pattern)).select(*keys, "slug")
+    return _with_others(found, records, text, keys, others)
+
+
+def _placed_words(records: DataFrame, text: str, keys: Sequence[str], terms: DataFrame, entries: list[str]) -> DataFrame:
+    """The same for terms that start with a word, found by one pattern over the folded text.
+
+    At each place where a word starts the pattern takes the longest folded term; shorter ones
+    at this place are its starts.  What stands in the folded text leaves the row together with
+    the text, in which the term's own pattern is checked.
+    """
+    pattern = rf"(?U)\b(?=({tree_pattern(entries)}))"
+    met = F.array_distinct(F.regexp_extract_all(_folded(F.col(text)), F.lit(pattern), F.lit(1)))
+    placed = records.select(*keys, F.col(text).alias("_text"), once(met).alias("_met")).where(F.size("_met") > 0).select(
+        *keys, "_text", F.explode("_met").alias("_long"))
+    starts = terms.sparkSession.createDataFrame(starts_of(entries), "_long string, _key string")
+    side = small_side(starts.join(terms.select("slug", "term", _folded(F.col("term")).alias("_key")), "_key").select("_long", "slug", "term"))
+    return placed.join(side, "_long").where(F.rlike("_text", word_pattern(F.col("term")))).select(*keys, "slug")
+
+
+def _with_others(found: DataFrame | None, records: DataFrame, text: str, keys: Sequence[str], others: DataFrame) -> DataFrame:
+    """Distinct edges, with those of terms that start with a sign."""
     if found is None or not others.isEmpty():
         lower = F.lower(F.col(text))
         cut = F.array_distinct(F.concat(
@@ -161,6 +189,9 @@ def rendering_edges(
     renderings = terms.select(
         "slug", F.explode(F.array(*[F.col(f"translit.{lang}") for lang in LANGS])).alias("_r")
     ).where(is_filled(F.col("_r"))).distinct()
+    tree = listed_entries(renderings, "_r")
+    if tree:
+        return _standing(records, text, keys, renderings, tree)
     every = sorted(r["_r"] for r in renderings.select("_r").distinct().limit(MOST_ENTRIES + 1).collect())
     side = small_side(renderings)
     filled = records.where(is_filled(F.col(text)))
@@ -187,6 +218,16 @@ def rendering_edges(
     return hits.join(side, "_r").select(*keys, "slug").dropDuplicates([*keys, "slug"])
 
 
+def _standing(records: DataFrame, text: str, keys: Sequence[str], renderings: DataFrame, entries: list[str]) -> DataFrame:
+    """The same by one pattern: it takes the longest rendering at every place, and those it starts with stand there too."""
+    found = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=({tree_pattern(entries)}))"), F.lit(1))
+    hits = records.where(is_filled(F.col(text))).select(*keys, once(F.array_distinct(found)).alias("_met")).select(
+        *keys, F.explode("_met").alias("_long"))
+    starts = records.sparkSession.createDataFrame(starts_of(entries), "_long string, _r string")
+    side = small_side(starts.join(renderings, "_r").select("_long", "slug").distinct())
+    return hits.join(side, "_long").select(*keys, "slug").dropDuplicates([*keys, "slug"])
+
+
 def _windowed(filled: DataFrame, text: str, keys: Sequence[str], side: DataFrame) -> DataFrame:
     """The same for a dictionary too large to probe: every substring of a known length is joined."""
     lengths = sorted(r.n for r in side.select(F.length("_r").alias("n")).distinct().collect())

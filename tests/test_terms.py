@@ -212,3 +212,40 @@ def test_records_and_scope_text(spark):
     text = ch.select(C.text_of(ch, ["en"]).alias("a"), C.text_of(ch, ["en"], lambda v: v["verse_number"] == 2).alias("b"),
                      C.text_of(ch, ["zh_hant", "zh_hans", "ja"]).alias("c")).head()
     assert tuple(text) == ("pre\none\nCap\ntwo", "pre\ntwo", "序\n一\n圖")
+
+
+def test_tree_pattern_takes_the_longest_entry():
+    import random
+    import re
+
+    from lectern.functions.probe import starts_of, tree_pattern
+
+    rng = random.Random(3)
+    entries = sorted({"".join(rng.choices("abcdefghij. 譯", k=rng.randint(1, 4))) for _ in range(150)})
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), tree_pattern(entries)))
+    for _ in range(300):
+        text = "".join(rng.choices("abcdefghij. 譯", k=8))
+        here = [e for e in entries if text.startswith(e)]
+        found = pattern.match(text)
+        assert (found and found[0]) == (max(here, key=len) if here else None)
+        if here:
+            assert sorted(e for whole, e in starts_of(entries) if whole == found[0]) == sorted(here)
+
+
+def test_words_and_renderings_are_found_by_one_pattern(spark):
+    """Terms that start with each other, in any case; no step per word or place of the text."""
+    texts = ["The Lord GOD's god-son, ΟΔΟΣ'α Οδος straße.", "Lords of the lord of", "STRASSE x.y xzy X.Y", None, ""]
+    records = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    names = ["lord", "Lord of", "lord of the", "god", "god-son", "οδος", "straße", "x.y", "'s"]
+    kind = "slug string, term string, translit struct<zh_hant:string,zh_hans:string,ja:string>"
+    terms = spark.createDataFrame([(n, n, (n[:1], n[:2], None)) for n in names], kind)
+    words = T.word_edges(records, "text", ["id"], terms)
+    # The term's own pattern over whole texts.
+    every = records.crossJoin(terms).where(F.rlike("text", T.word_pattern(F.col("term")))).select("id", "slug")
+    assert rows(words, "id", "slug") == rows(every) and words.count() == 9
+    found = T.rendering_edges(records, "text", ["id"], terms)
+    assert rows(found, "id", "slug") == sorted(
+        {(i, n) for i, t in enumerate(texts) for n in names if t and (n[:1] in t or n[:2] in t)}, key=repr)
+    words = T.word_edges(records, "text", ["id"], terms.where("slug like '_o%'"))
+    plan = words._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
