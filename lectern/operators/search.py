@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.probe import probe_of
-from lectern.functions.text import LANGS, is_filled, once, tokenize
+from lectern.functions.probe import listed_entries, probe_of, tree_pattern
+from lectern.functions.text import LANGS, TOKEN_PATTERN, is_filled, tokenize
+from lectern.functions.unicode import normalise
 from lectern.operators.ordered import number_sorted
 from lectern.operators.sizing import small_side
 from lectern.session import cut_lineage
@@ -17,7 +20,8 @@ CJK = "[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{f
 
 def cjk_bigrams(text: Column) -> Column:
     """Character pairs of every CJK run; a run of one character stands for itself."""
-    runs = F.regexp_extract_all(text, F.lit(f"{CJK}+"), F.lit(0))
+    # The one range in front passes quickly over all other text.
+    runs = F.regexp_extract_all(text, F.lit(f"(?=[\\x{{3040}}-\\x{{2ffff}}]){CJK}+"), F.lit(0))
 
     def pairs(run: Column) -> Column:
         several = F.transform(
@@ -35,31 +39,37 @@ def search_tokens(text: Column, lang: str | None = None) -> Column:
     return tokenize(text)
 
 
+def _asked_tokens(text: Column, asked: list[str]) -> Column:
+    """Those of the English tokens of a text that are listed, found in place by one pattern."""
+    own = [t for t in asked if re.fullmatch(TOKEN_PATTERN, t)]
+    if not own:
+        return F.array().cast("array<string>")
+    # A token starts and ends where the token pattern would start and end it.
+    pattern = f"(?<![a-z])(?<![a-z]['-])({tree_pattern(own)})(?![a-z])(?!['-][a-z])"
+    return F.regexp_extract_all(normalise(text), F.lit(pattern), F.lit(1))
+
+
 def build_index(
     records: DataFrame, text: str, keys: list[str], lang: str | None = None, only: DataFrame | None = None
 ) -> DataFrame:
     """(token, keys, tf): counted inside the row, so building the index needs no shuffle.
 
-    The row's tokens are sorted; a token's count is the length of its run.  With ``only``, a
-    table of tokens, no other token is sorted or leaves its row.
+    The row's tokens are sorted and joined; a pattern cuts the line into runs of one token,
+    and a token's count is the length of its run.  With ``only``, a table of tokens, no other
+    token is sorted or leaves its row.
     """
-    tokens = search_tokens(F.col(text), lang)
-    if only is not None:
-        known = probe_of(only, "token")
-        tokens = F.filter(tokens, lambda t: known(t))
-    rows = records.select(*keys, once(F.array_sort(tokens)).alias("_sorted"))
-    starts = F.filter(
-        F.transform("_sorted", lambda t, i: F.when((i == 0) | (t != F.get("_sorted", i - 1)), i)), lambda i: i.isNotNull()
-    )
-    runs = rows.select(*keys, "_sorted", once(starts).alias("_starts"))
-    counted = F.transform(
-        "_starts",
-        lambda i, k: F.struct(
-            F.get("_sorted", i).alias("token"),
-            (F.coalesce(F.get("_starts", k + 1), F.size("_sorted")) - i).cast("bigint").alias("tf"),
-        ),
-    )
-    postings = runs.select(*keys, F.explode(counted).alias("_t")).select("_t.token", *keys, "_t.tf")
+    asked = None if only is None or lang in LANGS else listed_entries(only, "token")
+    if asked is not None:
+        tokens = _asked_tokens(F.col(text), asked)
+    else:
+        tokens = search_tokens(F.col(text), lang)
+        if only is not None:
+            known = probe_of(only, "token")
+            tokens = F.filter(tokens, lambda t: known(t))
+    line = F.concat(F.array_join(F.sort_array(tokens), " "), F.lit(" "))
+    runs = records.select(*keys, F.explode(F.regexp_extract_all(line, F.lit(r"(\S+ )\1*"), F.lit(0))).alias("_run"))
+    token = F.substring_index("_run", " ", 1)
+    postings = runs.select(token.alias("token"), *keys, F.expr("length(_run) div (length(substring_index(_run, ' ', 1)) + 1)").alias("tf"))
     return postings if only is None else postings.join(small_side(only.select("token").distinct()), "token", "left_semi")
 
 
@@ -77,11 +87,14 @@ def write_index(index: DataFrame, root: str, buckets: int = 64) -> None:
     """
     placed = index.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).withColumn(
         "block", F.floor(F.col("chapter") / BLOCK))
-    blocks = placed.groupBy("bucket", "token", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"))
-    # A bucket holds a hot token's postings in as many files as there are ranges of them.
-    postings = placed.repartitionByRange("bucket", "token", "block", "chapter_id", "ord").sortWithinPartitions("bucket", "token", "block")
+    # Adaptive execution cuts a large bucket into several files; unlike ranges it needs no sample,
+    # for which the index would be built twice.
+    postings = placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", "block")
     postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
-    blocks.repartitionByRange("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/blocks")
+    written = index.sparkSession.read.parquet(f"{root}/postings").withColumn("bucket", F.col("bucket").cast("bigint"))
+    blocks = written.groupBy("bucket", "token", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"))
+    blocks.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy(
+        "bucket").parquet(f"{root}/blocks")
 
 
 def read_index(spark: SparkSession, root: str, wanted: DataFrame, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -161,13 +174,15 @@ def search(
     (token, df) of a stored index saves counting them.
     """
     wanted = query_tokens(queries, lang)
-    side = small_side(wanted)
-    hits = index.join(side, "token")
     # How many verses hold each word asked for: partial counts per task, one row per word.
     if frequency is None:
+        # Read twice, so that the text is walked once: the postings asked for are small beside it.
         asked = small_side(wanted.select("token").distinct())
-        frequency = index.join(asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighted = hits.join(frequency, "token")
+        index = cut_lineage(index.join(asked, "token", "left_semi"))
+        frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # A word's queries and count meet first, so that no posting is shuffled by its word.
+    side = small_side(cut_lineage(wanted.join(frequency, "token")))
+    weighted = index.join(side, "token")
     scored = weighted.groupBy("query_id", *keys).agg(
         F.count(F.lit(1)).alias("_n"), F.max("k").alias("_k"),
         F.sum(F.col("tf") * F.log1p(F.lit(1.0) / F.col("df"))).alias("_score"),

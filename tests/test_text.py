@@ -93,3 +93,25 @@ def test_normalise_equals_python(spark, seed):
 @given(st.lists(st.text(max_size=12).filter(lambda s: not re.search("[\ud800-\udfff]", s)), min_size=40, max_size=60))
 def test_normalise_random(spark, texts):
     assert apply(spark, texts, normalise) == [fold(t) for t in texts]
+
+
+def test_index_counts_tokens_by_patterns(spark):
+    """Counts, asked words and character pairs, as plain Python has them; no step per token."""
+    import re
+    from collections import Counter
+
+    from lectern.functions.unicode import slow_path_pattern
+    from lectern.operators import search as Q
+
+    token = re.compile("[a-z]+(?:['-][a-z]+)*")
+    texts = ["The the cat's cat-nap, a-'b a'b a ab AB ’tis", "b--a'b'c' ab- -ab cat's", "", None, "譯文本 ア the x譯y 𠀀𠀁文"]
+    records = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    counts = {(t, i): n for i, x in enumerate(texts) for t, n in Counter(token.findall((x or "").lower().replace("’", "'"))).items()}
+    every = Q.build_index(records, "text", ["id"])
+    assert {(r.token, r.id): r.tf for r in every.collect()} == counts
+    asked = spark.createDataFrame([(w,) for w in ("a", "ab", "a'b", "cat", "cat's", "the", "-", "zz")], "token string")
+    some = Q.build_index(records, "text", ["id"], only=asked)
+    assert {(r.token, r.id): r.tf for r in some.collect()} == {k: n for k, n in counts.items() if k[0] in ("a", "ab", "a'b", "cat", "cat's", "the")}
+    assert records.where("id = 4").select(Q.cjk_bigrams(F.col("text")).alias("p")).first().p == ["譯文", "文本", "ア", "譯", "𠀀𠀁", "𠀁文"]
+    plan = every._jdf.queryExecution().optimizedPlan().toString() + some._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "[^" not in slow_path_pattern()
