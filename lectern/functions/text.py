@@ -222,8 +222,8 @@ def is_filled(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """Null, '' or white space only."""
-    return squeeze_ends(F.coalesce(text, F.lit(""))) == ""
+    """Null, '' or white space only: the first other character settles it."""
+    return ~F.rlike(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S"))
 
 
 # --- digests --------------------------------------------------------------------------

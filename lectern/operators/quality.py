@@ -19,7 +19,8 @@ from lectern.functions.text import (
 )
 from lectern.operators.joins import coverage_diff, order_mismatch
 from lectern.operators.merge import BASE_SOURCE, OVERLAY_SOURCE
-from lectern.operators.terms import token_edges
+from lectern.operators.sizing import small_side
+from lectern.operators.terms import token_runs
 
 # Required keys and allowed values of the documents.
 BOOK_FIELDS = ("slug", "title", "chapter_count")
@@ -345,26 +346,27 @@ def check_locks(
     """Every term standing in the English must be rendered as locked, per language.
 
     ``records`` has (chapter_id, label, en, zh_hant, zh_hans, ja).  The translations ride
-    along with the token runs, so nothing large is joined back.
+    along with the token runs and are judged there, so nothing large is joined back or shuffled.
     """
-    edges = token_edges(
-        records, "en", ["chapter_id", "label"], forms, carried=list(LANGS)
-    )
+    runs = token_runs(records, "en", ["chapter_id", "label"], forms, carried=list(LANGS))
     locked = terms.select("slug", F.col("term").alias("_term"), F.col("translit").alias("_tl"))
-    checks = edges.join(locked, "slug").select(
+    checks = runs.join(small_side(locked), "slug").select(
         "chapter_id", "label", "slug", "_term",
         F.explode(F.array(*[
             F.struct(F.lit(x).alias("lang"), F.col(f"_tl.{x}").alias("want"), F.col(x).alias("got"))
             for x in LANGS
         ])).alias("c"),
     )
+    # A term may stand in a text several times and in several forms: one violation per language.
     return checks.where(
         is_filled(F.col("c.want"))
         & ~F.contains(F.coalesce(F.col("c.got"), F.lit("")), F.col("c.want"))
     ).select(
+        "chapter_id", "label", "slug", "_term", F.col("c.lang").alias("lang"), F.col("c.want").alias("want")
+    ).dropDuplicates().select(
         F.lit("result.lock").alias("rule"), F.col("chapter_id").alias("path"),
         F.col("label").alias("id"),
-        F.concat(F.col("c.lang"), F.lit(" missing "), F.col("_term"), F.lit("→"), F.col("c.want")).alias("detail"),
+        F.concat("lang", F.lit(" missing "), "_term", F.lit("→"), "want").alias("detail"),
     )
 
 

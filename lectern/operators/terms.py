@@ -48,7 +48,18 @@ def token_edges(
     forms: DataFrame,
     carried: Sequence[str] = (),
 ) -> DataFrame:
-    """Distinct (keys, slug) where a form occurs as a contiguous token run of the text.
+    """Distinct (keys, slug) where a form occurs as a contiguous token run of the text."""
+    return token_runs(records, text, keys, forms, carried).dropDuplicates([*keys, "slug"])
+
+
+def token_runs(
+    records: DataFrame,
+    text: str,
+    keys: Sequence[str],
+    forms: DataFrame,
+    carried: Sequence[str] = (),
+) -> DataFrame:
+    """The same, once for each form of a term that stands in a text.
 
     A run starts where the probe knows its first word, and only runs that the probe knows
     whole, of lengths that occur in the dictionary, leave the row.  ``carried`` columns ride
@@ -68,7 +79,7 @@ def token_edges(
 
     grams = tokens.select(*keys, *carried, F.explode(F.array_distinct(F.flatten(F.transform(places, runs)))).alias("_gram"))
     side = small_side(forms.select("slug", F.col("form").alias("_gram")).distinct())
-    return grams.join(side, "_gram").drop("_gram").dropDuplicates([*keys, "slug"])
+    return grams.join(side, "_gram").drop("_gram")
 
 
 _WORD = r"(?U)\w+"

@@ -7,20 +7,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import LANGS, caption_key, is_blank, is_filled
-from lectern.operators import corpus as C
+from lectern.functions.text import LANGS, caption_key, is_blank, is_filled, once
 from lectern.operators import fingerprint as FP
 from lectern.operators import quality as K
 from lectern.operators.merge import results_by_position
-from lectern.operators.sizing import small_side
+from lectern.operators.sizing import small_ids
 from lectern.operators.terms import term_forms
 from lectern.session import cut_lineage
 
 
+def _ids(verses: str) -> Column:
+    return F.transform(verses, lambda v: v["id"])
+
+
 def _pairs(chapters: DataFrame, results: DataFrame) -> DataFrame:
-    """One row per result: its columns, and the source chapter as ``src``."""
-    heads = chapters.select(F.col("id").alias("chapter_id"), F.struct("id", "book", "chapter", "preamble", "verses").alias("src"))
-    return results.drop("book", "chapter").join(heads, "chapter_id")
+    """One row per result with what the cheap rules read of it and of its source chapter.
+
+    Both sides meet without their running text: ids, caption keys, preamble and captions.  The
+    lists of ids stay only where they differ, so the row is small and is kept for all rules.
+    """
+    none = F.array().cast("array<string>")
+
+    def keys(v: Column) -> Column:
+        return F.coalesce(F.array_compact(F.transform(
+            v["images"], lambda im, k: F.when(is_filled(im["caption"]["en"]), caption_key(v["id"], k)))), none)
+
+    source = chapters.select(
+        F.col("id").alias("chapter_id"), is_filled(F.col("preamble.en")).alias("_prefaced"), _ids("verses").alias("_want"),
+        F.flatten(F.transform("verses", keys)).alias("wanted"))
+    given = results.select("chapter_id", "preamble", "captions", _ids("verses").alias("_got"))
+    differ = ~F.col("_want").eqNullSafe(F.col("_got"))
+    return given.join(source, "chapter_id").select(
+        "chapter_id", "preamble", "captions", "_prefaced", "wanted", differ.alias("_differ"),
+        *[F.when(differ, F.col(c)).alias(c) for c in ("_want", "_got")])
+
+
+def _placed_ids(pairs: DataFrame, ids: str) -> DataFrame:
+    rows = pairs.select("chapter_id", F.posexplode(ids).alias("_i", "verse_id"))
+    return rows.select("chapter_id", (F.col("_i") + 1).alias("ord"), "verse_id")
 
 
 def _found(rule: str, ident: Column, detail: Column) -> Column:
@@ -32,16 +56,11 @@ def _in_row(pairs: DataFrame) -> DataFrame:
     kind = "array<struct<rule:string,path:string,id:string,detail:string>>"
     blank = lambda holder, x: is_blank(holder[x])
     preamble = [
-        F.when(is_filled(F.col("src.preamble.en")) & blank(F.col("preamble"), x), _found("result.preamble", F.lit("preamble"), F.lit(f"missing {x}")))
+        F.when(F.col("_prefaced") & blank(F.col("preamble"), x), _found("result.preamble", F.lit("preamble"), F.lit(f"missing {x}")))
         for x in LANGS
     ]
     none = F.array().cast("array<string>")
-
-    def keys(v: Column) -> Column:
-        return F.coalesce(F.array_compact(F.transform(
-            v["images"], lambda im, k: F.when(is_filled(im["caption"]["en"]), caption_key(v["id"], k)))), none)
-
-    wanted = F.flatten(F.transform("src.verses", keys))
+    wanted = F.col("wanted")
     given = F.coalesce(F.transform("captions", lambda c: c["cap_idx"]), none)
     missing = F.transform(F.array_except(wanted, given), lambda k: _found("caption.missing", k, F.lit("")))
     extra = F.transform(F.array_except(given, wanted), lambda k: _found("caption.extra", k, F.lit("")))
@@ -54,12 +73,11 @@ def _in_row(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(every).alias("v")).select("v.*")
 
 
-def _cheap(chapters: DataFrame, results: DataFrame, pairs: DataFrame, terms: DataFrame, snapshots: DataFrame, manifests: DataFrame) -> DataFrame:
+def _cheap(results: DataFrame, pairs: DataFrame, terms: DataFrame, snapshots: DataFrame, manifests: DataFrame) -> DataFrame:
     """Violations of every rule but the locks."""
     received = results_by_position(results)
-    ids = lambda verses: F.transform(verses, lambda v: v["id"])
     # Ids are only unnested where the two lists differ.
-    differ = pairs.where(~ids(F.col("src.verses")).eqNullSafe(ids(F.col("verses"))))
+    differ = pairs.where("_differ")
     stale = FP.stale_bindings(results, snapshots, manifests)
     flags = ["version_mismatch", "snapshot_stale", "binding_changed"]
     bound = stale.select(
@@ -70,7 +88,7 @@ def _cheap(chapters: DataFrame, results: DataFrame, pairs: DataFrame, terms: Dat
     )
     return reduce(DataFrame.unionByName, [
         _in_row(pairs),
-        K.check_result_ids(C.verses_of(differ.select("src.*")), results_by_position(differ)),
+        K.check_result_ids(_placed_ids(differ, "_want"), _placed_ids(differ, "_got")),
         K.check_returned_verses(received),
         K.check_tags(received, terms),
         K.check_unknown_terms(results),
@@ -87,9 +105,8 @@ def validate_results(
     all three kinds of text, and the binding to snapshot and source.  A chapter passes when
     it has a result and no row here.
     """
-    pairs = _pairs(chapters, results)
-    return _cheap(chapters, results, pairs, terms, snapshots, manifests).unionByName(
-        K.check_locks(paired_records(pairs.select("src.*"), results), terms, term_forms(terms)))
+    return _cheap(results, cut_lineage(_pairs(chapters, results)), terms, snapshots, manifests).unionByName(
+        K.check_locks(paired_records(chapters, results), terms, term_forms(terms)))
 
 
 def refused(
@@ -98,37 +115,51 @@ def refused(
     """Ids of the chapters whose result breaks any rule.
 
     Locked renderings, the one rule that walks all text, are only checked where no other
-    rule has refused the chapter.
+    rule has refused the chapter.  Ids decide which results and chapters are read for it, so
+    text that no rule asks for stays where it lies.
     """
-    early = cut_lineage(_cheap(chapters, results, _pairs(chapters, results), terms, snapshots, manifests).select(
-        F.col("path").alias("chapter_id")).distinct())
-    side = small_side(early)
-    left = results.join(side, "chapter_id", "left_anti")
-    asked = _pairs(chapters, left).select("src.*")
+    pairs = cut_lineage(_pairs(chapters, results))
+    early = cut_lineage(_cheap(results, pairs, terms, snapshots, manifests).select(F.col("path").alias("chapter_id")).distinct())
+    left = results.join(small_ids(early), "chapter_id", "left_anti")
+    ids = small_ids(left.select(F.col("chapter_id").alias("id")).distinct())
+    asked = chapters.join(ids, "id", "left_semi")
     late = K.check_locks(paired_records(asked, left), terms, term_forms(terms)).select(F.col("path").alias("chapter_id"))
     return early.unionByName(late.distinct())
 
 
-def returned_records(results: DataFrame) -> DataFrame:
-    """(chapter_id, label, languages) of returned verses by position, preambles and captions.
+def paired_records(chapters: DataFrame, results: DataFrame) -> DataFrame:
+    """(chapter_id, label, en, languages): English of every source record beside what came back for it.
 
-    Of several captions under one key the last counts.
+    Verses are paired by position, captions by key, of several under one key the last.  English
+    and result of a chapter meet once, in one row; records are paired inside it.
     """
-    verses = results_by_position(results).select(
-        "chapter_id", F.concat(F.lit("verse "), F.col("ord").cast("string")).alias("label"), *LANGS
-    )
-    preambles = results.where(F.col("preamble").isNotNull()).select(
-        "chapter_id", F.lit("preamble").alias("label"), *[F.col(f"preamble.{x}").alias(x) for x in LANGS]
-    )
-    captions = results.select("chapter_id", F.posexplode("captions").alias("pos", "c")).groupBy(
-        "chapter_id", F.col("c.cap_idx").alias("cap_idx")
-    ).agg(F.max_by(F.struct(*[F.col(f"c.{x}").alias(x) for x in LANGS]), "pos").alias("r"))
-    return verses.unionByName(preambles).unionByName(captions.select(
-        "chapter_id", F.concat(F.lit("caption "), "cap_idx").alias("label"), *[F.col(f"r.{x}").alias(x) for x in LANGS]
-    ))
+    none = F.array().cast("array<struct<key:string,en:string>>")
 
+    def captions_of(v: Column) -> Column:
+        return F.coalesce(F.array_compact(F.transform(v["images"], lambda im, k: F.when(
+            is_filled(im["caption"]["en"]), F.struct(caption_key(v["id"], k).alias("key"), im["caption"]["en"].alias("en"))))), none)
 
-def paired_records(chapters: DataFrame, results: DataFrame) -> DataFrame:
-    """(chapter_id, label, en, languages): English of every source record beside what came back for it."""
-    english = C.records_of(chapters).select("chapter_id", "label", "en")
-    return english.join(returned_records(results), ["chapter_id", "label"])
+    english = chapters.select(
+        F.col("id").alias("chapter_id"), F.col("preamble.en").alias("_pre"), F.transform("verses", lambda v: v["en"]).alias("_verses"),
+        F.flatten(F.transform("verses", captions_of)).alias("_keys"))
+    texts = lambda r: F.struct(*[r[x].alias(x) for x in LANGS])
+    back = results.select("chapter_id", "preamble", F.transform("verses", texts).alias("verses"), "captions")
+    kind = "array<struct<label:string,en:string," + ",".join(f"{x}:string" for x in LANGS) + ">>"
+    empty = F.array().cast(kind)
+
+    def record(label: Column, en: Column, r: Column) -> Column:
+        return F.struct(label.alias("label"), en.alias("en"), *[r[x].alias(x) for x in LANGS])
+
+    both = F.when(F.col("verses").isNotNull(), F.slice("_verses", 1, F.least(F.size("_verses"), F.size("verses"))))
+    verses = F.transform(both, lambda en, i: record(F.concat(F.lit("verse "), (i + 1).cast("string")), en, F.get("verses", i)))
+
+    def caption(k: Column) -> Column:
+        own = F.filter("captions", lambda c: c["cap_idx"] == k["key"])
+        return F.when(F.size(own) > 0, record(F.concat(F.lit("caption "), k["key"]), k["en"], F.get(own, F.size(own) - 1)))
+
+    preamble = F.when(F.col("preamble").isNotNull(), F.array(record(F.lit("preamble"), F.col("_pre"), F.col("preamble"))).cast(kind))
+    every = F.concat(
+        F.coalesce(preamble, empty), F.coalesce(verses.cast(kind), empty),
+        F.coalesce(F.array_compact(F.transform("_keys", caption)).cast(kind), empty))
+    rows = english.join(back, "chapter_id").select("chapter_id", once(every).alias("_every"))
+    return rows.select("chapter_id", F.explode("_every").alias("r")).select("chapter_id", "r.*")

@@ -15,6 +15,7 @@ from lectern.plans import binding as B
 from lectern.plans import sql as S
 from lectern.plans.corpus_queries import CHAPTER_FP, bindings
 from lectern.plans.registry import query
+from lectern.session import cut_lineage
 
 
 @query("U1_precedence_fill", S.query("heads overlay", """
@@ -103,7 +104,8 @@ REFUSED = """
 
 def merged(s, d):
     ch = B.chapters(s, d)
-    live = FP.chapter_fingerprints(ch)
+    # Small beside the text, and read twice.
+    live = cut_lineage(FP.chapter_fingerprints(ch))
     recorded = live.withColumn(
         "src_sha", F.when(F.col("chapter") % 7 == 0, "stale").otherwise(F.col("src_sha"))
     )

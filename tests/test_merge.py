@@ -139,3 +139,51 @@ def test_inject_images_once(spark):
     again = M.inject_images(once, new)
     for out in (once, again):
         assert [[i.src for i in r.images or []] for r in out.orderBy("ord").collect()] == [["s1", "s2"], [], []]
+
+
+def gate_tables(spark):
+    """Three chapters of two verses, one with a caption; results for the first two, captions answered twice."""
+    image = [("s", "1", ("Plate", None, None, None))]
+
+    def verses(c):
+        return [(f"a.{c}.{n}", n, f"Ben {c} {n}", None, None, None, [], None, [], image if (c, n) == (1, 2) else None) for n in (1, 2)]
+
+    ch = spark.createDataFrame(
+        [(f"a.{c}", "a", c, "A", ("Epigraph", None, None, None) if c == 1 else None, None, verses(c)) for c in (1, 2, 3)], schemas.CHAPTER)
+    texts = "zh_hant:string,zh_hans:string,ja:string"
+    res = spark.createDataFrame(
+        [("a", f"a.{c}", "v", "s", ("序", "序", "序") if c == 1 else None,
+          [("a.1.2#0", "Plate", "旧", "旧", "旧"), ("a.1.2#0", "Plate", "图", "图", "图")] if c == 1 else [],
+          [(f"a.{c}.{n}", "本", "本", "本", None) for n in ((1, 2) if c == 1 else (1,))], [], c) for c in (1, 2)],
+        f"book string, chapter_id string, snapshot_version string, book_en_sha string, preamble struct<{texts}>, "
+        f"captions array<struct<cap_idx:string,en:string,{texts}>>, "
+        f"verses array<struct<id:string,{texts},glossary_terms:array<string>>>, unknown_terms array<string>, chapter int")
+    return ch, res
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_are_paired_inside_the_row(spark):
+    """One join of nested rows; locks are judged before anything is shuffled again."""
+    from lectern.operators import quality as K
+    from lectern.operators import terms as T
+    from lectern.operators import validate as V
+
+    ch, res = gate_tables(spark)
+    got = V.paired_records(ch, res)
+    assert rows(got) == [
+        ("a.1", "caption a.1.2#0", "Plate", "图", "图", "图"), ("a.1", "preamble", "Epigraph", "序", "序", "序"),
+        ("a.1", "verse 1", "Ben 1 1", "本", "本", "本"), ("a.1", "verse 2", "Ben 1 2", "本", "本", "本"),
+        ("a.2", "verse 1", "Ben 2 1", "本", "本", "本")]
+    assert "Aggregate" not in optimized(got)
+    locks = terms(spark, [("ben", ("本", "本", "ベン"))])
+    found = K.check_locks(got, locks, T.term_forms(locks))
+    assert rows(found, "path", "id") == [("a.1", "verse 1"), ("a.1", "verse 2"), ("a.2", "verse 1")]
+    assert "first(zh_hant" not in optimized(found)
+    books = spark.createDataFrame([("a", "v", "s")], "book string, version string, book_en_sha string")
+    free = locks.where("slug = ''")
+    assert rows(V.refused(ch, res, free, books, books.drop("version"))) == [("a.2",)]
+    assert {(r.rule, r.path) for r in V.validate_results(ch, res, locks, books, books.drop("version")).collect()} == {
+        ("result.lock", "a.1"), ("result.lock", "a.2"), ("result.missing", "a.2"), ("result.order", "a.2")}
