@@ -22,6 +22,8 @@ from lectern.functions.text import (
     has_katakana,
     is_filled,
 )
+from lectern.operators.sizing import small_ids
+from lectern.session import cut_lineage
 
 # Provenance tags stored in the documents.
 BASE_SOURCE = "word-1882"
@@ -128,17 +130,21 @@ def merge_chapters(
     arrays are zipped inside the chapter row; captions are matched by their stable key.
     Adds ``verses_merged``, ``skipped_nonnull``, ``captions_merged``.
     """
-    fit = (
-        results.join(failed.select("chapter_id").distinct(), "chapter_id", "left_anti")
-        .join(manifest.select("chapter_id", F.col("src_sha").alias("_then")), "chapter_id")
-        .join(live.select("chapter_id", F.col("src_sha").alias("_now")), "chapter_id")
-        .where(F.col("_then").eqNullSafe(F.col("_now")))
-        .select(
-            F.col("chapter_id").alias("_id"), F.col("verses").alias("_rv"),
-            F.col("preamble").alias("_rp"), F.col("captions").alias("_rc"),
-        )
-    )
-    joined = chapters.join(fit, chapters["id"] == fit["_id"], "left")
+    # Which results fit is settled on ids; then only the chapters they fit move, with their results.
+    passed = small_ids(cut_lineage(
+        results.select("chapter_id").join(failed.select("chapter_id").distinct(), "chapter_id", "left_anti").distinct()))
+    then = manifest.select("chapter_id", F.col("src_sha").alias("_then")).join(passed, "chapter_id", "left_semi")
+    now = live.select("chapter_id", F.col("src_sha").alias("_now")).join(passed, "chapter_id", "left_semi")
+    ids = small_ids(cut_lineage(
+        then.join(now, "chapter_id").where(F.col("_then").eqNullSafe(F.col("_now"))).select(F.col("chapter_id").alias("_id")).distinct()))
+    fit = results.join(ids, results["chapter_id"] == ids["_id"], "left_semi").select(
+        F.col("chapter_id").alias("_id"), F.col("verses").alias("_rv"),
+        F.col("preamble").alias("_rp"), F.col("captions").alias("_rc"),
+    )
+    lone = [F.lit(None).cast(f.dataType).alias(f.name) for f in fit.schema]
+    same = chapters["id"] == ids["_id"]
+    joined = chapters.join(ids, same, "left_semi").join(fit, F.col("id") == F.col("_id")).unionByName(
+        chapters.join(ids, same, "left_anti").select("*", *lone))
     hit = F.col("_id").isNotNull()
     image = chapters.schema["verses"].dataType.elementType["images"].dataType
 

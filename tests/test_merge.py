@@ -187,3 +187,18 @@ def test_records_are_paired_inside_the_row(spark):
     assert rows(V.refused(ch, res, free, books, books.drop("version"))) == [("a.2",)]
     assert {(r.rule, r.path) for r in V.validate_results(ch, res, locks, books, books.drop("version")).collect()} == {
         ("result.lock", "a.1"), ("result.lock", "a.2"), ("result.missing", "a.2"), ("result.order", "a.2")}
+
+
+def test_only_merged_chapters_meet_their_results(spark):
+    """Chapters without a fitting result pass by in place, neither shuffled nor joined with text."""
+    ch, res = gate_tables(spark)
+    sha = ch.select(F.col("id").alias("chapter_id"), F.lit("x").alias("src_sha"))
+    old = sha.withColumn("src_sha", F.when(F.col("chapter_id") == "a.3", "y").otherwise("x"))
+    failed = spark.createDataFrame([("a.2",)], "chapter_id string")
+    out = M.merge_chapters(ch, res, old, failed, sha)
+    assert rows(out, "id", "merged", "verses_merged", "skipped_nonnull", "captions_merged") == [
+        ("a.1", True, 2, 0, 1), ("a.2", False, 0, 0, 0), ("a.3", False, 0, 0, 0)]
+    assert [[v.ja for v in r.verses] for r in out.orderBy("id").collect()] == [["本", "本"], [None, None], [None, None]]
+    assert not M.merge_chapters(ch, res, old.replace("x", "z"), failed, sha).where("merged").count()
+    plan = optimized(out)
+    assert "LeftAnti" in plan and "LeftOuter" not in plan
