@@ -85,14 +85,19 @@ def listed_entries(entries: DataFrame, column: str) -> list[str] | None:
     return out if small else None
 
 
-def tree_pattern(entries: list[str]) -> str:
+def tree_pattern(entries: list[str], gap: tuple[str, str] | None = None) -> str:
     """Java pattern of the longest entry that stands at a place.
 
+    ``gap`` says what a space of an entry stands for: what one may start with, as part of a
+    character class, and its pattern.
+
     Entries share what they have in common at the start, so a place is tried with one
     character of few branches, not with every entry.  Of the entries at a place, all others
     are the start of the longest (see :func:`starts_of`).
     """
-    literal = lambda s: "".join(c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}" for c in s)
+    start, space = gap or (r"\x{20}", r"\x{20}")
+    plain = lambda c: c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}"
+    literal = lambda s: "".join(space if c == " " else plain(c) for c in s)
 
     def branch(own: list[str], at: int) -> str:
         ends = len(own[0]) == at
@@ -100,7 +105,7 @@ def tree_pattern(entries: list[str]) -> str:
         for first, more in itertools.groupby(own[ends:], key=lambda e: e[at]):
             part = list(more)
             head = len(os.path.commonprefix([part[0], part[-1]]))
-            ways.append((literal(first), literal(part[0][at:head]) + branch(part, head)))
+            ways.append((start if first == " " else plain(first), literal(part[0][at:head]) + branch(part, head)))
         if not ways:
             return ""
         width = max(6, math.isqrt(len(ways)))

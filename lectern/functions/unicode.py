@@ -61,5 +61,10 @@ def _fold(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """NFC, typographic apostrophes to ``'``, full case folding; null becomes ''."""
-    plain = F.replace(F.lower(F.translate(text, APOSTROPHES + "µ", "''μ")), F.lit("ß"), F.lit("ss"))
-    return F.when(text.isNull(), F.lit("")).when(text.rlike(slow_path_pattern()), _fold(text)).otherwise(plain)
+    plain = text
+    for sign, own in (*((a, "'") for a in APOSTROPHES), ("µ", "μ")):
+        plain = F.replace(plain, F.lit(sign), F.lit(own))
+    plain = F.replace(F.lower(plain), F.lit("ß"), F.lit("ss"))
+    # Counting bytes and characters is quicker than a search; most lines are plain ASCII.
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(text.isNull(), F.lit("")).when(ascii_only, F.lower(text)).when(text.rlike(slow_path_pattern()), _fold(text)).otherwise(plain)

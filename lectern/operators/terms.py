@@ -13,6 +13,7 @@ too large for a probe is joined all the same, with every place of the text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,12 +22,15 @@ from pyspark.sql import functions as F
 from lectern.functions.probe import MOST_ENTRIES, listed, listed_entries, probe_of, starts_of, strings, tree_pattern
 from lectern.functions.text import (
     LANGS,
+    TOKEN_PATTERN,
     is_filled,
     once,
     phrase_forms,
     quote_pattern,
     tokenize,
+    tokens_of,
 )
+from lectern.functions.unicode import normalise
 from lectern.operators.ordered import number_sorted
 from lectern.operators.sizing import small_side
 
@@ -61,10 +65,14 @@ def token_runs(
 ) -> DataFrame:
     """The same, once for each form of a term that stands in a text.
 
-    A run starts where the probe knows its first word, and only runs that the probe knows
+    A dictionary that one pattern can hold is found by it.  Otherwise a run starts where the probe
+    knows its first word, and only runs that the probe knows
     whole, of lengths that occur in the dictionary, leave the row.  ``carried`` columns ride
     along with these matches.
     """
+    entries = listed_entries(forms, "form")
+    if entries and all(_TOKENS.fullmatch(e) for e in entries):
+        return _placed_runs(records, text, keys, forms, carried, entries)
     lengths = sorted(r.n for r in forms.select("n").distinct().collect()) or [1]
     first = probe_of(forms.select(F.substring_index("form", " ", 1).alias("w")), "w")
     whole = probe_of(forms, "form")
@@ -82,6 +90,30 @@ def token_runs(
     return grams.join(side, "_gram").drop("_gram")
 
 
+#: In normal text: a token starts here, has just ended, and what may lie between two of them.
+_STARTS, _ENDS = "(?<![a-z])(?<![a-z]['-])", "(?!['-]?[a-z])"
+_BETWEEN = ("[^a-z]", f"{_ENDS}[^a-z]++")
+_TOKENS = re.compile(f"{TOKEN_PATTERN}(?: {TOKEN_PATTERN})*")
+
+
+def _placed_runs(
+    records: DataFrame, text: str, keys: Sequence[str], forms: DataFrame, carried: Sequence[str], entries: list[str]
+) -> DataFrame:
+    """The same by one pattern over the normal text, which is not cut into tokens.
+
+    Where a token starts, the pattern takes the longest form; the shorter ones at this place are
+    its starts.  Only the short stretch that it stands in is cut.
+    """
+    pattern = f"(?=[{''.join(sorted({e[0] for e in entries}))}]){_STARTS}(?=({tree_pattern(entries, _BETWEEN)}{_ENDS}))"
+    met = F.regexp_extract_all(normalise(F.col(text)), F.lit(pattern), F.lit(1))
+    runs = F.array_distinct(F.transform(met, lambda m: F.array_join(tokens_of(m), " ")))
+    placed = records.select(*keys, *carried, once(runs).alias("_runs")).where(F.size("_runs") > 0).select(
+        *keys, *carried, F.explode("_runs").alias("_long"))
+    starts = forms.sparkSession.createDataFrame(starts_of(entries, end=" "), "_long string, form string")
+    side = small_side(starts.join(forms.select("slug", "form").distinct(), "form").select("_long", "slug").distinct())
+    return placed.join(side, "_long").drop("_long")
+
+
 _WORD = r"(?U)\w+"
 _GAP = r"(?U)\W+"
 
@@ -454,20 +486,18 @@ def annotate(
         return base.withColumn("segments", plain).withColumn("annotated", F.col("_text")).drop("_text")
     resolved = resolve_tags(tagged, "tag", terms)
     names = terms.select("slug", F.col("term").alias("_term"), F.col(f"translit.{lang}").alias("_tl"))
-    english = verses.select(*keys, F.col("en").alias("_en"))
-    usable = (
-        resolved.join(names, "slug").where(is_filled(F.col("_tl")))
-        .join(english, list(keys)).where(english_present(F.col("tag"), F.col("_en")))
-    )
-    pairs = usable.groupBy(*keys).agg(
+    # The tags of a verse meet it once; which of them its English bears out is judged in its row.
+    pairs = resolved.join(small_side(names), "slug").where(is_filled(F.col("_tl"))).groupBy(*keys).agg(
         F.array_sort(
             F.collect_list(
-                F.struct((-F.length("_tl")).alias("len"), F.col("tag_no").alias("no"),
-                         F.col("_tl").alias("tl"), F.col("_term").alias("term"), "slug")
+                F.struct((-F.length("_tl")).alias("len"), F.col("tag_no").alias("no"), F.col("_tl").alias("tl"),
+                         F.col("_term").alias("term"), "slug", F.col("tag").alias("tag"))
             )
-        ).alias("_pairs")
+        ).alias("_tagged")
     )
-    joined = verses.join(pairs, list(keys), "left").withColumn(
+    present = F.filter("_tagged", lambda p: english_present(p["tag"], F.col("en")))
+    met = verses.join(pairs, list(keys), "left").select("*", once(present).alias("_present")).drop("_tagged")
+    joined = met.withColumn("_pairs", F.when(F.size("_present") > 0, F.col("_present"))).drop("_present").withColumn(
         "_text", F.coalesce(F.col(lang), F.lit(""))
     ).withColumn(
         "_pat", F.array_join(F.transform("_pairs", lambda p: quote_pattern(p["tl"])), "|")

@@ -249,3 +249,30 @@ def test_words_and_renderings_are_found_by_one_pattern(spark):
     words = T.word_edges(records, "text", ["id"], terms.where("slug like '_o%'"))
     plan = words._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan
+
+
+def test_token_runs_are_found_by_one_pattern(spark):
+    """Against a plain search in the tokens; no probe per word of the text."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("ab'-é", k=rng.randint(1, 3)))
+    texts = [rng.choice([" ", ", ", "' ", " -", "--", "\n", "9"]).join(word() for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    names = sorted({" ".join(rng.choice(["a", "b", "ab", "a-b", "b'a", "ba"]) for _ in range(rng.randint(1, 3))) for _ in range(40)})
+    cut = lambda t: re.findall("[a-z]+(?:['-][a-z]+)*", t)
+    terms = dictionary(spark, [(n, n, None, *[None] * 3) for n in names])
+    edges = T.token_edges(verses(spark, [*texts, None]), "en", KEYS, T.term_forms(terms))
+    want = {(i, n) for i, t in enumerate(texts) for n in names if f" {n} " in f" {' '.join(cut(t))} "}
+    assert set(rows(edges, "ord", "slug")) == want and len(want) > 300
+    assert "xxhash64" not in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tags_of_a_verse_meet_it_once(spark):
+    """English is judged in the verse's row, so its text is not joined a second time."""
+    terms = dictionary(spark, [("a", "Abel", None, None, "甲", None), ("b", "Bees", None, None, "甲乙", None), ("c", "Cain", None, None, "丙", None)])
+    text = verses(spark, ["Abel bees", "cain", "none", None]).withColumn("zh_hans", F.lit("甲乙甲丙"))
+    tagged = spark.createDataFrame(
+        [("c", i, t, n) for i in range(4) for n, t in enumerate(["Abel", "Bees", "Cain"])], "chapter_id string, ord int, tag string, tag_no int")
+    out = T.annotate(text, tagged, terms, "zh_hans", KEYS)
+    assert rows(out, "ord", "annotated") == [
+        (0, "甲乙（Bees）甲（Abel）丙"), (1, "甲乙甲丙（Cain）"), (2, "甲乙甲丙"), (3, "甲乙（Bees）甲（Abel）丙（Cain）")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"LogicalRDD \[chapter_id#\d+, ord#\d+, en#", plan)) == 1
