@@ -87,10 +87,10 @@ def write_index(index: DataFrame, root: str, buckets: int = 64) -> None:
     """
     placed = index.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).withColumn(
         "block", F.floor(F.col("chapter") / BLOCK))
-    # Adaptive execution cuts a large bucket into several files; unlike ranges it needs no sample,
-    # for which the index would be built twice.
-    postings = placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", "block")
-    postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
+    # Every task sorts and writes the postings of its own split, a file per bucket: shuffled, they
+    # would lie on disk a second time, several times as large as the files.
+    postings = placed.sortWithinPartitions("bucket", "token", "block", "chapter", "ord")
+    postings.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/postings")
     written = index.sparkSession.read.parquet(f"{root}/postings").withColumn("bucket", F.col("bucket").cast("bigint"))
     blocks = written.groupBy("bucket", "token", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"))
     blocks.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy(
@@ -132,7 +132,10 @@ def top_hits(postings: DataFrame, blocks: DataFrame, queries: DataFrame, k: int
 
     def scored(which: DataFrame) -> DataFrame:
         words = wanted.join(small_side(which), "query_id")
-        met = postings.join(small_side(words), ["token", "block"]).join(frequencies(blocks), "token")
+        # A posting moves to its verse once, before it meets the queries that ask for its word.
+        asked = postings.join(small_side(words.select("token", "block").distinct()), ["token", "block"], "left_semi")
+        weighted = small_side(words.join(frequencies(blocks), "token"))
+        met = asked.repartition(*keys).join(weighted, ["token", "block"])
         return met.groupBy("query_id", *keys).agg(
             F.count(F.lit(1)).alias("_n"), F.max("k").alias("_k"), F.round(F.sum(F.col("tf") * weight), 6).alias("score")
         ).where("_n = _k").select("query_id", *keys, "score")

@@ -201,6 +201,35 @@ def test_stored_index_and_top_hits(spark, tmp_path):
     assert got == want and {q for q, *_ in got} == {"q1", "q2", "q4"}
 
 
+def test_stored_index_moves_each_posting_once(spark, tmp_path):
+    import re
+
+    from lectern.operators import search as Q
+
+    # Several queries share a word; every split holds chapters of its own.
+    data = [(f"b.{c}", c, o, f"hot w{'abc'[(c + o) % 3]}") for c in range(0, 30_000, 100) for o in range(2)]
+    v = spark.createDataFrame(data, "chapter_id string, chapter int, ord int, en string").repartitionByRange(3, "chapter")
+    queries = spark.createDataFrame([("q1", "hot wa"), ("q2", "hot wb"), ("q3", "hot wc"), ("q4", "hot")], "query_id string, query string")
+    keys, root = ["chapter_id", "chapter", "ord"], str(tmp_path / "index")
+    index = Q.build_index(v, "en", keys)
+    Q.write_index(index, root, 4)
+    spans = {}
+    for r in spark.read.parquet(f"{root}/postings").select("chapter", F.input_file_name().alias("f")).collect():
+        spans.setdefault(re.search(r"part-(\d+)", r.f)[1], set()).add(r.chapter)
+    # A file holds postings of one split only: none of them was shuffled.
+    assert len(spans) == 3 and sum(len(own) for own in spans.values()) == 300
+    postings, blocks = Q.read_index(spark, root, Q.query_tokens(queries), 4)
+    assert postings.count() == index.count() == 1200
+    top = Q.top_hits(postings, blocks, queries, 3, 1)
+    # Postings are not shuffled once for every query that asks for their word.
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, chapter_id", top._jdf.queryExecution().executedPlan().toString())
+    best = {}
+    for r in Q.search(index, queries, keys).collect():
+        best.setdefault(r.query_id, []).append((-r.score, r.chapter, r.ord))
+    want = sorted((q, -s, c, o, n) for q, own in best.items() for n, (s, c, o) in enumerate(sorted(own)[:3], 1))
+    assert sorted((r.query_id, r.score, r.chapter, r.ord, r["rank"]) for r in top.collect()) == want and len(want) == 12
+
+
 def test_records_and_scope_text(spark):
     from lectern import schemas
     from lectern.operators import corpus as C
